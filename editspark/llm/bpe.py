@@ -26,6 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -155,19 +156,18 @@ def encoder(path: str) -> TrieEncoder:
     return TrieEncoder(path)
 
 
-#: Characters of text that are encoded at a time.
+#: Bytes of text that are worked on at a time.
 CHUNK = 4_000_000
 
 
 def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about ``CHUNK`` bytes of a column, a row at least."""
-    sizes = batch.column(column).to_pylist()
     start = held = 0
-    for k, x in enumerate(sizes):
-        if held and held + len(x) > CHUNK:
+    for k, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        if held and held + n > CHUNK:
             yield batch.slice(start, k - start)
             start, held = k, 0
-        held += len(x)
+        held += n
     if start < batch.num_rows:
         yield batch.slice(start)
 

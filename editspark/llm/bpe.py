@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import schema, texts
+from .common import record_batch, texts
 
 #: Fixed values of byte-level BPE: the pattern that splits text into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -179,9 +179,9 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             for c in chunks(b, "text"):
                 ids = encoder(path).encode_batch(c.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                yield record_batch("doc_id long, ids binary", [c.column("doc_id"), ids])
 
-    return texts(docs).mapInArrow(run, schema("doc_id long, ids binary"))
+    return texts(docs).mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -190,27 +190,22 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = [encoder(path).decode(i or b"") for i in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(text, pa.string())], ["doc_id", "text"])
+            yield record_batch("doc_id long, text string", [b.column("doc_id"), text])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, schema("doc_id long, text string"))
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Encode, decode and digest in one pass, so that neither ids nor texts travel: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
+    spec = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
             for c in chunks(b, "text"):
                 ids = enc.encode_batch(c.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        c.column("doc_id"),
-                        pa.array([len(i) // 4 for i in ids], pa.int64()),
-                        pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()),
-                        pa.array([hashlib.sha256(enc.decode(i).encode()).hexdigest() for i in ids], pa.string()),
-                    ],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
-    return texts(docs).mapInArrow(run, schema("doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
+                digests = [hashlib.sha256(i).hexdigest() for i in ids]
+                decoded = [hashlib.sha256(enc.decode(i).encode()).hexdigest() for i in ids]
+                yield record_batch(spec, [c.column("doc_id"), [len(i) // 4 for i in ids], digests, decoded])
+
+    return texts(docs).mapInArrow(run, spec)

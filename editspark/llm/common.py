@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that cache small tables)
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Rows up to which a table of narrow rows may be broadcast; beyond it every caller has a shuffle join.
 BROADCAST_ROWS = 1_000_000
@@ -61,5 +61,15 @@ def small_or_joined(left: DataFrame, right: DataFrame, on, how: str, rows: int |
     return left.join(F.broadcast(right) if n <= BROADCAST_ROWS else right, on, how)
 
 
-def schema(spec: str) -> T.StructType:
-    return T._parse_datatype_string(spec)
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+
+
+def record_batch(spec: str, columns: Iterable) -> pa.RecordBatch:
+    """A batch of the columns (lists, numpy or Arrow arrays) that ``spec``, such as ``a long, b string``, names and types."""
+    fields = [f.split() for f in spec.split(",")]
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c, _ARROW[kind]) for c, (_, kind) in zip(columns, fields, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, [name for name, _ in fields])
+
+
+def from_rows(spec: str, rows: list[tuple]) -> pa.RecordBatch:
+    return record_batch(spec, zip(*rows, strict=True) if rows else [[] for _ in spec.split(",")])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import chunks
-from .common import schema, texts
+from .common import from_rows, record_batch, texts
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
@@ -143,12 +143,10 @@ def store(docs: DataFrame) -> DataFrame:
         for b in batches:
             for c in chunks(b, "text"):
                 text = c.column("text").to_pylist()
-                yield pa.RecordBatch.from_arrays(
-                    [c.column("doc_id"), pa.array([len(t.encode()) for t in text], pa.int64()), pa.array([encode(payload(t)) for t in text], pa.binary())],
-                    ["doc_id", "n_bytes", "media"],
-                )
+                sizes = [len(t.encode()) for t in text]
+                yield record_batch("doc_id long, n_bytes long, media binary", [c.column("doc_id"), sizes, [encode(payload(t)) for t in text]])
 
-    return texts(docs).mapInArrow(run, schema("doc_id long, n_bytes long, media binary"))
+    return texts(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def read_back(stored: DataFrame) -> DataFrame:
@@ -162,7 +160,6 @@ def read_back(stored: DataFrame) -> DataFrame:
                 samples = decode(png)
                 raw = samples.tobytes()
                 rows.append((doc, n, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(png), hashlib.sha256(png).hexdigest(), feature(samples)))
-            names = schema(spec).names
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], pa.schema([(k, pa.string() if k in ("payload_sha256", "media_sha256", "feature") else pa.int64()) for k in names]))
+            yield from_rows(spec, rows)
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema(spec))
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, spec)

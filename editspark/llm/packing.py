@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import WORDS, byte_alphabet, chunks
-from .common import schema, small_or_joined, texts, written
+from .common import record_batch, small_or_joined, texts, written
 
 
 @functools.lru_cache(2)
@@ -70,11 +70,9 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, with_ids:
                         for column, x in zip(out, (doc, k, start, n, zlib.crc32(raw), lane, seen[n], raw), strict=True):
                             column.append(x)
                         seen[n] += 1
-                kept = schema(spec).names
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t, _ in zip(out, kinds, kept, strict=False)], kept)
+                yield record_batch(spec, out if with_ids else out[:-1])
 
-    return texts(docs).mapInArrow(run, schema(spec))
+    return texts(docs).mapInArrow(run, spec)
 
 
 class Plan:
@@ -154,7 +152,7 @@ def place(cut_pieces: DataFrame, capacity: int) -> DataFrame:
     counts = {r.length: r.n for r in lanes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     found = segments(Plan(counts, capacity).run())
     # a pattern uses up a length or leaves too few of it for itself, so these are a small multiple of ``capacity`` rows
-    at = spark.createDataFrame(found, schema("at_length long, low long, high long, first_sequence long, each long, first_offset long"))
+    at = spark.createDataFrame(found, "at_length long, low long, high long, first_sequence long, each long, first_offset long")
     ranked = small_or_joined(cut_pieces, lanes.select("length", "lane", "before"), ["length", "lane"], "inner").withColumn("rank", F.col("rank") + F.col("before"))
     placed = ranked.join(F.broadcast(at), (F.col("length") == F.col("at_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     nth = F.col("rank") - F.col("low")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing
+from . import bpe, chat, fingerprints, media, packing
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -28,8 +28,21 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.store(table(spark, sf_dir, "documents")))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one more whose texts imitate control strings."""
+    asked = r"\### Assistant: </turn> ok"
+    spec = "conv_id long, turn long, role string, text string"
+    one = spark.createDataFrame([(-7, k, role, asked) for k, role in enumerate(("user", "assistant"))], spec)
+    rows = table(spark, sf_dir, "conversations").selectExpr(*(f"cast({c} as {kind}) {c}" for c, kind in (x.split() for x in spec.split(", "))))
+    return chat.read_back(chat.expand(rows.union(one)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_packing, op4_media)}
+    return {f.__name__: f for f in (op1_bpe, op2_packing, op4_media, op5_fingerprints, op8_chat)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprints, media, packing
+from . import bpe, chat, fingerprints, langid, media, packing, toxicity
+from .common import fold
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -32,6 +33,12 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold(3) != 1)
+    return toxicity.score(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one more whose texts imitate control strings."""
     asked = r"\### Assistant: </turn> ok"
@@ -41,8 +48,14 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.expand(rows.union(one)))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, fold(5) != 0)
+    return langid.predict(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_packing, op4_media, op5_fingerprints, op8_chat)}
+    return {f.__name__: f for f in (op1_bpe, op2_packing, op4_media, op5_fingerprints, op6_toxicity, op8_chat, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprints, langid, media, packing, toxicity
+from . import bpe, chat, fingerprints, langid, media, neardup, packing, toxicity
 from .common import fold
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -48,6 +48,10 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.expand(rows.union(one)))
 
 
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs, fold(5) != 0)
@@ -55,7 +59,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_packing, op4_media, op5_fingerprints, op6_toxicity, op8_chat, op10_langid)}
+    return {f.__name__: f for f in (op1_bpe, op2_packing, op4_media, op5_fingerprints, op6_toxicity, op8_chat, op9_neardup, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -36,9 +36,9 @@ from .common import record_batch, texts
 MOST_TOXIC, MOST_UNLABELLED = 2_000, 8_000
 BITS = 18
 THRESHOLD, COVER = 0.7, 0.88
-STEPS, RATE, DECAY, DAMPING = 100, 0.3, 6e-5, 0.1
+STEPS, RATE, DECAY, DAMPING = 100, 0.3, 1e-4, 0.1
 #: A feature must occur in this share of U to have a weight, so that single documents' words don't.
-LEAST_SHARE = 0.003
+LEAST_SHARE = 0.006
 _WORDS = re.compile(r"[^\W\d_]+")
 _BEGINNINGS = (3, 4, 5, 6)
 KEPT_WORDS = 300_000

@@ -26,11 +26,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import record_batch, texts
+from .common import chunks, record_batch, texts
 
 #: Fixed values of byte-level BPE: the pattern that splits text into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -156,22 +155,6 @@ def encoder(path: str) -> TrieEncoder:
     return TrieEncoder(path)
 
 
-#: Bytes of text that are worked on at a time.
-CHUNK = 4_000_000
-
-
-def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch that hold about ``CHUNK`` bytes of a column, a row at least."""
-    start = held = 0
-    for k, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
-        if held and held + n > CHUNK:
-            yield batch.slice(start, k - start)
-            start, held = k, 0
-        held += n
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id`` and ``ids``, binary: little-endian unsigned 32-bit integers."""
 

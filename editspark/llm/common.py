@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows up to which a table of narrow rows may be broadcast; beyond it every caller has a shuffle join.
 BROADCAST_ROWS = 1_000_000
@@ -61,6 +63,49 @@ def small_or_joined(left: DataFrame, right: DataFrame, on, how: str, rows: int |
     return left.join(F.broadcast(right) if n <= BROADCAST_ROWS else right, on, how)
 
 
+def judged(docs: DataFrame, judge: Callable[[list[str]], Iterable], spec: str, keep_rows: bool = False) -> DataFrame:
+    """Rows with the columns of ``spec`` that ``judge`` makes from a list of texts (null: empty).
+
+    In front of them stands ``doc_id``, or with ``keep_rows`` the whole row as the struct ``row``, so that no column of it can clash.
+    """
+    if keep_rows:
+        base, front = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), T.StructType([T.StructField("row", docs.schema)])
+    else:
+        base, front = texts(docs), T.StructType([T.StructField("doc_id", T.LongType())])
+    out = T.StructType([*front.fields, *T._parse_datatype_string(spec).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            said = b.column("row").field("text") if keep_rows else b.column("text")
+            for start, n in slices(said):
+                found = record_batch(spec, judge([t or "" for t in said.slice(start, n).to_pylist()]))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, n), *found.columns], [b.schema.names[0], *found.schema.names])
+
+    return base.mapInArrow(run, out)
+
+
+#: Bytes of text that are worked on at a time.
+CHUNK = 4_000_000
+
+
+def slices(said: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, rows) of runs of texts that hold about ``CHUNK`` bytes, a row at least."""
+    start = held = 0
+    for k, n in enumerate(pc.binary_length(said).to_pylist()):
+        if held and held + (n or 0) > CHUNK:
+            yield start, k - start
+            start, held = k, 0
+        held += n or 0
+    if start < len(said):
+        yield start, len(said) - start
+
+
+def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold about ``CHUNK`` bytes of a column."""
+    for start, n in slices(batch.column(column)):
+        yield batch.slice(start, n)
+
+
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
 
 

@@ -26,8 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import chunks
-from .common import record_batch
+from .common import judged, record_batch
 
 MOST_ROWS = 400
 BITS, WIDTH, ORDERS = 16, 16, 4
@@ -138,22 +137,14 @@ def train(docs: DataFrame, learn_from) -> Model | None:
     return fit([(r["lang"], np.frombuffer(r["found"], np.int32), np.frombuffer(r["share"], np.float32)) for r in sample])
 
 
-def predict(docs: DataFrame, model: Model | None, *more: str) -> DataFrame:
-    """``doc_id``, the named columns, ``lang_pred``, ``score`` and ``rejected`` of every row."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
-    if model is None:
-        return base.drop("text").withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "rejected": F.lit(True)})
+def predict(docs: DataFrame, model: Model | None, keep_rows: bool = False) -> DataFrame:
+    """``lang_pred``, ``score`` and ``rejected`` of every row, after its ``doc_id`` or the whole ``row``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size for each language
-    kinds = dict(base.dtypes)
-    spec = ", ".join([*(f"{c} {kinds[c]}" for c in base.columns if c != "text"), "lang_pred string, score double, rejected boolean"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batch: list[str]) -> tuple[list, list, list]:
         held = shared.value
-        for b in batches:
-            for c in chunks(b, "text"):
-                said = [held.predict(t) for t in c.column("text").to_pylist()]
-                names = [k for k in c.schema.names if k != "text"]
-                out = [pa.array([p for p, _ in said], pa.string()), pa.array([s for _, s in said], pa.float64()), pa.array([p == UNKNOWN or s < held.least for p, s in said], pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*(c.column(k) for k in names), *out], [*names, "lang_pred", "score", "rejected"])
+        said = [(UNKNOWN, 0.0) if held is None else held.predict(t) for t in batch]
+        least = 0.0 if held is None else held.least
+        return [p for p, _ in said], [s for _, s in said], [p == UNKNOWN or s < least for p, s in said]
 
-    return base.mapInArrow(run, spec)
+    return judged(docs, judge, "lang_pred string, score double, rejected boolean", keep_rows)

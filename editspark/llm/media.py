@@ -20,8 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import chunks
-from .common import from_rows, record_batch, texts
+from .common import chunks, from_rows, record_batch, texts
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64

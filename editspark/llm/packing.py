@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import WORDS, byte_alphabet, chunks
-from .common import record_batch, small_or_joined, texts, written
+from .bpe import WORDS, byte_alphabet
+from .common import chunks, record_batch, small_or_joined, texts, written
 
 
 @functools.lru_cache(2)

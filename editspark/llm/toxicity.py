@@ -20,6 +20,7 @@ of a document a toxic one counts; repeated rows each get their score; other colu
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,8 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import chunks
-from .common import record_batch, texts
+from .common import judged, record_batch, texts
 
 MOST_TOXIC, MOST_UNLABELLED = 2_000, 8_000
 BITS = 18
@@ -71,6 +71,12 @@ class Features:
         return found, np.sqrt(np.fromiter(counts.values(), np.float64, len(counts)) / max(1, total)).astype(np.float32)
 
 
+@functools.lru_cache(1)
+def worker_features() -> Features:
+    """One for each Python worker."""
+    return Features()
+
+
 class Rows:
     """Sparse rows."""
 
@@ -130,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_from) -> tuple[np.ndarray, f
     spec = "of string, features binary, values binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
+        features = worker_features()
         for b in batches:
             found = [features(t) for t in b.column("text").to_pylist()]
             yield record_batch(spec, [b.column("of"), [f.tobytes() for f, _ in found], [v.tobytes() for _, v in found]])
@@ -146,26 +152,15 @@ def train(docs: DataFrame, labels: DataFrame, learn_from) -> tuple[np.ndarray, f
     return fit(Rows(groups["P"]), Rows(groups["U"]), min(share, 0.95))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, *more: str) -> DataFrame:
-    """``doc_id``, the named columns, ``score`` and ``predicted`` of every row."""
-    base = texts(docs).select("doc_id", "text") if not more else docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))).select("doc_id", "text", *more)
-    if model is None:
-        return base.drop("text").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
+def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, keep_rows: bool = False) -> DataFrame:
+    """``score`` and ``predicted`` of every row, after its ``doc_id`` or the whole ``row``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB, whatever the input
-    kinds = dict(base.dtypes)
-    spec = ", ".join([*(f"{c} {kinds[c]}" for c in base.columns if c != "text"), "score double, predicted int"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, (w, bias) = Features(), shared.value
-        for b in batches:
-            for c in chunks(b, "text"):
-                found = []
-                for text in c.column("text").to_pylist():
-                    f, v = features(text)
-                    found.append(float(w[f] @ v) + bias)
-                scores = _sigmoid(np.array(found))
-                kept = [c.column(k) for k in c.schema.names if k != "text"]
-                names = [k for k in c.schema.names if k != "text"]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(scores, pa.float64()), pa.array((scores >= THRESHOLD).astype(np.int32), pa.int32())], [*names, "score", "predicted"])
-
-    return base.mapInArrow(run, spec)
+    def judge(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if shared.value is None:
+            return np.zeros(len(batch)), np.zeros(len(batch), np.int32)
+        (w, bias), features = shared.value, worker_features()
+        scores = _sigmoid(np.array([float(w[f] @ v) + bias for f, v in map(features, batch)]))
+        return scores, (scores >= THRESHOLD).astype(np.int32)
+
+    return judged(docs, judge, "score double, predicted int", keep_rows)

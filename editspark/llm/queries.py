@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprints, langid, media, neardup, packing, toxicity
+from . import bpe, chat, fingerprints, langid, licenses, lmscore, media, neardup, packing, toxicity
 from .common import fold
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.of_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.store(table(spark, sf_dir, "documents")))
 
@@ -39,6 +43,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op7_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents that a label marks as of good quality; background: all documents."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1")
+    return lmscore.scores(table(spark, sf_dir, "documents"), good, BYTE_BPE)
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one more whose texts imitate control strings."""
     asked = r"\### Assistant: </turn> ok"
@@ -59,8 +69,8 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_packing, op4_media, op5_fingerprints, op6_toxicity, op8_chat, op9_neardup, op10_langid)}
+    return {f.__name__: f for f in (op1_bpe, op2_packing, op3_licenses, op4_media, op5_fingerprints, op6_toxicity, op7_lmscore, op8_chat, op9_neardup, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_licenses": licenses.sql()}

@@ -11,6 +11,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import constants as C
 from .text import token_weight
@@ -45,7 +46,7 @@ def cost_of(ref: list[str], pred: list[str]) -> float:
     return row[-1]
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def _cost(ref: pa.Array, pred: pa.Array) -> pa.Array:
     return pa.array([None if r is None or p is None else cost_of(r, p) for r, p in zip(ref.to_pylist(), pred.to_pylist(), strict=True)], pa.float64())
 

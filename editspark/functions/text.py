@@ -11,6 +11,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import constants as C
 
@@ -24,7 +25,7 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{C.WS}+|{C.WS}+$", "")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _composed(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
 

@@ -43,13 +43,13 @@ def weight(t: str) -> str:
 
 def cost(r: str, p: str, wr: str, wp: str) -> str:
     """The edit cost between token lists with weight lists, as a fold of folds over one-element lists of positions."""
-    first = f"list_reduce(list_transform(range(1, len({p}) + 1), lambda j: [j::DOUBLE]), lambda a, j: list_append(a, a[-1] + {wp}[j[1]::INT]), [0.0::DOUBLE])"
-    step = (
-        f"list_append(a, least(row[j[1]::INT + 1] + {wr}[i[1]::INT], a[-1] + {wp}[j[1]::INT], row[j[1]::INT] + "
-        f"CASE WHEN {r}[i[1]::INT] = {p}[j[1]::INT] THEN 0.0::DOUBLE ELSE greatest({wr}[i[1]::INT], {wp}[j[1]::INT]) END))"
-    )
-    inner = f"list_reduce(list_transform(range(1, len({p}) + 1), lambda j: [j::DOUBLE]), lambda a, j: {step}, [row[1] + {wr}[i[1]::INT]])"
-    return f"(list_reduce(list_transform(range(1, len({r}) + 1), lambda i: [i::DOUBLE]), lambda row, i: {inner}, {first}))[-1]"
+    at = "j_[1]::INT"
+    positions = f"list_transform(range(1, len({p}) + 1), lambda j_: [j_::DOUBLE])"
+    first = f"list_reduce({positions}, lambda new_, j_: list_append(new_, new_[-1] + {wp}[{at}]), [0.0::DOUBLE])"
+    changed = f"CASE WHEN {r}[i_[1]::INT] = {p}[{at}] THEN 0.0::DOUBLE ELSE greatest({wr}[i_[1]::INT], {wp}[{at}]) END"
+    step = f"list_append(new_, least(row_[{at} + 1] + {wr}[i_[1]::INT], new_[-1] + {wp}[{at}], row_[{at}] + {changed}))"
+    inner = f"list_reduce({positions}, lambda new_, j_: {step}, [row_[1] + {wr}[i_[1]::INT]])"
+    return f"(list_reduce(list_transform(range(1, len({r}) + 1), lambda i_: [i_::DOUBLE]), lambda row_, i_: {inner}, {first}))[-1]"
 
 
 def distance(a: str, b: str) -> str:
@@ -119,16 +119,19 @@ def bags(source: str, column: str) -> str:
     return f"SELECT id, w, count(*) AS tf FROM (SELECT id, unnest({column}) AS w FROM {source}) GROUP BY id, w"
 
 
-def terms(x: str) -> str:
-    runs = f"regexp_extract_all(lower({x}), {q(C.WORD_RUN)})"
-    return f"list_concat({runs}, list_transform(range(1, greatest(len({runs}), 1)), lambda i: ({runs})[i] || ' ' || ({runs})[i + 1]))"
+def runs(x: str) -> str:
+    return f"regexp_extract_all(lower({x}), {q(C.WORD_RUN)})"
+
+
+#: Of a column ``runs``: the runs and the pairs of neighbours.
+TERMS = "list_concat(runs, list_transform(range(1, greatest(len(runs), 1)), lambda i: runs[i] || ' ' || runs[i + 1]))"
 
 
 def retrieval(n: str, docs: str, asks: str) -> dict[str, str]:
     """BM25, TF-IDF and hybrid tables over ``docs`` and ``asks``: id, row_idx, case_id, modality, body_part, dictation, said, headers."""
     return {
         f"{n}_dt": f"SELECT *, {tokens('dictation')} AS toks FROM {docs}", f"{n}_qt": f"SELECT *, {tokens('dictation')} AS toks FROM {asks}",
-        f"{n}_dw": f"SELECT *, {terms('said')} AS terms FROM {docs}", f"{n}_qw": f"SELECT *, {terms('said')} AS terms FROM {asks}",
+        f"{n}_dw": f"SELECT *, {TERMS} AS terms FROM (SELECT *, {runs('said')} AS runs FROM {docs})", f"{n}_qw": f"SELECT *, {TERMS} AS terms FROM (SELECT *, {runs('said')} AS runs FROM {asks})",
         f"{n}_n": f"SELECT count(*) AS n FROM {docs}",
         f"{n}_db": bags(f"{n}_dt", "toks"), f"{n}_qb": bags(f"{n}_qt", "toks"),
         f"{n}_raw": f"SELECT w AS token, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM {n}_db, {n}_n GROUP BY w",

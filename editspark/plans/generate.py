@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from ..functions import report as R
 from ..sources.schemas import UPDATES
 
-_MAP = "map<string,string>"
-
 
 @dataclass(frozen=True)
 class Settings:
@@ -39,21 +37,23 @@ class QuotaExhausted(RuntimeError):
 def decode(raw: Column) -> Column:
     """``struct<ok, updates, impression>`` of a model's JSON answer.
 
-    A missing ``field_updates`` or ``impression`` is empty; an explicit null of the former, values that aren't strings, anything that isn't an object and
-    text that isn't JSON are not ok. A null impression is empty. Of keys that repeat the last counts.
+    A missing ``field_updates`` or ``impression`` is empty, and so are null values in them and a null impression. An explicit null for ``field_updates``, values that
+    are neither text nor null, anything that isn't an object, objects that repeat a key and text that isn't JSON are not ok.
     """
     v = F.try_parse_json(raw)
-    kind = F.schema_of_variant(v)
-    updates = F.try_variant_get(v, "$.field_updates", "variant")
-    present = F.get_json_object(raw, "$.field_updates").isNotNull() | kind.rlike("field_updates: VOID")
-    as_map = F.from_json(F.to_json(updates), _MAP)
-    only_strings = F.coalesce(F.schema_of_variant(updates).rlike(r"^OBJECT<([^<>]*: STRING(, [^<>]*: STRING)*)?>$"), F.lit(False))
-    said = F.try_variant_get(v, "$.impression", "variant")
-    said_kind = F.coalesce(F.schema_of_variant(said), F.lit("VOID"))
-    ok = F.coalesce(kind.startswith("OBJECT"), F.lit(False)) & (~F.coalesce(present, F.lit(False)) | only_strings) & said_kind.isin("STRING", "VOID")
-    entries = F.transform(F.map_entries(F.coalesce(as_map, F.create_map().cast(_MAP))), lambda e: F.struct(e.key.alias("key"), e.value.alias("value")))
+    kind = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    fields, said = F.try_variant_get(v, "$.field_updates", "variant"), F.try_variant_get(v, "$.impression", "variant")
+    entries = F.map_entries(F.try_variant_get(fields, "$", "map<string,variant>"))
+    textual = F.forall(entries, lambda e: F.coalesce(F.schema_of_variant(e.value), F.lit("VOID")).isin("STRING", "VOID"))
+    fields_ok = fields.isNull() | (F.schema_of_variant(fields).startswith("OBJECT") & F.coalesce(textual, F.lit(False)))
+    said_ok = F.coalesce(F.schema_of_variant(said), F.lit("VOID")).isin("STRING", "VOID")
+    ok = F.coalesce(kind.startswith("OBJECT") & fields_ok & said_ok, F.lit(False))
+    updates = F.transform(entries, lambda e: F.struct(e.key.alias("key"), F.coalesce(F.try_variant_get(e.value, "$", "string"), F.lit("")).alias("value")))
     none = F.array().cast(UPDATES)
-    return F.struct(ok.alias("ok"), F.when(ok, entries.cast(UPDATES)).otherwise(none).alias("updates"), F.when(ok & (said_kind == "STRING"), F.try_variant_get(v, "$.impression", "string")).otherwise("").alias("impression"))
+    return F.struct(
+        ok.alias("ok"), F.when(ok, F.coalesce(updates.cast(UPDATES), none)).otherwise(none).alias("updates"),
+        F.when(ok, F.coalesce(F.try_variant_get(said, "$", "string"), F.lit(""))).otherwise("").alias("impression"),
+    )
 
 
 def routed_reports(cases: DataFrame, *more: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -45,8 +46,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of the batches that Python workers get at a time.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes, so that workers' memory doesn't follow the length of texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(key, "64m"))) != BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id``, ``text`` (null: empty) and the named columns, whatever else the table has."""
+    small_batches(docs.sparkSession)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[F.col(c) for c in more]
     )
@@ -68,6 +81,7 @@ def judged(docs: DataFrame, judge: Callable[[list[str]], Iterable], spec: str, k
 
     In front of them stands ``doc_id``, or with ``keep_rows`` the whole row as the struct ``row``, so that no column of it can clash.
     """
+    small_batches(docs.sparkSession)
     if keep_rows:
         base, front = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), T.StructType([T.StructField("row", docs.schema)])
     else:

@@ -41,7 +41,7 @@ STEPS, RATE, DECAY, DAMPING = 100, 0.3, 1e-4, 0.1
 LEAST_SHARE = 0.006
 _WORDS = re.compile(r"[^\W\d_]+")
 _BEGINNINGS = (3, 4, 5, 6)
-KEPT_WORDS = 300_000
+KEPT_WORDS = 50_000
 
 
 def _bucket(feature: str) -> int:
@@ -89,11 +89,22 @@ class Rows:
     def __len__(self) -> int:
         return len(self.sizes)
 
+    def _parts(self):
+        """Runs of entries, so that products take bounded memory."""
+        for at in range(0, len(self.row), 1 << 20):
+            yield self.row[at : at + (1 << 20)], self.features[at : at + (1 << 20)], self.values[at : at + (1 << 20)]
+
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.features] * self.values, len(self))
+        out = np.zeros(len(self))
+        for row, feature, value in self._parts():
+            out += np.bincount(row, w[feature] * value, len(self))
+        return out
 
     def back(self, by_row: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(self.features, by_row[self.row] * self.values, n)
+        out = np.zeros(n)
+        for row, feature, value in self._parts():
+            out += np.bincount(feature, by_row[row] * value, n)
+        return out
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -145,6 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_from) -> tuple[np.ndarray, f
     groups: dict[str, list] = {"P": [], "U": []}
     for of, f, v in zip(*(sample.column(c).to_pylist() for c in ("of", "features", "values")), strict=True):
         groups[of].append((np.frombuffer(f, np.int32), np.frombuffer(v, np.float32)))
+    del sample
     if not groups["P"] or not share:
         return None
     # rows arrive in the order of tasks; sums must not depend on it

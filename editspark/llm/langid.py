@@ -33,6 +33,8 @@ BITS, WIDTH, ORDERS = 16, 16, 4
 PASSES, RATE = 6, 4.0
 REJECTED, HIGHEST = 0.001, 0.5
 UNKNOWN = "und"
+#: Characters of a text that are scored at a time.
+PART = 1 << 16
 _GAPS = re.compile(r"[\W\d_]+")
 _MIX = np.uint32(0x9E3779B1)
 
@@ -70,10 +72,11 @@ class Model:
             return UNKNOWN, 0.0
         logits = np.zeros(len(self.languages))
         n = 0
-        for at in range(0, len(words), 1 << 20):  # long texts in parts, so that subwords take bounded memory
-            found = subwords(words[at : at + (1 << 20) + ORDERS - 1] if at + (1 << 20) < len(words) else words[at:])
-            logits += self.table[found].sum(axis=0, dtype=np.float64)
-            n += len(found)
+        for at in range(0, len(words), PART):  # long texts in parts, so that subwords take bounded memory
+            before = words[max(0, at - ORDERS + 1) : at]
+            for found, sign in ((subwords(before + words[at : at + PART]), 1), (subwords(before), -1)):
+                logits += sign * self.table[found].sum(axis=0, dtype=np.float64)
+                n += sign * len(found)
         p = self.probabilities(logits / n + self.bias)
         return self.languages[int(p.argmax())], float(p.max())
 

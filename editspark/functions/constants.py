@@ -42,12 +42,22 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 NORMAL_DICTATIONS = ["normal", "none", "unremarkable", "no acute abnormality"]
 
 # Patterns. White space and line ends are listed, as engines differ in what their classes hold.
-WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WS = f"[{_WS}]"
 LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 LIST_MARKER = r"^(?:\p{Nd}+[.)]|[-*•])" + WS + "*"
 NUMBER = r"^[+-]?\p{Nd}+(?:\.\p{Nd}+)?$"
 SUB_TOKEN = r"[a-z0-9]+|[+-]?\p{Nd}+(?:\.\p{Nd}+)?"
-EDGE_PUNCTUATION = r"""^[,.;:!?()\[\]{}"']+|[,.;:!?()\[\]{}"']+$"""
-FIELD = r"(?m)^[ \t]*([A-Z0-9/_()\-\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+):" + WS + "*"
+EDGE = r"""[,.;:!?()\[\]{}"']"""
+EDGE_PUNCTUATION = f"^{EDGE}+|{EDGE}+$"
+FIELD = rf"(?m)^[ \t]*([A-Z0-9/_()\-{_WS}]+):{WS}*"
 MEASUREMENT = r"\b\d+(?:\.\d+)?\s*(?:mm|cm)\b"
 WORD_RUN = r"[\p{L}\p{N}_]{2,}"
+
+# The same rules for a whole text at once, in the JVM's dialect: at a word's start, at its end, without line ends.
+AT_START, AT_END = f"(?<![^{_WS}])", f"(?![^{_WS}])"
+BLANKS = r"[\t\x1f\x20\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
+LINE_STARTS = rf"\n{BLANKS}*(?:(?:\p{{Nd}}+[.)]|[-*•]){BLANKS}*)?"
+WORD_EDGES = f"{EDGE}+{AT_END}|{AT_START}{EDGE}+"
+LETTER_NUMBER = r"(?<=[a-z])(?=\p{Nd})|(?<=\p{Nd})(?=[a-z])"
+TOKEN = rf"{AT_START}[+-]?\p{{Nd}}+(?:\.\p{{Nd}}+)?{AT_END}|{SUB_TOKEN}"

@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as C
+from .binding import bound
 from .text import capitalize, measurements, sentences, strip, text_or_empty
 
 
@@ -45,8 +46,12 @@ def last_value(fields: Column, key: Column) -> Column:
 
 def as_dict(fields: Column) -> Column:
     """Repeated keys merged: the place of the first, the value of the last."""
-    first = F.filter(fields, lambda f, i: F.array_position(field_keys(fields), f.key) == i + 1)
-    return F.transform(first, lambda f: F.struct(f.key.alias("key"), last_value(fields, f.key).alias("value")))
+
+    def merged(f: Column, ks: Column) -> Column:
+        first = F.filter(f, lambda x, i: F.array_position(ks, x.key) == i + 1)
+        return F.transform(first, lambda x: F.struct(x.key.alias("key"), last_value(f, x.key).alias("value")))
+
+    return bound(fields, lambda f: bound(field_keys(f), lambda ks: merged(f, ks)))
 
 
 def signature(fields: Column) -> Column:
@@ -56,7 +61,10 @@ def signature(fields: Column) -> Column:
 
 def changed_fields(template: Column, report: Column) -> Column:
     """Fields of a parsed report whose value differs from the parsed template's, which counts as empty where it lacks the key."""
-    return as_dict(F.filter(report.fields, lambda f: f.value != F.coalesce(last_value(template.fields, f.key), F.lit(""))))
+    return bound(
+        F.struct(template.fields.alias("t"), report.fields.alias("r")),
+        lambda x: as_dict(F.filter(x.r, lambda f: f.value != F.coalesce(last_value(x.t, f.key), F.lit("")))),
+    )
 
 
 def render(template: Column, updates: Column, impression: Column) -> Column:
@@ -68,16 +76,21 @@ def render(template: Column, updates: Column, impression: Column) -> Column:
     def folded(k: Column) -> Column:
         return F.upper(strip(k))
 
-    def line(f: Column) -> Column:
-        u = F.get(F.filter(updates, lambda x: folded(x.key) == folded(f.key)), F.lit(0))
+    def line(f: Column, ups: Column) -> Column:
+        u = F.get(F.filter(ups, lambda x: folded(x.key) == folded(f.key)), F.lit(0))
         use = F.coalesce((u.key != "") & (u.value != ""), F.lit(False))
         return F.concat(f.key, F.lit(": "), F.when(use, strip(u.value)).otherwise(strip(f.value)))
 
-    known = F.transform(template.fields, lambda f: folded(f.key))
-    extra = F.filter(updates, lambda u: ~F.array_contains(known, folded(u.key)) & F.coalesce(u.value != "", F.lit(False)))
-    lines = F.concat(F.transform(template.fields, line), F.transform(extra, lambda u: F.concat(folded(u.key), F.lit(": "), strip(u.value))))
-    said = strip(F.coalesce(impression, F.lit("")))
-    return F.concat(F.lit("FINDINGS:\n"), F.array_join(lines, "\n"), F.lit("\n\nIMPRESSION:\n"), F.when(said != "", said).otherwise(strip(template.impression)))
+    def extra(x: Column) -> Column:
+        unknown = bound(F.transform(x.t.fields, lambda f: folded(f.key)), lambda ks: F.filter(x.u, lambda u: ~F.array_contains(ks, folded(u.key)) & F.coalesce(u.value != "", F.lit(False))))
+        return F.transform(unknown, lambda u: F.concat(folded(u.key), F.lit(": "), strip(u.value)))
+
+    def whole(x: Column) -> Column:
+        lines = F.concat(F.transform(x.t.fields, lambda f: line(f, x.u)), extra(x))
+        said = strip(F.coalesce(x.i, F.lit("")))
+        return F.concat(F.lit("FINDINGS:\n"), F.array_join(lines, "\n"), F.lit("\n\nIMPRESSION:\n"), F.when(said != "", said).otherwise(strip(x.t.impression)))
+
+    return bound(F.struct(template.alias("t"), updates.alias("u"), impression.alias("i")), whole)
 
 
 def structure_issues(report: Column, template: Column) -> Column:
@@ -98,7 +111,7 @@ def fidelity_warnings(dictation: Column, report: Column) -> Column:
     """Sides and measurements that are dictated and aren't in the report, as substrings; a repeated measurement warns each time."""
     said, written = F.lower(text_or_empty(dictation)), F.lower(text_or_empty(report))
     sides = [F.when(said.contains(s) & ~written.contains(s), F.lit(f"Laterality '{s}' present in dictation but missing in report.")) for s in ("right", "left")]
-    lost = F.filter(measurements(dictation), lambda m: ~F.contains(written, m))
+    lost = bound(written, lambda w: F.filter(measurements(dictation), lambda m: ~F.contains(w, m)))
     return F.concat(F.array_compact(F.array(*sides)), F.transform(lost, lambda m: F.concat(F.lit("Measurement '"), m, F.lit("' from dictation not found in report."))))
 
 
@@ -108,19 +121,17 @@ def routed(fields: Column, impression: Column, dictation: Column) -> Column:
     Sentences without such a field go to the first field with OTHER in its key, if there is one; the last sentence of a field counts. The impression is
     all sentences; a dictation that says all is normal changes nothing.
     """
-    said = strip(text_or_empty(dictation))
-    parts = sentences(dictation)
-
-    def target(s: Column) -> Column:
+    def target(s: Column, fs: Column) -> Column:
         low = F.lower(s)
-        hit = F.get(F.filter(fields, lambda f: F.exists(F.split(F.lower(f.key), f"{C.WS}+"), lambda w: (F.length(w) > 3) & F.contains(low, w))), F.lit(0))
-        other = F.get(F.filter(fields, lambda f: F.upper(f.key).contains("OTHER")), F.lit(0))
+        hit = F.get(F.filter(fs, lambda f: F.exists(F.split(F.lower(f.key), f"{C.WS}+"), lambda w: (F.length(w) > 3) & F.contains(low, w))), F.lit(0))
+        other = F.get(F.filter(fs, lambda f: F.upper(f.key).contains("OTHER")), F.lit(0))
         return F.when(hit.isNotNull(), F.struct(hit.key.alias("key"), capitalize(s).alias("value"))).otherwise(F.struct(other.key.alias("key"), s.alias("value")))
 
-    normal = (said == "") | F.lower(said).isin(C.NORMAL_DICTATIONS)
-    updates = as_dict(F.filter(F.transform(parts, target), lambda u: u.key.isNotNull()))
-    none = F.filter(updates, lambda u: F.lit(False))
-    return F.struct(
-        F.when(normal, none).otherwise(updates).alias("updates"),
-        F.when(normal | (F.size(parts) == 0), impression).otherwise(F.array_join(parts, " ")).alias("impression"),
-    )
+    def whole(x: Column) -> Column:
+        normal = (x.said == "") | F.lower(x.said).isin(C.NORMAL_DICTATIONS)
+        parts = F.when(normal, F.slice(x.parts, 1, 0)).otherwise(x.parts)
+        updates = as_dict(F.filter(F.transform(parts, lambda s: target(s, x.f)), lambda u: u.key.isNotNull()))
+        return F.struct(updates.alias("updates"), F.when(F.size(parts) == 0, x.i).otherwise(F.array_join(parts, " ")).alias("impression"))
+
+    said = strip(text_or_empty(dictation))
+    return bound(F.struct(said.alias("said"), sentences(dictation).alias("parts"), fields.alias("f"), impression.alias("i")), whole)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import constants as C
+from .binding import bound
 
 
 def text_or_empty(c: Column) -> Column:
@@ -35,29 +36,33 @@ def nfc(c: Column) -> Column:
     return F.coalesce(_composed(F.when(c.rlike(r"[^\x00-\x{2ff}]"), c)), c)
 
 
-def lines_joined(c: Column) -> Column:
-    """Lines without white space at their ends and one list marker each, joined by spaces."""
-    return F.array_join(F.transform(F.split(c, C.LINE_END), lambda line: F.regexp_replace(strip(line), C.LIST_MARKER, "")), " ")
-
-
-def boundaries_split(c: Column) -> Column:
-    """Hyphens between letters removed; letters and digits set apart."""
-    c = F.regexp_replace(c, "(?<=[a-z])-(?=[a-z])", "")
-    c = F.regexp_replace(c, r"(?<=[a-z])(?=\p{Nd})", " ")
-    return F.regexp_replace(c, r"(?<=\p{Nd})(?=[a-z])", " ")
-
-
 def standard_unit(token: Column) -> Column:
     units = F.create_map(*[F.lit(x) for pair in C.UNITS.items() for x in pair])
     return F.coalesce(F.try_element_at(units, token), token)
 
 
+def units_standardised(c: Column) -> Column:
+    """Whole words that spell a unit, as its standard form; texts without any part of such words are left alone."""
+    out = c
+    for unit in sorted(set(C.UNITS.values())):
+        names = "|".join(sorted((k for k, v in C.UNITS.items() if v == unit), key=len, reverse=True))
+        out = F.regexp_replace(out, f"{C.AT_START}(?:{names}){C.AT_END}", unit)
+    return F.when(c.contains("imet"), out).otherwise(c)
+
+
 def tokens(c: Column) -> Column:
-    """The tokens of a text as the metric sees them."""
+    """The tokens of a text as the metric sees them.
+
+    The rules are for lines and words, but none looks past its own, so each is one pass over the whole text instead of a function of every line
+    or word: list markers and white space at line starts, hyphens between letters, borders of letters and digits, punctuation at word edges, units, and then
+    numbers that are whole words before runs of letters and digits.
+    """
     low = F.lower(nfc(text_or_empty(c)))
-    words = F.split(boundaries_split(lines_joined(low)), f"{C.WS}+")
-    cleaned = F.filter(F.transform(words, lambda w: standard_unit(F.regexp_replace(w, C.EDGE_PUNCTUATION, ""))), lambda w: w != "")
-    return F.flatten(F.transform(cleaned, lambda w: F.when(w.rlike(C.NUMBER), F.array(w)).otherwise(F.regexp_extract_all(w, F.lit(f"({C.SUB_TOKEN})"), 1))))
+    flat = F.regexp_replace(F.concat(F.lit("\n"), F.regexp_replace(low, C.LINE_END, "\n")), C.LINE_STARTS, "\n")
+    flat = F.regexp_replace(flat, "-(?=[a-z])(?<=[a-z]-)", "")
+    flat = F.regexp_replace(flat, C.LETTER_NUMBER, " ")
+    flat = units_standardised(F.regexp_replace(flat, C.WORD_EDGES, ""))
+    return F.regexp_extract_all(flat, F.lit(f"({C.TOKEN})"), 1)
 
 
 def normalize_text(c: Column) -> Column:
@@ -92,5 +97,9 @@ def measurements(c: Column) -> Column:
 def words_and_pairs(c: Column) -> Column:
     """Runs of two word characters or more, lower-cased, and the pairs of neighbours joined by a space."""
     words = F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit(f"({C.WORD_RUN})"), 1)
-    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(words, F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>")))
+
+    def with_pairs(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.concat(w, F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+    return bound(words, with_pairs)

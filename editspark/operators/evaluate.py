@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import constants as C
 from ..functions import report as R
+from ..functions.binding import bound
 from ..functions.metric import edit_distance
 from ..functions.text import tokens
 
@@ -21,9 +22,17 @@ def scored_fields(cases: DataFrame) -> DataFrame:
 
     Fields meet within their case's row: an array of the keys of both, each looked up in the three parsed reports, so nothing is shuffled.
     """
-    ref, pred, tmpl = (F.col(c) for c in ("ref", "pred", "tmpl"))
-    keys = F.array_union(R.field_keys(ref.fields), R.field_keys(pred.fields))
-    rows = F.transform(keys, lambda k: F.struct(k.alias("key"), R.last_value(ref.fields, k).alias("ref"), R.last_value(pred.fields, k).alias("pred"), F.coalesce(R.last_value(tmpl.fields, k), F.lit("")).alias("tmpl")))
+    def met(x: Column) -> Column:
+        keys = F.array_union(R.field_keys(x.ref.fields), R.field_keys(x.pred.fields))
+        return F.transform(
+            keys,
+            lambda k: F.struct(
+                k.alias("key"), R.last_value(x.ref.fields, k).alias("ref"), R.last_value(x.pred.fields, k).alias("pred"),
+                F.coalesce(R.last_value(x.tmpl.fields, k), F.lit("")).alias("tmpl"),
+            ),
+        )
+
+    rows = bound(F.struct("ref", "pred", "tmpl"), met)
     exploded = cases.select("case_id", F.explode(rows).alias("f")).select("case_id", "f.*")
     with_tokens = exploded.withColumns({f"{c}_tokens": tokens(F.col(c)) for c in ("ref", "pred", "tmpl")})
     both = F.col("ref").isNotNull() & F.col("pred").isNotNull()

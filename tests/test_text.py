@@ -92,3 +92,22 @@ def test_cost_is_the_least(a, b):
     cost = metric.cost_of(a, b)
     assert cost == plain_cost(a, b) == metric.cost_of(b, a)
     assert (cost == 0) == (a == b)
+
+
+def test_whole_text_rules_equal_word_by_word_rules(spark):
+    """The one-pass form against the rules applied to each line and word, as the SQL form states them."""
+    import random
+
+    import duckdb
+    import pandas as pd
+
+    from editspark.plans.oracle import tokens as sql_tokens
+
+    random.seed(4)
+    parts = ["a", "bc", "5", "12", ".", "-", "+", " ", "  ", "\n", "\n\n", "(", ")", ",", "mm", "millimeters", "centimetre", "•", "1)", "2.", "é", " ", " ", '"', "'", "*", "x-y", "\t", "٣", "\r\n", "\x1f", "3.5"]
+    texts = ["".join(random.choice(parts) for _ in range(random.randrange(1, 14))) for _ in range(4000)]
+    pdf = pd.DataFrame({"k": range(len(texts)), "t": texts})
+    expected = dict(duckdb.sql(f"SELECT k, {sql_tokens('t')} FROM pdf").fetchall())
+    got = {r.k: r.toks for r in spark.createDataFrame(pdf).select("k", T.tokens(F.col("t")).alias("toks")).collect()}
+    wrong = [(texts[k], got[k], expected[k]) for k in expected if got[k] != expected[k]]
+    assert not wrong, wrong[:5]

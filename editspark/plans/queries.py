@@ -12,8 +12,8 @@ from ..functions import text as T
 from ..functions.metric import edit_cost, edit_distance
 from ..operators import batch, evaluate, retrieve
 from ..sources.files import last_records
+from . import crossval, generate, prompts
 from . import fixtures as X
-from . import generate, prompts
 
 
 def r6(c) -> Column:
@@ -233,23 +233,13 @@ def stratified_folds(s: SparkSession, d: str) -> DataFrame:
     return evaluate.stratified_folds(X.strata(s, d)).select("doc_id", long("fold").alias("fold"))
 
 
-def _cross_validated(s: SparkSession, d: str) -> DataFrame:
-    """Each case's report made by rules, scored against its own, with its fold and whether its structure holds."""
-    cases = X.cases(s, d)
-    made = generate.routed_reports(cases, "row_idx", "modality", "body_part", "template_content", F.col("report").alias("truth"))
-    made = made.withColumnRenamed("report", "predicted").withColumnRenamed("truth", "report")
-    valid = F.size(R.structure_issues(F.col("predicted"), F.col("template_content"))) == 0
-    scores = evaluate.report_scores(made.withColumn("valid", valid), "row_idx", "modality", "body_part", "valid")
-    return evaluate.stratified_folds(scores)
-
-
 def cv_fold_means(s: SparkSession, d: str) -> DataFrame:
-    m = evaluate.fold_means(_cross_validated(s, d))
+    m = evaluate.fold_means(crossval.cross_validated(X.cases(s, d)))
     return m.select(long("fold").alias("fold"), "n", *(r6(c).alias(c) for c in ("mean_res", "mean_findings", "mean_impression")))
 
 
 def cv_summary(s: SparkSession, d: str) -> DataFrame:
-    m = evaluate.overall(_cross_validated(s, d))
+    m = evaluate.overall(crossval.cross_validated(X.cases(s, d)))
     return m.select(*(r6(c).alias(c) for c in ("overall_res", "overall_findings", "overall_impression")), "validation_failures", "total_cases")
 
 

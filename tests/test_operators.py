@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from editspark.operators import batch, evaluate, retrieve
-from editspark.plans import generate
+from editspark.plans import crossval, generate
 from editspark.sources import files
 
 CASES = "case_id string, row_idx long, modality string, body_part string, template_content string, dictation string, report string, predicted string"
@@ -178,3 +178,17 @@ def test_batches(spark):
     with pytest.raises(ValueError, match="c0"):
         batch.require_complete(cases, done)
     batch.require_complete(cases, done, allow_partial=True)
+
+
+def test_cross_validation_with_and_without_answers(spark):
+    t, truth = "FINDINGS:\nLUNGS: clear\nIMPRESSION:\nfine", "FINDINGS:\nLUNGS: Lungs wet\nIMPRESSION:\nlungs wet"
+    rows = [(f"c{k}", k, "m", "b", t, "lungs wet", truth, "") for k in range(7)]
+    cases = spark.createDataFrame(rows, CASES)
+    by_rules = {r.case_id: (r.res_case, r.valid, r.fold) for r in crossval.cross_validated(cases).collect()}
+    assert by_rules == {f"c{k}": (0.0, True, k % 5) for k in range(7)}
+    answers = spark.createDataFrame([("c0", json.dumps({"field_updates": {"LUNGS": "dry"}, "impression": "lungs wet"}))], "case_id string, raw_response string")
+    got = {r.case_id: r.res_case for r in crossval.cross_validated(cases, answers).collect()}
+    assert got["c0"] > 0 and got["c1"] == 0
+    means = {r.fold: r.n for r in evaluate.fold_means(crossval.cross_validated(cases)).collect()}
+    assert means == {0: 2, 1: 2, 2: 1, 3: 1, 4: 1}
+    assert evaluate.overall(crossval.cross_validated(cases)).first().total_cases == 7

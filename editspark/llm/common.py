@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,6 +70,14 @@ def fold(modulus: int, column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("null")).cast("binary")) % modulus
 
 
+def thinned(key: Column, wanted: int, rows: Column) -> Column:
+    """Whether a row's hash of ``key`` is among about four times ``wanted`` of ``rows`` rows (all, if there are fewer).
+
+    A first cut before rows are ranked by that hash: what reaches the ranking doesn't grow with the number of tasks.
+    """
+    return F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 32)).cast("double") * rows < 4.0 * wanted * (1 << 32)
+
+
 def small_or_joined(left: DataFrame, right: DataFrame, on, how: str, rows: int | None = None) -> DataFrame:
     """Join with ``right`` broadcast if it has at most ``BROADCAST_ROWS`` rows, else by a shuffle."""
     n = right.count() if rows is None else rows

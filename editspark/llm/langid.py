@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import judged, record_batch
+from .common import judged, record_batch, small_or_joined, thinned
 
 MOST_ROWS = 400
 BITS, WIDTH, ORDERS = 16, 16, 4
@@ -121,8 +121,11 @@ def train(docs: DataFrame, learn_from) -> Model | None:
     """The model from the rows of ``docs`` with a language for which the column ``learn_from`` of ``doc_id`` holds."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.filter(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id"))
-    chosen = known.select("doc_id", "lang").withColumn("n", rank).filter(F.col("n") <= MOST_ROWS).select("doc_id").distinct()
+    rows = known.groupBy("lang").agg(F.count("*").alias("rows"))
+    some = small_or_joined(known.select("doc_id", "lang"), rows, "lang", "inner").filter(thinned(F.col("doc_id"), MOST_ROWS, F.col("rows")))
+    by_hash = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 32))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(by_hash, "doc_id"))
+    chosen = some.withColumn("n", rank).filter(F.col("n") <= MOST_ROWS).select("doc_id").distinct()
     chosen = docs.sparkSession.createDataFrame(chosen.toArrow())  # at most ``MOST_ROWS`` ids a language
     spec = "doc_id long, lang string, found binary, share binary"
 

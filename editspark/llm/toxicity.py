@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import judged, record_batch, texts
+from .common import judged, record_batch, small_or_joined, texts, thinned
 
 MOST_TOXIC, MOST_UNLABELLED = 2_000, 8_000
 BITS = 18
@@ -139,9 +139,13 @@ def train(docs: DataFrame, labels: DataFrame, learn_from) -> tuple[np.ndarray, f
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(learn_from & F.col("toxic").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = known.agg(F.avg((F.col("toxic") > 0).cast("double")).alias("p")).first().p
-    by_hash = F.xxhash64(F.col("doc_id"), F.lit("sample"))
-    toxic = ids.join(known.filter("toxic > 0"), "doc_id", "left_semi").orderBy(by_hash, "doc_id").limit(MOST_TOXIC)
-    some = ids.orderBy(by_hash, "doc_id").limit(MOST_UNLABELLED)
+
+    def first(rows: DataFrame, most: int) -> DataFrame:
+        by_hash = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 32))
+        return rows.filter(thinned(F.col("doc_id"), most, F.lit(rows.count()))).orderBy(by_hash, "doc_id").limit(most)
+
+    toxic = first(small_or_joined(ids, known.filter("toxic > 0").select("doc_id"), "doc_id", "left_semi"), MOST_TOXIC)
+    some = first(ids, MOST_UNLABELLED)
     chosen = toxic.withColumn("of", F.lit("P")).union(some.withColumn("of", F.lit("U"))).distinct()
     chosen = docs.sparkSession.createDataFrame(chosen.toArrow())  # at most as many ids as the bounds
     spec = "of string, features binary, values binary"

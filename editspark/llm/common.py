@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -84,6 +86,13 @@ def small_or_joined(left: DataFrame, right: DataFrame, on, how: str, rows: int |
     return left.join(F.broadcast(right) if n <= BROADCAST_ROWS else right, on, how)
 
 
+def freed() -> None:
+    """Gives memory that Arrow and the allocator keep for later back to the system, so that workers that are used again don't add up."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def judged(docs: DataFrame, judge: Callable[[list[str]], Iterable], spec: str, keep_rows: bool = False) -> DataFrame:
     """Rows with the columns of ``spec`` that ``judge`` makes from a list of texts (null: empty).
 
@@ -102,6 +111,8 @@ def judged(docs: DataFrame, judge: Callable[[list[str]], Iterable], spec: str, k
             for start, n in slices(said):
                 found = record_batch(spec, judge([t or "" for t in said.slice(start, n).to_pylist()]))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, n), *found.columns], [b.schema.names[0], *found.schema.names])
+            del said
+            freed()
 
     return base.mapInArrow(run, out)
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import judged, record_batch, small_or_joined, thinned
+from .common import freed, judged, record_batch, small_or_joined, thinned
 
 MOST_ROWS = 400
 BITS, WIDTH, ORDERS = 16, 16, 4
@@ -135,6 +135,7 @@ def train(docs: DataFrame, learn_from) -> Model | None:
             for doc, lang, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "lang", "text")), strict=True):
                 counts = np.bincount(subwords(letters(text)), minlength=1)
                 rows.append((doc, lang, counts))
+            freed()
             kept = [(doc, lang, np.flatnonzero(c).astype(np.int32), c) for doc, lang, c in rows if c.any()]
             yield record_batch(spec, [[r[0] for r in kept], [r[1] for r in kept], [r[2].tobytes() for r in kept], [(c[f] / c.sum()).astype(np.float32).tobytes() for _, _, f, c in kept]])
 

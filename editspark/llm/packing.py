@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import WORDS, byte_alphabet
-from .common import chunks, record_batch, small_or_joined, texts, written
+from .common import chunks, freed, record_batch, small_or_joined, texts, written
 
 
 @functools.lru_cache(2)
@@ -71,6 +71,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, with_ids:
                             column.append(x)
                         seen[n] += 1
                 yield record_batch(spec, out if with_ids else out[:-1])
+            freed()
 
     return texts(docs).mapInArrow(run, spec)
 

@@ -10,9 +10,10 @@ node with few documents is a leaf: its documents are compared exhaustively, firs
 have a partner there, on full sets. Larger nodes are split again, ``DEPTH`` times at most.
 
 What is left beyond ``DEPTH`` is a node whose documents share ``DEPTH`` chosen minwise tokens: mostly copies of one text. It is
-dealt into small blocks, each with the same few hubs of the node (the documents nearest to its majority sketch), so that its size costs
-linear time; links that neither a block nor a hub sees are left to the other trees. No pair of documents is ever listed for
-a whole node.
+dealt into small blocks, each with the same few hubs of the node (the documents nearest to its majority sketch). Copies of one text are
+one component after that. Where a node still holds several components (``across``), its full sets are compared block against block, in
+tasks of bounded size; only pairs inside the node's largest component, which are linked already, are left out. No pair of documents is ever
+listed for a whole node.
 
 A leaf's confirmed links are a spanning forest of its linked documents: links inside what is connected already add nothing to components.
 
@@ -48,6 +49,9 @@ LEAF, BLOCK, HUBS, MAJORITY = 64, 48, 4, 64
 #: One-bit sketches agree in this many of COORDINATES bits at least for a pair to be looked at: 0.93 expected at the target, less four deviations.
 AGREE = 106
 
+#: Documents and shingles of a side of a comparison of blocks, on average; columns of its matrices.
+SIDE, SIDE_SHINGLES, COLUMNS = 1024, 2_000_000, 2048
+
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -222,8 +226,8 @@ def blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return dealt.select(*cols).union(copies.select(*cols))
 
 
-def leaves(reps: DataFrame) -> DataFrame:
-    """``node, doc, n, s0, s1`` of every leaf and block of all trees over the representatives."""
+def leaves(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``node, doc, n, s0, s1`` of every leaf and block of all trees over the representatives, and the whole nodes left beyond ``DEPTH``."""
     roots = F.explode(F.array(*(F.xxhash64(F.lit(k), F.lit("tree")) for k in range(TREES))))
     rows = written(children(reps.withColumn("node", roots)), "nodes")  # a few rows a document and tree, by design
     out = None
@@ -235,17 +239,17 @@ def leaves(reps: DataFrame) -> DataFrame:
         done = small_or_joined(rows, large.select("node"), "node", "left_anti", count) if count else rows
         out = done if out is None else out.union(done)
         if not count:
-            return out
+            return out, None
         rest = small_or_joined(rows, large.select("node"), "node", "left_semi", count)
         if depth == DEPTH:
-            return out.union(blocks(rest, large))
+            return out.union(blocks(rest, large)), rest
         rest = small_or_joined(rest, reps.select("doc", "sig"), "doc", "inner", 1 << 60)
         rows = written(children(rest), "nodes")
-    return out
+    return out, None
 
 
-def links(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """``a, b``: a spanning forest of the confirmed links of each unit of ``members(unit, doc)``, a bounded number of documents each."""
+def packed(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``doc, blob``: the compressed text of each document of ``members``."""
     wanted = members.select(F.col("doc").alias("doc_id")).distinct()
     spec = "doc long, blob binary"
 
@@ -254,7 +258,11 @@ def links(docs: DataFrame, members: DataFrame) -> DataFrame:
         for b in batches:
             yield record_batch(spec, [b.column("doc_id"), [pack.compress(t.encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()]])
 
-    blobs = small_or_joined(texts(docs), written(wanted, "wanted"), "doc_id", "left_semi").mapInArrow(squeeze, spec).groupBy("doc").agg(F.max("blob").alias("blob"))
+    return small_or_joined(texts(docs), written(wanted, "wanted"), "doc_id", "left_semi").mapInArrow(squeeze, spec).groupBy("doc").agg(F.max("blob").alias("blob"))
+
+
+def links(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``a, b``: a spanning forest of the confirmed links of each unit of ``members(unit, doc)``, a bounded number of documents each."""
     found = "a long, b long"
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +283,81 @@ def links(docs: DataFrame, members: DataFrame) -> DataFrame:
                 out = []
         yield from_rows(found, out)
 
-    return members.join(blobs, "doc").select("unit", "doc", "blob").repartition("unit").sortWithinPartitions("unit").mapInArrow(confirm, found)
+    return members.join(packed(docs, members), "doc").select("unit", "doc", "blob").repartition("unit").sortWithinPartitions("unit").mapInArrow(confirm, found)
+
+
+def shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of all sets of ``a`` with all of ``b``, by products of 0-1 matrices over the shingles that both sides have."""
+    out = np.zeros((len(a), len(b)), np.float32)  # exact below 2 ** 24 shingles a set
+    both = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)), assume_unique=True)
+    sides = []
+    for sets in (a, b):
+        values, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        column = np.searchsorted(both, values)
+        known = column < len(both)
+        known[known] = both[column[known]] == values[known]
+        order = np.argsort(column[known], kind="stable")
+        sides.append((row[known][order], column[known][order]))
+    for at in range(0, len(both), COLUMNS):
+        width, parts = min(COLUMNS, len(both) - at), []
+        for (row, column), sets in zip(sides, (a, b), strict=True):
+            start, end = np.searchsorted(column, (at, at + width))
+            part = np.zeros((len(sets), width), np.float32)
+            part[row[start:end], column[start:end] - at] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def across(docs: DataFrame, rest: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """``a, b``: links between different components of ``labels(id, component)`` within the nodes ``rest``, enough to connect what is linked; None if there is nothing to compare.
+
+    The documents outside a node's largest component are dealt into blocks that meet each other, themselves and the blocks of that component.
+    """
+    named = labels.select(F.col("id").alias("doc"), "component")
+    rows = small_or_joined(rest.select("node", "doc", "n").distinct(), named, "doc", "left").select("node", "doc", "n", F.coalesce("component", "doc").alias("label"))
+    rows = written(rows, "labelled")
+    shares = rows.groupBy("node", "label").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    largest = F.struct("size", "label", "n")
+    nodes = shares.groupBy("node").agg(F.count("*").alias("labels"), F.max(largest).alias("main"), F.sum("size").alias("size"), F.sum("n").alias("n")).filter("labels > 1")
+    many = lambda size, n: F.greatest(F.ceil(size / SIDE), F.ceil(n / SIDE_SHINGLES))
+    minor, major = many(F.col("size") - F.col("main.size"), F.col("n") - F.col("main.n")), many(F.col("main.size"), F.col("main.n"))
+    nodes = written(nodes.select("node", F.col("main.label").alias("main"), minor.alias("minor"), major.alias("major")), "unsettled")
+    count = nodes.count()
+    if not count:
+        return None
+    dealt, of_main = small_or_joined(rows, nodes, "node", "inner", count), F.col("label") == F.col("main")
+    mixed = F.xxhash64("doc", F.lit("side"))
+    dealt = dealt.withColumn("block", F.when(of_main, F.col("minor") + F.pmod(mixed, F.col("major"))).otherwise(F.pmod(mixed, F.col("minor"))))
+    others = F.sequence(F.lit(0).cast("long"), F.when(of_main, F.col("minor")).otherwise(F.col("minor") + F.col("major")) - 1)
+    dealt = dealt.withColumn("other", F.explode(others))
+    unit = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
+    members = written(dealt.select(unit.alias("unit"), "doc", "block", "label"), "sides")
+    found = "a long, b long"
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for rows in groups(batches, "unit"):
+            if len({label for _, _, _, label, _ in rows}) < 2:
+                continue
+            sides: dict[int, list] = {}
+            for _, doc, block, label, blob in rows:
+                sides.setdefault(block, []).append((doc, label, shingles(unpack.decompress(blob).decode("utf-8", "surrogatepass"))))
+            one, other = (list(sides.values()) * 2)[:2]
+            size = [np.array([len(x) for _, _, x in side], np.int64) for side in (one, other)]
+            both = shared([x for _, _, x in one], [x for _, _, x in other])
+            linked = 100 * both >= PERCENT * (size[0][:, None] + size[1][None] - both)
+            mine, theirs = (np.array([label for _, label, _ in side], np.int64) for side in (one, other))
+            out = []
+            for k in np.flatnonzero(linked.any(axis=1)):
+                partners = np.flatnonzero(linked[k] & (theirs != mine[k]))
+                for old, j in zip(*np.unique(theirs[partners], return_index=True), strict=True):
+                    out.append((one[k][0], other[partners[j]][0]))
+                    mine[mine == old], theirs[theirs == old] = (new := mine[k]), new
+            yield from_rows(found, out)
+            freed()
+
+    return members.join(packed(docs, members), "doc").select("unit", "doc", "block", "label", "blob").repartition("unit").sortWithinPartitions("unit").mapInArrow(confirm, found)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -286,8 +368,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     one = classes.groupBy("doc").agg(F.max(F.struct("set_id", "n", "sig", "s0", "s1")).alias("of"))
     reps = written(one.select("doc", "of.*"), "classes")
-    members = written(promising(leaves(reps)), "members")
-    labels = written(components(links(docs, members)), "components")
+    found, rest = leaves(reps)
+    members = written(promising(found), "members")
+    linked = written(links(docs, members), "linked")
+    labels = written(components(linked), "components")
+    more = None if rest is None else across(docs, rest, labels)
+    if more is not None:
+        more = written(more, "more")
+        if not more.isEmpty():
+            labels = written(components(linked.union(more)), "components")
     labelled = small_or_joined(reps.select("set_id", "doc"), labels.select(F.col("id").alias("doc"), "component"), "doc", "left")
     by_class = labelled.select("set_id", F.coalesce("component", "doc").alias("component"))
     out = all_rows.select("doc_id", "n_shingles", "set_id").join(by_class, "set_id", "left")

@@ -68,6 +68,24 @@ def test_groups_of_copies_larger_than_leaves(docs_of):
     assert len({r.component_id for r in rows}) <= 1.01 * len(set(group.values()))
 
 
+def test_variants_of_an_absent_text_equal_brute_force(docs_of):
+    """A large group in which each document is linked to few others: too alike to be split, not copies of one text."""
+    base, texts = text(300, 0), []
+    for k in range(150):
+        mine = edited(base, 4, k)
+        texts += [" ".join(mine), " ".join(edited(mine, 2, 1000 + k))]
+    pairs = list(enumerate(texts))
+    rows = neardup.near_duplicates(docs_of(pairs)).collect()
+    check(rows, pairs)
+    assert len({r.component_id for r in rows}) > 70
+
+
+def test_blocks_share_what_sets_share():
+    draw = random.Random(5)
+    sets = [np.unique(np.array([draw.randrange(400) for _ in range(draw.randrange(1, 300))], np.uint64)) for _ in range(30)]
+    assert neardup.shared(sets[:18], sets[18:]).tolist() == [[len(np.intersect1d(a, b)) for b in sets[18:]] for a in sets[:18]]
+
+
 def test_odd_texts(docs_of):
     texts = [None, "", " \t\n", "One two", "one  TWO", "two one", "ÀB c d e f", "àb c d e f", "a b c d e", "a b c d e", "x " * 40_000, "x\xa0y z q r s", "X\xa0Y z q r s"]
     check(neardup.near_duplicates(docs_of(texts)).collect(), list(enumerate(texts)))

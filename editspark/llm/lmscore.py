@@ -9,9 +9,10 @@ With ``c`` the counts of a model, ``V`` the vocabulary's size and ``h`` the toke
 
     p(w | h) = (c(h, w) + MASS * q(w)) / (c(h) + MASS)      q(w) = (c(w) + 1) / (N + V)
 
-Pairs of tokens are counted in a hashed table of ``2 ** BITS`` cells, so that the models have one proven size, whatever the input, and are sent to all
-tasks. Each task counts its own documents, sends each range of cells once as one compressed block, and blocks of a range are added
-as a stream.
+Pairs of tokens are counted exactly, however many distinct ones there are. Documents are tokenised once, into chunks of bounded size. Each
+chunk sends its distinct pairs with their counts, dealt by hash into ranges whose number follows the tokens of the input; a range adds the counts
+of each pair and answers each chunk with the totals of its pairs, so no table of all pairs is ever in one place, and a hot pair
+comes once a chunk. Only the counts of single tokens, of the vocabulary's size, are sent to all tasks.
 
 Defined results: a null or empty text has no tokens, losses and score 0; without target documents both models are smoothing alone on that
 side; a document counts as target if any of its labels says so; repeated rows count and are scored each; other columns are ignored.
@@ -19,6 +20,7 @@ side; a document counts as target if any of its labels says so; repeated rows co
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -27,21 +29,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, from_rows, record_batch, small_or_joined, texts
+from .common import chunks, freed, from_rows, small_or_joined, texts, written
 from .packing import tokenizer
 
-BITS, RANGES = 22, 256
 MASS = 50.0
-CELLS = 1 << BITS
-_WIDTH = CELLS // RANGES
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Ranges of pairs at least, and tokens of the input for each; both powers of two. Slices of the counts of single tokens.
+RANGES, RANGE_TOKENS, SLICES = 128, 1 << 21, 16
+#: Bytes of text of a chunk.
+CHUNK = 8_000_000
 
 
-def cells(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
-    """The token before each token, and the cell of each pair."""
-    before = np.concatenate([[vocabulary], ids[:-1]]).astype(np.uint64)
-    mixed = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return before.astype(np.int64), (mixed >> np.uint64(64 - BITS)).astype(np.int64)
+def pairs(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """The token before each token, and the number of each pair, one to one."""
+    before = np.concatenate([[vocabulary], ids[:-1]]).astype(np.int64)
+    return before, before * (vocabulary + 1) + ids
+
+
+def mixed(numbers: np.ndarray) -> np.ndarray:
+    """Numbers of pairs in hashed order: one to one, and undone by ``unmixed``."""
+    x = numbers.astype(np.uint64) * _ODD
+    return x ^ (x >> np.uint64(32))
+
+
+def unmixed(x: np.ndarray) -> np.ndarray:
+    return (x ^ (x >> np.uint64(32))) * _INVERSE
 
 
 def flagged(docs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -50,59 +63,142 @@ def flagged(docs: DataFrame, targets: DataFrame) -> DataFrame:
     return small_or_joined(texts(docs), ids, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
 
 
-def counts(rows: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of background and target: tokens (the start mark last), and cells; from all rows of ``flagged``."""
-    spec = "range int, block binary"
-    vocabulary = tokenizer(path).n_vocab
+def squeezed(x: np.ndarray) -> bytes:
+    return zlib.compress(x.tobytes(), 1)
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def opened(block: bytes, kind=np.int64) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(block), kind)
+
+
+TOKENS = "chunk long, n long, docs binary, known binary, targets binary, sizes binary, ids binary"
+
+
+def tokenised(rows: DataFrame, path: str) -> DataFrame:
+    """Documents of ``flagged`` in chunks: ids (and whether there is one), targets, numbers of tokens, and all tokens in a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokenizer(path)
-        tokens = np.zeros((2, vocabulary + 1), np.int64)
-        pairs = np.zeros((2, CELLS), np.uint32)
+        held: list[tuple] = []
+        size = 0
+
+        def chunk() -> pa.RecordBatch:
+            docs, targets, found = zip(*held, strict=True)
+            sizes = np.array([len(x) for x in found], np.int64)
+            columns = (np.array([d or 0 for d in docs], np.int64), np.array([d is not None for d in docs]), np.array(targets, bool), sizes, np.concatenate(found))
+            return from_rows(TOKENS, [(uuid.uuid4().int >> 65, int(sizes.sum()), *map(squeezed, columns))])
+
         for b in batches:
             for c in chunks(b, "text"):
-                for text, target in zip(c.column("text").to_pylist(), c.column("target").to_pylist(), strict=True):
-                    ids = np.array(enc.encode(text, allowed_special="all"), np.int64)
-                    if len(ids):
-                        _, at = cells(ids, vocabulary)
-                        for side in (0, 1)[: 1 + target]:
-                            np.add.at(tokens[side], ids, 1)
-                            tokens[side][vocabulary] += 1
-                            np.add.at(pairs[side], at, 1)
-        rows = [(-1, zlib.compress(tokens.tobytes(), 1))]
-        for k in range(RANGES):
-            block = pairs[:, k * _WIDTH : (k + 1) * _WIDTH]
-            if block.any():
-                rows.append((k, zlib.compress(block.tobytes(), 1)))
-        yield from_rows(spec, rows if tokens.any() else [])
+                for doc, text, target in zip(*(c.column(k).to_pylist() for k in ("doc_id", "text", "target")), strict=True):
+                    held.append((doc, target, np.array(enc.encode(text, allowed_special="all"), np.uint32)))
+                    size += len(text)
+                    if size > CHUNK:
+                        yield chunk()
+                        held, size = [], 0
+            freed()
+        if held:
+            yield chunk()
+
+    return rows.select("doc_id", "text", "target").mapInArrow(run, TOKENS)
+
+
+class Chunk:
+    """The documents of a row of ``TOKENS``."""
+
+    def __init__(self, row: dict, vocabulary: int):
+        self.docs, self.known, self.targets, self.sizes = opened(row["docs"]), opened(row["known"], bool), opened(row["targets"], bool), opened(row["sizes"])
+        self.ids = opened(row["ids"], np.uint32).astype(np.int64)
+        self.ends = np.cumsum(self.sizes)
+        numbers = np.zeros(len(self.ids), np.int64)
+        for start, end in zip(self.ends - self.sizes, self.ends, strict=True):
+            if end > start:
+                numbers[start:end] = pairs(self.ids[start:end], vocabulary)[1]
+        #: The distinct pairs in hashed order, the place of each token's pair among them, and their counts.
+        self.distinct, self.places, self.often = np.unique(mixed(numbers), return_inverse=True, return_counts=True)
+        self.of_target = np.repeat(self.targets, self.sizes)
+
+    def ranges(self, n: int) -> np.ndarray:
+        """Where each of ``n`` ranges, a power of two, ends among the distinct pairs."""
+        return np.searchsorted(self.distinct >> np.uint64(64 - n.bit_length() + 1), np.arange(n, dtype=np.uint64), "right")
+
+
+def opened_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for k in range(b.num_rows):
+            yield b.slice(k, 1).to_pylist()[0]
+
+
+def counts(chunked: DataFrame, vocabulary: int, n_ranges: int) -> tuple[np.ndarray, DataFrame]:
+    """Counts of single tokens (the start mark last) of background and target, and ``chunk, answers``: the totals of each chunk's pairs, by range."""
+    spec = "range long, chunk long, block binary, often binary, target binary"
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = np.zeros((2, vocabulary + 1), np.int64)
+        for row in opened_rows(batches):
+            c = Chunk(row, vocabulary)
+            target = np.bincount(c.places[c.of_target], minlength=len(c.distinct))
+            numbers = unmixed(c.distinct)
+            for side, ids, full in ((0, c.ids, c.sizes > 0), (1, c.ids[c.of_target], (c.sizes > 0) & c.targets)):
+                tokens[side] += np.bincount(ids, minlength=vocabulary + 1)
+                tokens[side][vocabulary] += full.sum()
+            out, start = [], 0
+            for k, end in enumerate(c.ranges(n_ranges)):
+                if end > start:
+                    out.append((k, row["chunk"], *map(squeezed, (numbers[start:end], c.often[start:end], target[start:end]))))
+                start = end
+            yield from_rows(spec, out)
+            freed()
+        if tokens.any():
+            yield from_rows(spec, [(-1 - k, 0, squeezed(np.ascontiguousarray(part)), b"", b"") for k, part in enumerate(np.array_split(tokens, SLICES, axis=1))])
+
+    found = written(chunked.mapInArrow(gather, spec), "pairs")
+    totals = "range long, block binary"
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}  # of the ranges dealt to this task, RANGES + 1 at most
-        for b in batches:
-            for k, block in zip(b.column("range").to_pylist(), b.column("block").to_pylist(), strict=True):
-                found = np.frombuffer(zlib.decompress(block), np.int64 if k < 0 else np.uint32)
-                if k in sums:
-                    sums[k] += found
-                else:
-                    sums[k] = found.astype(np.int64)
-        yield record_batch(spec, [list(sums), [zlib.compress(s.tobytes(), 1) for s in sums.values()]])
-
-    total = rows.select("text", "target").mapInArrow(gather, spec).repartition("range").mapInArrow(add, spec).toArrow()
-    tokens, pairs = np.zeros((2, vocabulary + 1), np.int64), np.zeros((2, CELLS), np.int64)
-    for k, block in zip(total.column("range").to_pylist(), total.column("block").to_pylist(), strict=True):
-        found = np.frombuffer(zlib.decompress(block), np.int64).reshape(2, -1)
-        if k < 0:
-            tokens = found
-        else:
-            pairs[:, k * _WIDTH : (k + 1) * _WIDTH] = found
-    return tokens[0], tokens[1], pairs[0], pairs[1]
-
-
-def loss(ids: np.ndarray, tokens: np.ndarray, n: int, pairs: np.ndarray, own: bool) -> float:
-    """The mean loss of a text's ids under a model; ``own``: its counts are in the model and are taken out. ``n``: tokens of the model."""
+        sums: dict[int, np.ndarray] = {}  # of SLICES slices at most
+        for row in opened_rows(batches):
+            sums[row["range"]] = sums.get(row["range"], 0) + opened(row["block"])
+        yield from_rows(totals, [(k, squeezed(x)) for k, x in sums.items()])
+
+    slices = found.filter("range < 0").select("range", "block").repartition("range").mapInArrow(add, totals).toArrow()
+    parts = {k: opened(block).reshape(2, -1) for k, block in zip(slices.column("range").to_pylist(), slices.column("block").to_pylist(), strict=True)}
+    tokens = np.concatenate([parts[-1 - k] for k in range(SLICES)], axis=1) if parts else np.zeros((2, vocabulary + 1), np.int64)
+    spec_out = "chunk long, range long, background binary, target binary"
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def said(held: list[dict]) -> pa.RecordBatch:
+            blocks = [opened(r["block"], np.uint64) for r in held]
+            _, place = np.unique(np.concatenate(blocks), return_inverse=True)
+            ends, out = np.cumsum([len(x) for x in blocks])[:-1], []
+            sides = []
+            for side in ("often", "target"):
+                weights = np.concatenate([opened(r[side]) for r in held])
+                sides.append(np.split(np.bincount(place, weights).astype(np.int64)[place], ends))  # exact below 2 ** 53
+            for r, background, target in zip(held, *sides, strict=True):
+                out.append((r["chunk"], r["range"], squeezed(background), squeezed(target)))
+            return from_rows(spec_out, out)
+
+        held: list[dict] = []
+        for row in opened_rows(batches):
+            if held and held[0]["range"] != row["range"]:
+                yield said(held)
+                held = []
+            held.append(row)
+        if held:
+            yield said(held)
+        freed()
+
+    answers = found.filter("range >= 0").repartition("range").sortWithinPartitions("range").mapInArrow(answer, spec_out)
+    return tokens, answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("range", "background", "target"))).alias("answers"))
+
+
+def loss(ids: np.ndarray, tokens: np.ndarray, n: int, at: np.ndarray, c_pair: np.ndarray, own: bool) -> float:
+    """The mean loss of a text's ids under a model; ``own``: its counts are in the model and are taken out. ``n``: tokens of the model;
+    ``at``: equal for equal pairs; ``c_pair``: the model's count of each pair."""
     vocabulary = len(tokens) - 1
-    before, at = cells(ids, vocabulary)
-    c_pair, c_token, c_before = pairs[at].astype(np.float64), tokens[ids].astype(np.float64), tokens[before].astype(np.float64)
+    before, _ = pairs(ids, vocabulary)
+    c_pair, c_token, c_before = c_pair.astype(np.float64), tokens[ids].astype(np.float64), tokens[before].astype(np.float64)
     if own:
         _, where, often = np.unique(at, return_inverse=True, return_counts=True)
         c_pair -= often[where]
@@ -118,24 +214,32 @@ def loss(ids: np.ndarray, tokens: np.ndarray, n: int, pairs: np.ndarray, own: bo
 
 def scores(docs: DataFrame, targets: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens, loss_target, loss_background, score`` of every document."""
-    rows = flagged(docs, targets)
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(x.astype(np.uint32) if x.max(initial=0) < 1 << 32 else x for x in counts(rows, path)))
+    vocabulary = tokenizer(path).n_vocab
+    chunked = written(tokenised(flagged(docs, targets), path), "tokens")
+    total = chunked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    n_ranges = RANGES
+    while n_ranges * RANGE_TOKENS < total:
+        n_ranges *= 2
+    tokens, answers = counts(chunked, vocabulary, n_ranges)
+    shared = docs.sparkSession.sparkContext.broadcast(tokens)
     spec = "doc_id long, n_tokens long, loss_target double, loss_background double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokenizer(path)
-        background, target, background_pairs, target_pairs = shared.value
-        n_background, n_target = (int(x[:-1].sum(dtype=np.int64)) for x in (background, target))
-        for b in batches:
-            for c in chunks(b, "text"):
-                out = []
-                for doc, text, is_target in zip(*(c.column(k).to_pylist() for k in ("doc_id", "text", "target")), strict=True):
-                    ids = np.array(enc.encode(text, allowed_special="all"), np.int64)
-                    if not len(ids):
-                        out.append((doc, 0, 0.0, 0.0, 0.0))
-                        continue
-                    t, g = loss(ids, target, n_target, target_pairs, is_target), loss(ids, background, n_background, background_pairs, True)
-                    out.append((doc, len(ids), t, g, g - t))
-                yield from_rows(spec, out)
-
-    return rows.mapInArrow(run, spec)
+        background, target = shared.value
+        n_background, n_target = (int(x[:-1].sum()) for x in (background, target))
+        for row in opened_rows(batches):
+            c, said = Chunk(row, vocabulary), row["answers"] or []
+            background_pairs, target_pairs = (np.concatenate([np.zeros(0, np.int64), *(opened(x[side]) for x in said)])[c.places] for side in ("background", "target"))
+            out = []
+            for doc, known, is_target, size, end in zip(c.docs.tolist(), c.known.tolist(), c.targets.tolist(), c.sizes.tolist(), c.ends.tolist(), strict=True):
+                doc, at = doc if known else None, slice(end - size, end)
+                if not size:
+                    out.append((doc, 0, 0.0, 0.0, 0.0))
+                    continue
+                ids, places = c.ids[at], c.places[at]
+                t, g = loss(ids, target, n_target, places, target_pairs[at], is_target), loss(ids, background, n_background, places, background_pairs[at], True)
+                out.append((doc, size, t, g, g - t))
+            yield from_rows(spec, out)
+            freed()
+
+    return chunked.join(answers, "chunk", "left").mapInArrow(run, spec)

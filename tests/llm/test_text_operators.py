@@ -203,6 +203,33 @@ def test_lm_scores_by_definition(spark, docs_of, byte_bpe):
     assert lmscore.scores(docs_of([]), good, byte_bpe).count() == 0
 
 
+def test_lm_pairs_are_counted_exactly(spark, docs_of, byte_bpe, monkeypatch):
+    """More distinct pairs than any table of fixed size would tell apart, over several chunks."""
+    monkeypatch.setattr(lmscore, "CHUNK", 200_000)
+    draw = np.random.default_rng(3)
+    enc = tokenizer(byte_bpe)
+    texts = [enc.decode(draw.integers(1000, 40_000, 60_000).tolist()) for _ in range(8)]
+    chunked = lmscore.written(lmscore.tokenised(lmscore.flagged(docs_of(texts), spark.createDataFrame([(0,)], "doc_id int")), byte_bpe), "tokens")
+    v, found, seen = enc.n_vocab, {}, {}
+    for row in chunked.toArrow().to_pylist():
+        c = lmscore.Chunk(row, v)
+        found[row["chunk"]] = c
+        for x, n in zip(lmscore.unmixed(c.distinct).tolist(), c.often.tolist(), strict=True):
+            seen[x] = seen.get(x, 0) + n
+    expected = {}
+    for t in texts:
+        ids = enc.encode(t)
+        for h, w in zip([v, *ids[:-1]], ids, strict=True):
+            expected[h * (v + 1) + w] = expected.get(h * (v + 1) + w, 0) + 1
+    assert seen == expected and len(found) > 1 and len(seen) > 400_000
+    tokens, answers = lmscore.counts(chunked, v, 128)
+    assert tokens[0][:-1].sum() == sum(expected.values()) and tokens[0][-1] == len(texts)
+    for row in answers.toArrow().to_pylist():
+        c = found[row["chunk"]]
+        got = np.concatenate([lmscore.opened(x["background"]) for x in row["answers"]])
+        assert got.tolist() == [expected[x] for x in lmscore.unmixed(c.distinct).tolist()]
+
+
 def test_lm_scores_tell_good_documents(spark):
     data = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{data}/labels.parquet")

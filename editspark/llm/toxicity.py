@@ -37,8 +37,8 @@ MOST_TOXIC, MOST_UNLABELLED = 2_000, 8_000
 BITS = 18
 THRESHOLD, COVER = 0.7, 0.88
 STEPS, RATE, DECAY, DAMPING = 100, 0.3, 1e-4, 0.1
-#: A feature must occur in this share of U to have a weight, so that single documents' words don't.
-LEAST_SHARE = 0.006
+#: A feature must occur in this share of U or of P to have a weight, so that single documents' words don't; of P in so many rows at least.
+LEAST_SHARE, LEAST_TOXIC = 0.006, 3
 _WORDS = re.compile(r"[^\W\d_]+")
 _BEGINNINGS = (3, 4, 5, 6)
 KEPT_WORDS = 50_000
@@ -115,6 +115,7 @@ def fit(toxic: Rows, unlabelled: Rows, prior: float) -> tuple[np.ndarray, float]
     """Weights and bias of the least risk, by Adam over the whole sample."""
     n = 1 << BITS
     seen = np.bincount(unlabelled.features, minlength=n) >= max(2, LEAST_SHARE * len(unlabelled))
+    seen |= np.bincount(toxic.features, minlength=n) >= max(LEAST_TOXIC, LEAST_SHARE * len(toxic))
     w, moments = np.zeros(n + 1), [np.zeros(n + 1), np.zeros(n + 1)]
     w[n] = np.log(prior / (1 - prior))
     for t in range(1, STEPS + 1):

@@ -173,6 +173,20 @@ def test_risk_is_the_prior_corrected_one():
     assert said[hidden].mean() > 0.8 and said[~hidden].mean() < 0.03
 
 
+def test_words_of_toxic_examples_count_however_rare_among_unlabelled():
+    draw = np.random.default_rng(1)
+
+    def row(toxic):
+        found = np.unique(np.append(draw.integers(100, 400, 30), draw.integers(0, 10, 6) if toxic else [])).astype(np.int32)
+        return found, np.full(len(found), 0.2, np.float32)
+
+    p, u = [row(True) for _ in range(100)], [row(k < 4) for k in range(2_000)]  # 0.2 % of U is toxic
+    w, bias = toxicity.fit(toxicity.Rows(p), toxicity.Rows(u), 0.002)
+    assert (w[:10] > 0).all()
+    found = toxicity.Rows(u).dot(w) + bias
+    assert found[:4].min() > found[4:].max()
+
+
 def test_lm_scores_by_definition(spark, docs_of, byte_bpe):
     texts = ["the cat sat", "the cat ran off", "buy now buy now", "", None, "the dog sat " * 300, "the cat sat"]
     good = spark.createDataFrame([(0,), (1,), (1,), (None,)], "doc_id int")

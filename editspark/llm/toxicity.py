@@ -9,7 +9,9 @@ whose second term estimates the clean class's risk; when a step finds it below z
 memorise P) that term's gradient is reversed and damped. ``p`` is the share of toxic rows among the labelled rows that may be learned from.
 A feature's value is the square root of its rate among the text's words, so long and short texts compare.
 
-The margin is shifted so that the share of U that scores ``THRESHOLD`` or more is ``COVER`` times the prior.
+A score is a probability: P and U are cut into ``PARTS`` by what a row holds, so that a row of both stays on one side; each part gets the
+margins of a classifier it was kept from, and the margin's scale and shift are those of the least prior-corrected logistic risk over them. ``THRESHOLD`` is applied to that probability; no share
+of rows is fixed beforehand.
 
 Fitted on a bounded sample, ``MOST_TOXIC`` and ``MOST_UNLABELLED`` rows at most, the first by a hash of ``doc_id``; every row is scored over its
 whole text. Labels, language, source and ids are no inputs of a score.
@@ -35,7 +37,9 @@ from .common import judged, record_batch, small_or_joined, texts, thinned
 
 MOST_TOXIC, MOST_UNLABELLED = 2_000, 8_000
 BITS = 18
-THRESHOLD, COVER = 0.7, 0.88
+THRESHOLD = 0.7
+#: Parts that are kept from training in turn, to calibrate on.
+PARTS = 3
 STEPS, RATE, DECAY, DAMPING = 100, 0.3, 1e-4, 0.1
 #: A feature must occur in this share of U or of P to have a weight, so that single documents' words don't; of P in so many rows at least.
 LEAST_SHARE, LEAST_TOXIC = 0.006, 3
@@ -89,6 +93,15 @@ class Rows:
     def __len__(self) -> int:
         return len(self.sizes)
 
+    def parts(self) -> np.ndarray:
+        """The part of each row: by a hash of its features."""
+        ends = np.cumsum(self.sizes)
+        return np.array([xxhash.xxh32_intdigest(self.features[e - n : e].tobytes(), 7) % PARTS for n, e in zip(self.sizes, ends, strict=True)])
+
+    def part(self, chosen: np.ndarray) -> Rows:
+        ends = np.cumsum(self.sizes)
+        return Rows([(self.features[e - n : e], self.values[e - n : e]) for n, e, yes in zip(self.sizes, ends, chosen, strict=True) if yes])
+
     def _parts(self):
         """Runs of entries, so that products take bounded memory."""
         for at in range(0, len(self.row), 1 << 20):
@@ -111,8 +124,52 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def calibrated(on_p: np.ndarray, on_u: np.ndarray, prior: float) -> tuple[float, float]:
+    """Scale and shift of margins by which their sigmoid is the probability of being toxic, from held-out rows of P and U.
+
+    The least of ``E_U[l(g, -1)] - prior * E_P[l(g, -1)] + prior * E_P[l(g, +1)]``, which is ``E_U[log(1 + exp(g))] - prior * E_P[g]`` and
+    convex in both; a small square term keeps the scale finite where the two kinds are apart.
+    """
+    center, width = on_u.mean(), on_u.std() + 1e-6
+    p, u = (on_p - center) / width, (on_u - center) / width
+    a = np.array([1.0, np.log(prior / (1 - prior))])
+    both, wanted = np.column_stack([u, np.ones(len(u))]), prior * np.array([p.mean(), 1.0])
+    ridge = np.array([0.1, 0.01]) / len(u)
+
+    def risk(x: np.ndarray) -> float:
+        return np.logaddexp(0, both @ x).mean() - wanted @ x + (ridge * x * x).sum() / 2
+
+    for _ in range(100):
+        q = _sigmoid(both @ a)
+        slope = (both * q[:, None]).mean(axis=0) - wanted + ridge * a
+        step = np.linalg.solve((both * (q * (1 - q))[:, None]).T @ both / len(u) + np.diag(ridge), slope)
+        size = 1.0
+        while size > 1e-6 and risk(a - size * step) > risk(a):
+            size /= 2
+        a = a - size * step
+        if np.abs(step).max() < 1e-9:
+            break
+    scale = max(a[0], 0.0) / width
+    return scale, a[1] - scale * center
+
+
 def fit(toxic: Rows, unlabelled: Rows, prior: float) -> tuple[np.ndarray, float]:
-    """Weights and bias of the least risk, by Adam over the whole sample."""
+    """Weights and bias of the least risk over the whole sample, calibrated on margins of rows that were kept from training."""
+    sides, margins = (toxic, unlabelled), ([], [])
+    part = [rows.parts() for rows in sides]
+    for k in range(PARTS):
+        if all(0 < (of == k).sum() < len(of) for of in part):
+            w = learned(*(rows.part(of != k) for rows, of in zip(sides, part, strict=True)), prior)
+            for out, rows, of in zip(margins, sides, part, strict=True):
+                out.append(rows.part(of == k).dot(w[:-1]) + w[-1])
+    w = learned(toxic, unlabelled, prior)
+    # too few rows to keep some: calibrated on those learned from
+    scale, shift = calibrated(*(np.concatenate(out) if out else rows.dot(w[:-1]) + w[-1] for out, rows in zip(margins, sides, strict=True)), prior)
+    return (scale * w[:-1]).astype(np.float32), float(scale * w[-1] + shift)
+
+
+def learned(toxic: Rows, unlabelled: Rows, prior: float) -> np.ndarray:
+    """Weights of the least risk and the bias after them, by Adam over all rows."""
     n = 1 << BITS
     seen = np.bincount(unlabelled.features, minlength=n) >= max(2, LEAST_SHARE * len(unlabelled))
     seen |= np.bincount(toxic.features, minlength=n) >= max(LEAST_TOXIC, LEAST_SHARE * len(toxic))
@@ -129,9 +186,7 @@ def fit(toxic: Rows, unlabelled: Rows, prior: float) -> tuple[np.ndarray, float]
             m *= decay
             m += (1 - decay) * x
         w -= RATE * (1 - (t - 1) / STEPS) * (moments[0] / (1 - 0.9**t)) / (np.sqrt(moments[1] / (1 - 0.99**t)) + 1e-6)
-    scores = unlabelled.dot(w[:n]) + w[n]
-    shift = np.log(THRESHOLD / (1 - THRESHOLD)) - np.quantile(scores, 1 - COVER * prior)
-    return w[:n].astype(np.float32), float(w[n] + shift)
+    return w
 
 
 def train(docs: DataFrame, labels: DataFrame, learn_from) -> tuple[np.ndarray, float] | None:

@@ -187,6 +187,22 @@ def test_words_of_toxic_examples_count_however_rare_among_unlabelled():
     assert found[:4].min() > found[4:].max()
 
 
+@pytest.mark.parametrize("share", [0.05, 0.15, 0.3])
+def test_the_threshold_is_no_quota(share):
+    """Rows that the classifier tells apart are all found, and how many are said to be toxic follows the rows that are scored."""
+    draw = np.random.default_rng(2)
+
+    def row(toxic):
+        found = np.unique(np.append(draw.integers(100, 400, 30), draw.integers(0, 10, 12) if toxic else [])).astype(np.int32)
+        return found, np.full(len(found), 0.2, np.float32)
+
+    w, bias = toxicity.fit(toxicity.Rows([row(True) for _ in range(400)]), toxicity.Rows([row(k < 2_000 * share) for k in range(2_000)]), share)
+    for fresh in (0.0, 0.05, 0.5):
+        hidden = np.arange(1_000) < 1_000 * fresh
+        said = toxicity.Rows([row(x) for x in hidden]).dot(w) + bias >= np.log(0.7 / 0.3)
+        assert said[hidden].sum() >= 0.97 * hidden.sum() and said[~hidden].mean() <= 0.01
+
+
 def test_lm_scores_by_definition(spark, docs_of, byte_bpe):
     texts = ["the cat sat", "the cat ran off", "buy now buy now", "", None, "the dog sat " * 300, "the cat sat"]
     good = spark.createDataFrame([(0,), (1,), (1,), (None,)], "doc_id int")

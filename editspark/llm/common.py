@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -15,38 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows up to which a table of narrow rows may be broadcast; beyond it every caller has a shuffle join.
-BROADCAST_ROWS = 1_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jvm_dir.isDefined():
-            return jvm_dir.get()
-        path = "file://" + tempfile.mkdtemp(prefix="editspark-")
-        spark.sparkContext.setCheckpointDir(path)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return the table read back.
-
-    This cuts the lineage without relying on any executor's local disk, and freezes values that depend on
-    how rows were dealt to tasks. The files go when the driver's JVM exits.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/editspark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
-
+from ..sources.scratch import hot_joined, scratch, small_or_joined, written  # noqa: F401  for the operators and the pipeline
 
 #: Bytes of the batches that Python workers get at a time.
 BATCH_BYTES = 8 << 20
@@ -80,12 +47,6 @@ def thinned(key: Column, wanted: int, rows: Column) -> Column:
     return F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 32)).cast("double") * rows < 4.0 * wanted * (1 << 32)
 
 
-def small_or_joined(left: DataFrame, right: DataFrame, on, how: str, rows: int | None = None) -> DataFrame:
-    """Join with ``right`` broadcast if it has at most ``BROADCAST_ROWS`` rows, else by a shuffle."""
-    n = right.count() if rows is None else rows
-    return left.join(F.broadcast(right) if n <= BROADCAST_ROWS else right, on, how)
-
-
 def freed() -> None:
     """Gives memory that Arrow and the allocator keep for later back to the system, so that workers that are used again don't add up."""
     pa.default_memory_pool().release_unused()

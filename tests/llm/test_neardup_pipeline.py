@@ -7,6 +7,7 @@ import pytest
 import corpus_pipeline
 from editspark.llm import neardup
 from editspark.llm.components import components
+from editspark.sources import scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -80,6 +81,33 @@ def test_variants_of_an_absent_text_equal_brute_force(docs_of):
     assert len({r.component_id for r in rows}) > 70
 
 
+def test_texts_that_share_a_long_passage(docs_of):
+    """450 of 500 shingles are common to all: any two texts are 0.82 alike, which is no link; in some pairs more is shared."""
+    shared, texts = text(454, 0), []
+    for k in range(400):
+        mine = text(46, 1 + k)
+        texts += [" ".join(shared + mine), " ".join(shared + mine[:20] + text(26, 10_000 + k))] if k < 60 else [" ".join(shared + mine)]
+    pairs = list(enumerate(texts))
+    rows = neardup.near_duplicates(docs_of(pairs)).collect()
+    check(rows, pairs)
+    assert len({r.component_id for r in rows}) == 400
+
+
+def test_leaves_send_members_and_never_pairs(spark):
+    draw = np.random.default_rng(4)
+    base = draw.integers(0, 1 << 62, 2)
+    rows = [(t, k, 100, int(base[0]) ^ (1 << (k % 5)), int(base[1])) for t in range(3) for k in range(60)]
+    rows += [(9, 100 + k, 100, int(draw.integers(0, 1 << 62)), int(draw.integers(0, 1 << 62))) for k in range(40)]
+    got = neardup.promising(spark.createDataFrame(rows, neardup.NODES)).collect()
+    assert sorted(r.item for r in got) == list(range(60)) and len({r.unit for r in got}) == 1  # the three leaves' cluster once, and no row of others
+
+
+def test_rows_that_share_an_id_are_classes_of_their_own_texts(docs_of):
+    one, other = " ".join(text(80, 1)), " ".join(text(80, 2))
+    rows = neardup.near_duplicates(docs_of([(1, one), (1, other), (5, one), (6, one), (7, other), (8, other)])).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in rows) == [(1, 1, True), (1, 1, True), (5, 1, False), (6, 1, False), (7, 1, False), (8, 1, False)]
+
+
 def test_blocks_share_what_sets_share():
     draw = random.Random(5)
     sets = [np.unique(np.array([draw.randrange(400) for _ in range(draw.randrange(1, 300))], np.uint64)) for _ in range(30)]
@@ -110,7 +138,10 @@ def test_signatures_estimate_similarity():
     assert abs((neardup.signature(a) == neardup.signature(b)).mean() - exact) < 0.12
 
 
-def test_components(spark):
+@pytest.mark.parametrize("limits", [(64 << 20, 200_000), (0, 3)])
+def test_components(spark, monkeypatch, limits):
+    monkeypatch.setattr(scratch, "BROADCAST_BYTES", limits[0])
+    monkeypatch.setattr(scratch, "HOT_ROWS", limits[1])
     draw = random.Random(2)
     links = [(k, k + 1) for k in range(0, 60)] + [(100, 100 + k) for k in range(1, 40)] + [(draw.randrange(200, 300), draw.randrange(200, 300)) for _ in range(60)] + [(7, 7)]
     group = {}
@@ -167,3 +198,11 @@ def test_stages_take_nulls_repeats_and_empty_tables(spark, docs_of):
         assert stage(spark, docs.limit(0), SMALL).count() == 0
     left = corpus_pipeline.drop_near_duplicates(spark, docs, SMALL)
     assert sorted((r.doc_id or -1) for r in left.collect()) == [-1, 1, 2, 4]
+
+
+def test_texts_that_share_an_id_are_each_judged_by_their_own_group(spark, docs_of):
+    one, other = " ".join(text(80, 1)), " ".join(text(80, 2))
+    near = " ".join(edited(one.split(), 1, 5))
+    docs = docs_of([(1, one), (1, near), (1, other), (2, one), (3, other), (1, one), (4, None), (4, None)])
+    left = sorted((r.doc_id, r.text or "") for r in corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect())
+    assert len(left) == 3 and left[-1] == (4, "") and (1, other) in left and {(1, one), (1, near)} & set(left)

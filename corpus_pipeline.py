@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from editspark.llm import langid, neardup, packing, toxicity
-from editspark.llm.common import fold, small_or_joined, written
+from editspark.llm.common import fold, scratch, small_or_joined, written
 from editspark.llm.queries import BYTE_BPE
 
 #: SQL can't express trained classifiers and minwise joins; the stages are tested against brute force.
@@ -30,15 +30,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of least id. Of rows that repeat an id one stays; rows without an id all stay."""
-    found = written(neardup.near_duplicates(docs).filter("not kept or doc_id is not null").select("doc_id", "kept"), "kept")
-    gone = written(found.filter("not kept").select("doc_id").distinct(), "gone")
-    left = small_or_joined(docs, gone, "doc_id", "left_anti")
-    again = written(found.filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "again")
-    n = again.count()
-    if not n:
-        return left
-    return small_or_joined(left, again, "doc_id", "left_anti", n).union(small_or_joined(left, again, "doc_id", "left_semi", n).dropDuplicates(["doc_id"]))
+    """One document of each group of near copies: the one of least id. Of rows that repeat an id and its text the first as JSON stays; rows without an id all stay."""
+    with scratch(spark) as kept:
+        found = written(neardup.near_duplicates(docs), "found").filter("doc_id is not null")
+        key = ["doc_id", "text_key"]
+        gone = kept(found.filter("not stands").select(key).distinct(), "gone")
+        again = kept(found.filter("stands").groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key), "again")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = neardup.keyed(docs.select("doc_id", "text", row.alias("row")), "row")
+    left = small_or_joined(rows, gone, key, "left_anti")
+    if again.isEmpty():
+        return left.select("row.*")
+    one = small_or_joined(left, again, key, "left_semi").groupBy(key).agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return small_or_joined(left, again, key, "left_anti").select("row.*").union(one.select("row.*"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,11 +13,12 @@ A score is a probability: P and U are cut into ``PARTS`` by what a row holds, so
 margins of a classifier it was kept from, and the margin's scale and shift are those of the least prior-corrected logistic risk over them. ``THRESHOLD`` is applied to that probability; no share
 of rows is fixed beforehand.
 
-Fitted on a bounded sample, ``MOST_TOXIC`` and ``MOST_UNLABELLED`` rows at most, the first by a hash of ``doc_id``; every row is scored over its
-whole text. Labels, language, source and ids are no inputs of a score.
+Fitted on a bounded sample: ``MOST_TOXIC`` and ``MOST_UNLABELLED`` ids at most, the first by a hash of ``doc_id``, one text each, and of a text with more than
+``MOST_FEATURES`` features as many, drawn by hash. Every row is scored over its whole text. Labels, language, source and ids are no inputs of a score.
 
-Defined results: null and empty texts score as texts without words; without any toxic label to learn from every score is 0; of several labels
-of a document a toxic one counts; repeated rows each get their score; other columns are ignored.
+Defined results: null and empty texts score as texts without words; a very long text is scored whole; without any toxic label to learn from every score is 0; of
+several labels of a document a toxic one counts; of an id's several texts the first by hash is learned from; repeated rows and rows without an id each get their
+score, equal texts equal ones; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,11 +36,11 @@ from pyspark.sql import functions as F
 
 from .common import judged, record_batch, small_or_joined, texts, thinned
 
-MOST_TOXIC, MOST_UNLABELLED = 2_000, 8_000
+MOST_TOXIC, MOST_UNLABELLED, MOST_FEATURES = 2_000, 8_000, 4_096
 BITS = 18
 THRESHOLD = 0.7
 #: Parts that are kept from training in turn, to calibrate on.
-PARTS = 3
+PARTS = 2
 STEPS, RATE, DECAY, DAMPING = 100, 0.3, 1e-4, 0.1
 #: A feature must occur in this share of U or of P to have a weight, so that single documents' words don't; of P in so many rows at least.
 LEAST_SHARE, LEAST_TOXIC = 0.006, 3
@@ -85,10 +86,16 @@ class Rows:
     """Sparse rows."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
-        self.sizes = np.array([len(f) for f, _ in rows], np.int64)
-        self.features = np.concatenate([f for f, _ in rows]) if rows else np.zeros(0, np.int32)
-        self.values = np.concatenate([v for _, v in rows]) if rows else np.zeros(0, np.float32)
-        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), self.sizes)
+        self._hold(
+            np.array([len(f) for f, _ in rows], np.int64),
+            np.concatenate([f for f, _ in rows]) if rows else np.zeros(0, np.int32),
+            np.concatenate([v for _, v in rows]) if rows else np.zeros(0, np.float32),
+        )
+
+    def _hold(self, sizes: np.ndarray, features: np.ndarray, values: np.ndarray) -> Rows:
+        self.sizes, self.features, self.values = sizes, features, values
+        self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        return self
 
     def __len__(self) -> int:
         return len(self.sizes)
@@ -99,24 +106,34 @@ class Rows:
         return np.array([xxhash.xxh32_intdigest(self.features[e - n : e].tobytes(), 7) % PARTS for n, e in zip(self.sizes, ends, strict=True)])
 
     def part(self, chosen: np.ndarray) -> Rows:
-        ends = np.cumsum(self.sizes)
-        return Rows([(self.features[e - n : e], self.values[e - n : e]) for n, e, yes in zip(self.sizes, ends, chosen, strict=True) if yes])
-
-    def _parts(self):
-        """Runs of entries, so that products take bounded memory."""
-        for at in range(0, len(self.row), 1 << 20):
-            yield self.row[at : at + (1 << 20)], self.features[at : at + (1 << 20)], self.values[at : at + (1 << 20)]
+        of = chosen[self.row]
+        return Rows([])._hold(self.sizes[chosen], self.features[of], self.values[of])
+
+    def only(self, seen: np.ndarray) -> Rows:
+        """The same rows with the features for which ``seen`` holds, numbered anew among these."""
+        of = seen[self.features]
+        number = np.cumsum(seen) - 1
+        return Rows([])._hold(np.bincount(self.row[of], minlength=len(self)), number[self.features[of]].astype(np.int32), self.values[of])
+
+    @functools.cached_property
+    def _by_feature(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The entries by feature: their rows, their values, the features that occur and where each begins."""
+        order = np.argsort(self.features, kind="stable")
+        found, start = np.unique(self.features[order], return_index=True)
+        return self.row[order], self.values[order], found, start
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         out = np.zeros(len(self))
-        for row, feature, value in self._parts():
-            out += np.bincount(row, w[feature] * value, len(self))
+        full = self.sizes > 0
+        if full.any():
+            out[full] = np.add.reduceat(w[self.features] * self.values, (np.cumsum(self.sizes) - self.sizes)[full])
         return out
 
     def back(self, by_row: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros(n)
-        for row, feature, value in self._parts():
-            out += np.bincount(feature, by_row[row] * value, n)
+        row, value, found, start = self._by_feature
+        if len(found):
+            out[found] = np.add.reduceat(by_row[row] * value, start)
         return out
 
 
@@ -128,8 +145,10 @@ def calibrated(on_p: np.ndarray, on_u: np.ndarray, prior: float) -> tuple[float,
     """Scale and shift of margins by which their sigmoid is the probability of being toxic, from held-out rows of P and U.
 
     The least of ``E_U[l(g, -1)] - prior * E_P[l(g, -1)] + prior * E_P[l(g, +1)]``, which is ``E_U[log(1 + exp(g))] - prior * E_P[g]`` and
-    convex in both; a small square term keeps the scale finite where the two kinds are apart.
+    convex in both; a small square term keeps the scale finite where the two kinds are apart. Margins above the median of P count as it: of rows that are surely
+    toxic, chance differences between P and U would else weigh as much as the rows in question.
     """
+    on_p, on_u = np.minimum(on_p, np.median(on_p)), np.minimum(on_u, np.median(on_p))
     center, width = on_u.mean(), on_u.std() + 1e-6
     p, u = (on_p - center) / width, (on_u - center) / width
     a = np.array([1.0, np.log(prior / (1 - prior))])
@@ -168,25 +187,43 @@ def fit(toxic: Rows, unlabelled: Rows, prior: float) -> tuple[np.ndarray, float]
     return (scale * w[:-1]).astype(np.float32), float(scale * w[-1] + shift)
 
 
+def objective(w: np.ndarray, toxic: Rows, unlabelled: Rows, prior: float) -> tuple[float, np.ndarray]:
+    """What a step descends on, and its slope: the risk, or its first term less ``DAMPING`` times a clean risk below zero; and the decay of the weights."""
+    on_p, on_u = toxic.dot(w[:-1]) + w[-1], unlabelled.dot(w[:-1]) + w[-1]
+    clean_risk = np.logaddexp(0, on_u).mean() - prior * np.logaddexp(0, on_p).mean()
+    turn = 1.0 if clean_risk >= 0 else -DAMPING
+    p = prior / len(toxic) * (_sigmoid(on_p) - 1 - turn * _sigmoid(on_p))
+    u = turn / len(unlabelled) * _sigmoid(on_u)
+    slope = np.append(toxic.back(p, len(w) - 1) + unlabelled.back(u, len(w) - 1) + DECAY * w[:-1], p.sum() + u.sum())
+    return prior * np.logaddexp(0, -on_p).mean() + turn * clean_risk + DECAY / 2 * (w[:-1] ** 2).sum(), slope
+
+
 def learned(toxic: Rows, unlabelled: Rows, prior: float) -> np.ndarray:
     """Weights of the least risk and the bias after them, by Adam over all rows."""
     n = 1 << BITS
     seen = np.bincount(unlabelled.features, minlength=n) >= max(2, LEAST_SHARE * len(unlabelled))
     seen |= np.bincount(toxic.features, minlength=n) >= max(LEAST_TOXIC, LEAST_SHARE * len(toxic))
-    w, moments = np.zeros(n + 1), [np.zeros(n + 1), np.zeros(n + 1)]
-    w[n] = np.log(prior / (1 - prior))
+    toxic, unlabelled = toxic.only(seen), unlabelled.only(seen)
+    w = np.zeros(int(seen.sum()) + 1)
+    w[-1] = np.log(prior / (1 - prior))
+    moments = [np.zeros(len(w)), np.zeros(len(w))]
     for t in range(1, STEPS + 1):
-        on_p, on_u = toxic.dot(w[:n]) + w[n], unlabelled.dot(w[:n]) + w[n]
-        clean_risk = np.logaddexp(0, on_u).mean() - prior * np.logaddexp(0, on_p).mean()
-        turn = 1.0 if clean_risk >= 0 else -DAMPING
-        p = prior / len(toxic) * (_sigmoid(on_p) - 1 - turn * _sigmoid(on_p))
-        u = turn / len(unlabelled) * _sigmoid(on_u)
-        slope = np.append((toxic.back(p, n) + unlabelled.back(u, n) + DECAY * w[:n]) * seen, p.sum() + u.sum())
+        _, slope = objective(w, toxic, unlabelled, prior)
         for m, decay, x in zip(moments, (0.9, 0.99), (slope, slope * slope), strict=True):
             m *= decay
             m += (1 - decay) * x
         w -= RATE * (1 - (t - 1) / STEPS) * (moments[0] / (1 - 0.9**t)) / (np.sqrt(moments[1] / (1 - 0.99**t)) + 1e-6)
-    return w
+    out = np.zeros(n + 1)
+    out[:n][seen], out[n] = w[:-1], w[-1]
+    return out
+
+
+def sampled(found: np.ndarray, values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` of a text's features, drawn by a hash of each with their number."""
+    if len(found) > most:
+        order = np.argsort([xxhash.xxh32_intdigest(int(f).to_bytes(4, "little"), len(found)) for f in found])[:most]
+        found, values = found[np.sort(order)], values[np.sort(order)]
+    return found, values
 
 
 def train(docs: DataFrame, labels: DataFrame, learn_from) -> tuple[np.ndarray, float] | None:
@@ -197,22 +234,25 @@ def train(docs: DataFrame, labels: DataFrame, learn_from) -> tuple[np.ndarray, f
     share = known.agg(F.avg((F.col("toxic") > 0).cast("double")).alias("p")).first().p
 
     def first(rows: DataFrame, most: int) -> DataFrame:
+        """Distinct ids: so many of least hash, thinned by about how many there are."""
         by_hash = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 32))
-        return rows.filter(thinned(F.col("doc_id"), most, F.lit(rows.count()))).orderBy(by_hash, "doc_id").limit(most)
+        about = rows.agg(F.approx_count_distinct("doc_id").alias("n")).first().n
+        return rows.filter(thinned(F.col("doc_id"), most, F.lit(about))).distinct().orderBy(by_hash, "doc_id").limit(most)
 
     toxic = first(small_or_joined(ids, known.filter("toxic > 0").select("doc_id"), "doc_id", "left_semi"), MOST_TOXIC)
     some = first(ids, MOST_UNLABELLED)
-    chosen = toxic.withColumn("of", F.lit("P")).union(some.withColumn("of", F.lit("U"))).distinct()
+    chosen = toxic.withColumn("of", F.lit("P")).union(some.withColumn("of", F.lit("U")))
     chosen = docs.sparkSession.createDataFrame(chosen.toArrow())  # at most as many ids as the bounds
-    spec = "of string, features binary, values binary"
+    spec, most = "of string, features binary, values binary", MOST_FEATURES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = worker_features()
         for b in batches:
-            found = [features(t) for t in b.column("text").to_pylist()]
+            found = [sampled(*features(t), most) for t in b.column("text").to_pylist()]
             yield record_batch(spec, [b.column("of"), [f.tobytes() for f, _ in found], [v.tobytes() for _, v in found]])
 
-    sample = texts(docs).join(F.broadcast(chosen), "doc_id").select("of", "text").mapInArrow(run, spec).toArrow()
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("of", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = rows.select("of", "text").mapInArrow(run, spec).toArrow()
     groups: dict[str, list] = {"P": [], "U": []}
     for of, f, v in zip(*(sample.column(c).to_pylist() for c in ("of", "features", "values")), strict=True):
         groups[of].append((np.frombuffer(f, np.int32), np.frombuffer(v, np.float32)))

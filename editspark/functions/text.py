@@ -94,12 +94,17 @@ def measurements(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit(f"({C.MEASUREMENT})"), 1)
 
 
-def words_and_pairs(c: Column) -> Column:
-    """Runs of two word characters or more, lower-cased, and the pairs of neighbours joined by a space."""
-    words = F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit(f"({C.WORD_RUN})"), 1)
+def words(c: Column) -> Column:
+    """Runs of two word characters or more, lower-cased."""
+    return F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit(f"({C.WORD_RUN})"), 1)
+
 
-    def with_pairs(w: Column) -> Column:
-        n = F.greatest(F.size(w) - 1, F.lit(0))
-        return F.concat(w, F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b)))
+def neighbours(w: Column) -> Column:
+    """The words of an array column and the pairs of neighbours joined by a space."""
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.concat(w, F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b)))
 
-    return bound(words, with_pairs)
+
+def words_and_pairs(c: Column) -> Column:
+    """Runs of two word characters or more, lower-cased, and the pairs of neighbours joined by a space."""
+    return bound(words(c), neighbours)

@@ -11,7 +11,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One case a conversation: turns become fields, first and last turns impressions, user turns the dictation."""
+    """One case a conversation: turns become fields, first and last turns impressions, user turns the dictation.
+
+    The report has whole turns. In the template assistant turns, and in the prediction every other of them and the impression, lack every seventh word.
+    """
     turns = table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", "role",
         F.filter(F.split("text", r"[ \t\n\r]+"), lambda w: w != "").alias("w"),
@@ -21,25 +24,28 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = turns.groupBy("conv_id").agg(t.alias("t"))
     first, last = F.get("t", F.lit(0)), F.element_at("t", -1)
 
-    def words(x, n):
-        return F.array_join(F.slice(x, 1, n), " ")
+    def whole(w):
+        return F.array_join(w, " ")
+
+    def thinned(w):
+        return F.array_join(F.filter(w, lambda _, i: i % 7 != 3), " ")
 
-    def findings(length):
-        return F.array_join(F.transform("t", lambda x: F.concat(x.k, F.lit(": "), words(x.w, length(x)))), "\n")
+    def findings(changed):
+        return F.array_join(F.transform("t", lambda x: F.concat(x.k, F.lit(": "), F.when(changed(x), thinned(x.w)).otherwise(whole(x.w)))), "\n")
 
     def report(body, impression):
         return F.concat(F.lit("FINDINGS:\n"), body, F.lit("\n\nIMPRESSION:\n"), impression)
 
-    said = F.transform(F.filter("t", lambda x: x.role == "user"), lambda x: words(x.w, 12))
+    said = F.transform(F.filter("t", lambda x: x.role == "user"), lambda x: whole(x.w))
     modality, part = F.upper(first.role), F.concat(F.lit("B"), (F.col("conv_id") % 7).cast("string"))
     return g.select(
         F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("case_id"), F.col("conv_id").cast("long").alias("row_idx"),
         modality.alias("modality"), part.alias("body_part"), F.concat(modality, F.lit(" "), part).alias("study_description"),
         F.lit("").alias("patient_age_band"), F.lit("").alias("patient_sex"),
-        report(findings(lambda x: F.lit(10)), words(first.w, 6)).alias("template_content"),
+        report(findings(lambda x: x.role == "assistant"), whole(first.w)).alias("template_content"),
         F.array_join(said, ". ").alias("dictation"),
-        report(findings(lambda x: F.when(x.role == "assistant", 14).otherwise(10)), words(last.w, 6)).alias("report"),
-        report(findings(lambda x: F.when((x.role == "assistant") & (x.turn % 2 == 0), 14).otherwise(10)), words(last.w, 4)).alias("predicted"),
+        report(findings(lambda x: F.lit(False)), whole(last.w)).alias("report"),
+        report(findings(lambda x: (x.role == "assistant") & (x.turn % 2 == 1)), thinned(last.w)).alias("predicted"),
     )
 
 
@@ -79,7 +85,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("row_idx") % 6
     usable = F.to_json(F.struct(F.create_map(F.lit("OTHER"), F.col("dictation")).alias("field_updates"), F.lit("seen").alias("impression")))
     raw = (
-        F.when(kind == 0, usable).when(kind == 1, F.expr("substring(dictation, 1, 9)")).when(kind == 2, F.lit("[1, 2]"))
+        F.when(kind == 0, usable).when(kind == 1, F.concat(F.lit("{"), F.col("dictation"))).when(kind == 2, F.lit("[1, 2]"))
         .when(kind == 3, F.lit('{"field_updates": {"A": 3}, "impression": "x"}')).when(kind == 4, F.lit('{"field_updates": null, "impression": "x"}'))
         .otherwise(F.lit('{"impression": "only this"}'))
     )

@@ -111,6 +111,18 @@ def scoring(name: str, cases: str) -> dict[str, str]:
     }
 
 
+def rendering(n: str, updates: str) -> dict[str, str]:
+    """Tables of the lines of each template with ``updates(case_id, pos, key, value)`` applied, their names led by ``n``."""
+    return {
+        f"{n}_kept": f"""SELECT f.case_id, f.pos AS line, f.key || ': ' || CASE WHEN u.key <> '' AND u.value <> '' THEN {strip('u.value')} ELSE f.value END AS text
+            FROM m_tf f LEFT JOIN (SELECT case_id, upper({strip('key')}) AS folded, arg_min(key, pos) AS key, arg_min(value, pos) AS value FROM {updates} GROUP BY ALL) u
+            ON f.case_id = u.case_id AND upper({strip('f.key')}) = u.folded""",
+        f"{n}_extra": f"""SELECT u.case_id, 1000000 + u.pos AS line, upper({strip('u.key')}) || ': ' || {strip('u.value')} AS text FROM {updates} u
+            WHERE u.value <> '' AND NOT EXISTS (FROM m_tf f WHERE f.case_id = u.case_id AND upper({strip('f.key')}) = upper({strip('u.key')}))""",
+        f"{n}_lines": f"SELECT case_id, string_agg(text, chr(10) ORDER BY line) AS lines FROM (FROM {n}_kept UNION ALL FROM {n}_extra) GROUP BY case_id",
+    }
+
+
 def folds(source: str, order: str) -> str:
     return f"SELECT *, (row_number() OVER (PARTITION BY concat_ws('_', modality, body_part) ORDER BY {order}) - 1) % 5 AS fold FROM {source}"
 
@@ -163,17 +175,18 @@ def top(source: str, where: str = "true") -> str:
 TABLES: dict[str, str] = {
     "turns": r"""SELECT conv_id, turn, role, list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda w: w <> '') AS w,
         rtrim('T' || turn || ' ' || upper(regexp_extract(text, '[A-Za-z]{4,}'))) AS k FROM conversations""",
+    "thinned": "SELECT *, list_filter(w, lambda x, i: i % 7 <> 4) AS less FROM turns",
     "grouped": """SELECT conv_id,
-        string_agg(k || ': ' || array_to_string(w[1:10], ' '), chr(10) ORDER BY turn) AS tf,
-        string_agg(k || ': ' || array_to_string(w[1:CASE WHEN role = 'assistant' THEN 14 ELSE 10 END], ' '), chr(10) ORDER BY turn) AS rf,
-        string_agg(k || ': ' || array_to_string(w[1:CASE WHEN role = 'assistant' AND turn % 2 = 0 THEN 14 ELSE 10 END], ' '), chr(10) ORDER BY turn) AS pf,
-        string_agg(CASE WHEN role = 'user' THEN array_to_string(w[1:12], ' ') END, '. ' ORDER BY turn) AS dict,
-        arg_min(role, turn) AS r0, arg_min(w, turn) AS w0, arg_max(w, turn) AS wl FROM turns GROUP BY conv_id""",
+        string_agg(k || ': ' || array_to_string(CASE WHEN role = 'assistant' THEN less ELSE w END, ' '), chr(10) ORDER BY turn) AS tf,
+        string_agg(k || ': ' || array_to_string(w, ' '), chr(10) ORDER BY turn) AS rf,
+        string_agg(k || ': ' || array_to_string(CASE WHEN role = 'assistant' AND turn % 2 = 1 THEN less ELSE w END, ' '), chr(10) ORDER BY turn) AS pf,
+        string_agg(CASE WHEN role = 'user' THEN array_to_string(w, ' ') END, '. ' ORDER BY turn) AS dict,
+        arg_min(role, turn) AS r0, arg_min(w, turn) AS w0, arg_max(w, turn) AS wl, arg_max(less, turn) AS ll FROM thinned GROUP BY conv_id""",
     "cases": """SELECT 'c' || conv_id AS case_id, conv_id AS row_idx, upper(r0) AS modality, 'B' || (conv_id % 7) AS body_part, upper(r0) || ' B' || (conv_id % 7) AS study_description,
-        'FINDINGS:' || chr(10) || tf || chr(10) || chr(10) || 'IMPRESSION:' || chr(10) || array_to_string(w0[1:6], ' ') AS template_content,
+        'FINDINGS:' || chr(10) || tf || chr(10) || chr(10) || 'IMPRESSION:' || chr(10) || array_to_string(w0, ' ') AS template_content,
         coalesce(dict, '') AS dictation,
-        'FINDINGS:' || chr(10) || rf || chr(10) || chr(10) || 'IMPRESSION:' || chr(10) || array_to_string(wl[1:6], ' ') AS report,
-        'FINDINGS:' || chr(10) || pf || chr(10) || chr(10) || 'IMPRESSION:' || chr(10) || array_to_string(wl[1:4], ' ') AS predicted FROM grouped""",
+        'FINDINGS:' || chr(10) || rf || chr(10) || chr(10) || 'IMPRESSION:' || chr(10) || array_to_string(wl, ' ') AS report,
+        'FINDINGS:' || chr(10) || pf || chr(10) || chr(10) || 'IMPRESSION:' || chr(10) || array_to_string(ll, ' ') AS predicted FROM grouped""",
     "records": "SELECT user_id::VARCHAR AS case_id, event_id AS ordinal, value AS res, event_type AS modality, event_type <> 'error' AS valid, props AS report FROM events",
     "done": "SELECT case_id, min(ordinal) AS first_ordinal, max(ordinal) AS ordinal, arg_max(res, ordinal) AS res, arg_max(modality, ordinal) AS modality, arg_max(valid, ordinal) AS valid, arg_max(report, ordinal) AS report FROM records GROUP BY case_id",
     "targets": "SELECT c_custkey::VARCHAR AS case_id, c_custkey::BIGINT AS row_idx, c_mktsegment AS template_content FROM customer",
@@ -185,12 +198,7 @@ TABLES: dict[str, str] = {
     "changed": "SELECT f.case_id, f.pos, f.key, f.value FROM m_rf f LEFT JOIN m_tl t ON f.case_id = t.case_id AND f.key = t.key WHERE f.value <> coalesce(t.value, '')",
     "delta": "SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY min(pos)) - 1 AS pos, key, arg_max(value, pos) AS value FROM changed GROUP BY case_id, key",
     "updates": "SELECT case_id, pos, key, value FROM delta UNION ALL SELECT case_id, 1000000, ' other findings ', ' see ' || case_id FROM cases",
-    "kept_lines": f"""SELECT f.case_id, f.pos AS line, f.key || ': ' || CASE WHEN u.key <> '' AND u.value <> '' THEN {strip('u.value')} ELSE f.value END AS text
-        FROM m_tf f LEFT JOIN (SELECT case_id, upper({strip('key')}) AS folded, arg_min(key, pos) AS key, arg_min(value, pos) AS value FROM updates GROUP BY ALL) u
-        ON f.case_id = u.case_id AND upper({strip('f.key')}) = u.folded""",
-    "extra_lines": f"""SELECT u.case_id, 1000000 + u.pos AS line, upper({strip('u.key')}) || ': ' || {strip('u.value')} AS text FROM updates u
-        WHERE u.value <> '' AND NOT EXISTS (FROM m_tf f WHERE f.case_id = u.case_id AND upper({strip('f.key')}) = upper({strip('u.key')}))""",
-    "rendered": "SELECT case_id, string_agg(text, chr(10) ORDER BY line) AS lines FROM (FROM kept_lines UNION ALL FROM extra_lines) GROUP BY case_id",
+    **rendering("r", "updates"),
     # routing of sentences
     "parts": f"""SELECT case_id, unnest(range(0, len(s))) AS pos, unnest(s) AS sentence FROM (SELECT case_id,
         list_filter(list_transform(regexp_split_to_array({strip('dictation')}, {q('[.;]' + C.WS + '*')}), lambda s: {strip('s')}), lambda s: s <> '') AS s FROM cases)""",
@@ -206,6 +214,17 @@ TABLES: dict[str, str] = {
     "stage1": f"""SELECT case_id, 'FINDINGS:' || chr(10) || coalesce(lines, '') || chr(10) || chr(10) || 'IMPRESSION:' || chr(10) || CASE WHEN {strip('impression')} <> '' THEN {strip('impression')} ELSE imp END AS report
         FROM route_imp JOIN m_tp USING (case_id) LEFT JOIN (SELECT f.case_id, string_agg(f.key || ': ' || CASE WHEN r.value <> '' THEN {strip('r.value')} ELSE f.value END, chr(10) ORDER BY f.pos) AS lines
         FROM m_tf f LEFT JOIN routes r ON f.case_id = r.case_id AND f.key = r.key GROUP BY f.case_id) USING (case_id)""",
+    # model answers
+    "responses": """SELECT case_id, CASE row_idx % 6 WHEN 0 THEN json_object('field_updates', json_object('OTHER', dictation), 'impression', 'seen')::VARCHAR
+        WHEN 1 THEN '{' || dictation WHEN 2 THEN '[1, 2]' WHEN 3 THEN '{"field_updates": {"A": 3}, "impression": "x"}' WHEN 4 THEN '{"field_updates": null, "impression": "x"}'
+        ELSE '{"impression": "only this"}' END AS raw FROM cases""",
+    "answers": "SELECT case_id, CASE WHEN json_valid(raw) THEN raw::JSON END AS j FROM responses",
+    "typed": """SELECT case_id, j, coalesce(json_type(j) = 'OBJECT' AND coalesce(json_type(j, '$.field_updates'), 'OBJECT') = 'OBJECT' AND coalesce(json_type(j, '$.impression'), 'VARCHAR') IN ('VARCHAR', 'NULL')
+        AND len(list_filter(coalesce(json_extract(j, '$.field_updates.*'), []), lambda x: json_type(x) NOT IN ('VARCHAR', 'NULL'))) = 0, false) AS ok FROM answers""",
+    "decoded": """SELECT case_id, ok, CASE WHEN ok THEN coalesce(json_keys(j, '$.field_updates'), []) ELSE [] END AS ks, CASE WHEN ok THEN coalesce(json_extract_string(j, '$.field_updates.*'), []) ELSE [] END AS vs,
+        CASE WHEN ok THEN coalesce(json_extract_string(j, '$.impression'), '') ELSE '' END AS said FROM typed""",
+    "model_updates": "SELECT case_id, unnest(range(0, len(ks))) AS pos, unnest(ks) AS key, coalesce(unnest(vs), '') AS value FROM decoded",
+    **rendering("a", "model_updates"),
     "made": "SELECT c.case_id, row_idx, modality, body_part, template_content, c.report, s.report AS predicted FROM cases c JOIN stage1 s USING (case_id)",
     **scoring("v", "made"),
     "cv": folds(f"(SELECT row_idx, modality, body_part, v_res.*, len(list_filter({keys('template_content')}, lambda k: NOT list_contains({keys('predicted')}, k))) = 0 AS valid FROM made JOIN v_res USING (case_id))", "row_idx"),
@@ -234,7 +253,7 @@ QUERIES: dict[str, str] = {
     "parse_fields": "SELECT case_id, pos, key, value, imp AS impression FROM m_rf",
     "template_signature": "SELECT case_id, array_to_string(list_transform(ks, lambda k: upper(k)), '|') AS signature FROM m_tp",
     "delta_extract": "SELECT case_id, pos, key, value, imp AS impression FROM delta JOIN m_rp USING (case_id)",
-    "render_report": "SELECT case_id, 'FINDINGS:' || chr(10) || lines || chr(10) || chr(10) || 'IMPRESSION:' || chr(10) || CASE WHEN r.imp <> '' THEN r.imp ELSE t.imp END AS report FROM rendered JOIN m_rp r USING (case_id) JOIN m_tp t USING (case_id)",
+    "render_report": "SELECT case_id, 'FINDINGS:' || chr(10) || lines || chr(10) || chr(10) || 'IMPRESSION:' || chr(10) || CASE WHEN r.imp <> '' THEN r.imp ELSE t.imp END AS report FROM r_lines JOIN m_rp r USING (case_id) JOIN m_tp t USING (case_id)",
     "validate_structure": f"""SELECT case_id, len(missing) = 0 AS is_valid, CASE WHEN len(missing) > 0 THEN 'Missing template fields in report: ' || array_to_string(list_sort(missing), ', ') ELSE '' END AS issues
         FROM (SELECT c.case_id, list_distinct(list_filter({keys("coalesce(o.template_content, c.template_content)")}, lambda k: NOT list_contains({keys('c.report')}, k))) AS missing FROM cases c LEFT JOIN cases o ON o.row_idx = c.row_idx + 1)""",
     "validate_fidelity": r"""SELECT case_id, n = 0 AS is_faithful, n AS n_warnings FROM (SELECT case_id,
@@ -260,6 +279,10 @@ QUERIES: dict[str, str] = {
     "prompt_stage1": """SELECT case_id, 'Case Information:' || chr(10) || 'Modality: ' || modality || chr(10) || 'Body Part: ' || body_part || chr(10) || 'Study Description: ' || study_description || chr(10)
         || 'Patient Age Band: ' || chr(10) || 'Patient Sex: ' || chr(10) || chr(10) || 'Normal Template:' || chr(10) || template_content || chr(10) || chr(10) || 'Dictation:' || chr(10) || dictation || chr(10) || chr(10)
         || 'Respond with valid JSON containing field_updates and impression:' AS prompt FROM cases""",
+    "decode_delta": "SELECT case_id, CASE WHEN ok THEN 'ok' ELSE 'undecodable' END AS status, key, value, said AS impression FROM decoded LEFT JOIN model_updates USING (case_id)",
+    "rag_strict": "SELECT case_id, CASE WHEN coalesce(raw, '') = '' THEN 'no response' WHEN ok THEN 'ok' ELSE 'undecodable' END AS status FROM decoded JOIN responses USING (case_id)",
+    "rag_with_fallback": f"""SELECT case_id, CASE WHEN ok THEN 'FINDINGS:' || chr(10) || coalesce(lines, '') || chr(10) || chr(10) || 'IMPRESSION:' || chr(10) || CASE WHEN {strip('said')} <> '' THEN {strip('said')} ELSE imp END
+        ELSE report END AS report, CASE WHEN ok THEN 'model' ELSE 'rules' END AS source FROM decoded JOIN stage1 USING (case_id) JOIN m_tp USING (case_id) LEFT JOIN a_lines USING (case_id)""",
     "stratified_folds": f"SELECT doc_id, fold FROM ({folds('(SELECT doc_id, lang AS modality, source AS body_part FROM documents)', 'doc_id')})",
     "cv_fold_means": "SELECT fold, count(*) AS n, round(avg(res_case), 6) AS mean_res, round(avg(findings_score), 6) AS mean_findings, round(avg(impression_score), 6) AS mean_impression FROM cv GROUP BY fold",
     "cv_summary": "SELECT round(avg(res_case), 6) AS overall_res, round(avg(findings_score), 6) AS overall_findings, round(avg(impression_score), 6) AS overall_impression, count(*) FILTER (NOT valid) AS validation_failures, count(*) AS total_cases FROM cv",

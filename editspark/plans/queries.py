@@ -154,15 +154,15 @@ def res_by_modality(s: SparkSession, d: str) -> DataFrame:
 
 
 def _corpus(s: SparkSession, d: str) -> DataFrame:
-    return retrieve.prepared(X.corpus(s, d), "row_idx")
+    return retrieve.corpus(X.corpus(s, d), "row_idx")
 
 
 def _questions(s: SparkSession, d: str) -> DataFrame:
-    return retrieve.prepared(X.questions(s, d), "row_idx")
+    return retrieve.corpus(X.questions(s, d), "row_idx")
 
 
 def _loo(s: SparkSession, d: str) -> DataFrame:
-    return retrieve.prepared(X.cases(s, d), "row_idx")
+    return retrieve.corpus(X.cases(s, d), "row_idx")
 
 
 def bm25_index(s: SparkSession, d: str) -> DataFrame:
@@ -187,13 +187,13 @@ def jaccard_sig(s: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_topk(s: SparkSession, d: str) -> DataFrame:
-    best = retrieve.top_k(retrieve.hybrid_scores(_questions(s, d), _corpus(s, d)))
+    best = retrieve.best(_questions(s, d), _corpus(s, d))
     return best.select("query_id", long("rank").alias("rank"), "doc_id", r6("score").alias("score"))
 
 
 def hybrid_topk_loo(s: SparkSession, d: str) -> DataFrame:
     c = _loo(s, d)
-    best = retrieve.top_k(retrieve.hybrid_scores(c, c, exclude_self=True))
+    best = retrieve.best(c, c, exclude_self=True)
     return best.select("query_id", long("rank").alias("rank"), "doc_id", r6("score").alias("score"))
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 32 << 20
 #: Rows of a key beyond which a shuffle join doesn't send them to one task.
 HOT_ROWS = 200_000
+#: Bytes of a table that a core reads at least.
+SPLIT_BYTES = 32 << 20
 
 _scope: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
@@ -92,17 +94,28 @@ def small_or_joined(left: DataFrame, right: DataFrame, on, how: str, size: int |
     return left.join(F.broadcast(right) if (bytes_of(right) if size is None else size) <= BROADCAST_BYTES else right, on, how)
 
 
-def hot_joined(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where a table is so small that it is read in fewer tasks; a larger one is left as it is read."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+
+
+def hot_joined(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
     """``inner`` or ``left`` join with ``right``, which has a row a key at most, such that no key of ``left`` gathers in one task.
 
-    A small ``right`` is broadcast. Otherwise its rows of keys that ``left`` has more than ``HOT_ROWS`` times are broadcast (there are few: the rows of
+    ``hot``: those keys, if they are known. A small ``right`` is broadcast. Otherwise its rows of keys that ``left`` has more than ``HOT_ROWS`` times are broadcast (there are few: the rows of
     ``left`` over ``HOT_ROWS``), other keys meet by a shuffle, and null keys, which match nothing, stay where they are.
     """
     if bytes_of(right) <= BROADCAST_BYTES:
         return left.join(F.broadcast(right), key, how)
-    left = written(left, "left")
-    hot = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT_ROWS).select(key, F.lit(True).alias("_hot"))
-    hot = written(hot, "hot")
+    if hot is None:
+        left = written(left, "left")
+        hot = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT_ROWS)
+    hot = written(hot.select(key, F.lit(True).alias("_hot")), "hot")
+    if hot.isEmpty():
+        return left.join(right, key, how)
     marked = left.join(F.broadcast(hot), key, "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
     few = right.join(F.broadcast(hot.select(key)), key, "left_semi")
     columns = [key, *(c for c in left.columns if c != key), *(c for c in right.columns if c != key)]

@@ -78,7 +78,9 @@ def brute_force(queries, docs, k, loo):
         for d, r, v in zip(docs, raw, tv, strict=True):
             if loo and d["case_id"] == q["case_id"]:
                 continue
-            s = 0.35 * r / most + 0.25 * sum(x * v.get(w, 0) for w, x in qv.items())
+            mine, theirs = ({*headers(int(x["case_id"][1:]))} for x in (q, d))
+            s = 0.4 * len(mine & theirs) / len(mine | theirs) if mine and theirs else 0
+            s += 0.35 * r / most + 0.25 * sum(x * v.get(w, 0) for w, x in qv.items())
             s *= (1.2 if d["modality"] == q["modality"] else 0.8) * (1.3 if d["body_part"] == q["body_part"] else 0.7)
             if s > 0:
                 scores.append((-round(s, 9), -d["row_idx"]))
@@ -86,11 +88,15 @@ def brute_force(queries, docs, k, loo):
     return out
 
 
+def headers(k):
+    return [h for j, h in enumerate(("LUNGS", "HEART", "BONES", "OTHER FINDINGS")) if (k >> j) & 1]
+
+
 def corpus(n):
     vocabulary = ["node", "mass", "clear", "lung", "liver", "rib", "left", "wide", "dense", "old"]
     return [
         {"case_id": f"c{k}", "row_idx": k, "modality": "ct" if k % 2 else "mr", "body_part": "ab"[k % 3 // 2], "study_description": "scan " + vocabulary[k % 7],
-         "template_content": "", "dictation": " ".join(vocabulary[(k * j + j) % 10] for j in range(1, 2 + k % 6))}
+         "template_content": "FINDINGS:\n" + "".join(f"{h}: x\n" for h in headers(k)) + "\nIMPRESSION:\nx", "dictation": " ".join(vocabulary[(k * j + j) % 10] for j in range(1, 2 + k % 6))}
         for k in range(n)
     ]
 

@@ -94,6 +94,18 @@ def test_cost_is_the_least(a, b):
     assert (cost == 0) == (a == b)
 
 
+@settings(max_examples=200, deadline=None)
+@given(some_tokens, some_tokens)
+def test_rows_and_loops_agree(a, b):
+    assert metric.by_rows(a, b) == metric.by_loops(a, b) == plain_cost(a, b)
+
+
+def test_long_lists_are_compared_by_rows():
+    a = [f"w{k % 17}" if k % 5 else "no" for k in range(120)]
+    b = [t for k, t in enumerate(a) if k % 7 != 3] + ["left"]
+    assert metric.cost_of(a, b) == plain_cost(a, b) == metric.cost_of(b, a)
+
+
 def test_whole_text_rules_equal_word_by_word_rules(spark):
     """The one-pass form against the rules applied to each line and word, as the SQL form states them."""
     import random

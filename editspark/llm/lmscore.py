@@ -9,23 +9,28 @@ With ``c`` the counts of a model, ``V`` the vocabulary's size and ``h`` the toke
 
     p(w | h) = (c(h, w) + MASS * q(w)) / (c(h) + MASS)      q(w) = (c(w) + 1) / (N + V)
 
+The pairs of a token add up to one less than its count where it ended a text; so what ``p(. | h)`` lacks to one is the chance of the text's end.
+
 Pairs of tokens are counted exactly, however many distinct ones there are. Documents are tokenised once, into chunks of bounded size. Each
-chunk sends its distinct pairs with their counts, dealt by hash into ranges whose number follows the tokens of the input; a range adds the counts
-of each pair and answers each chunk with the totals of its pairs, so no table of all pairs is ever in one place, and a hot pair
-comes once a chunk. Only the counts of single tokens, of the vocabulary's size, are sent to all tasks.
+chunk sends its distinct pairs with their counts, dealt by hash into ``1 << BITS`` ranges; a range adds the counts of each pair and answers each chunk with the
+totals of its pairs, so no table of all pairs is ever in one place, and a hot pair comes once a chunk. A range of more than ``FAN`` chunks is added up
+in lanes of about as many first, whose sums are dealt by the hash's next bits in turn (``totals``): the number of blocks is in proportion to that of chunks, and
+no task holds more than a lane. Only the counts of single tokens, of the vocabulary's size, are sent to all tasks.
 
-Defined results: a null or empty text has no tokens, losses and score 0; without target documents both models are smoothing alone on that
-side; a document counts as target if any of its labels says so; repeated rows count and are scored each; other columns are ignored.
+Defined results: a null or empty text has no tokens, losses and score 0; a very long text is scored whole; without target documents both models are smoothing alone on that
+side; a document counts as target if any of its labels says so; repeated rows count and are scored each, null ids too; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +40,10 @@ from .packing import tokenizer
 MASS = 50.0
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-#: Ranges of pairs at least, and tokens of the input for each; both powers of two. Slices of the counts of single tokens.
-RANGES, RANGE_TOKENS, SLICES = 128, 1 << 21, 16
+#: Bits of the hash that each level deals by, and members of a range that are added up at once.
+BITS, FAN = 9, 512
+#: Slices of the counts of single tokens, and lanes in which each is added up first.
+SLICES, LANES = 16, 64
 #: Bytes of text of a chunk.
 CHUNK = 8_000_000
 
@@ -91,7 +98,7 @@ def tokenised(rows: DataFrame, path: str) -> DataFrame:
         for b in batches:
             for c in chunks(b, "text"):
                 for doc, text, target in zip(*(c.column(k).to_pylist() for k in ("doc_id", "text", "target")), strict=True):
-                    held.append((doc, target, np.array(enc.encode(text, allowed_special="all"), np.uint32)))
+                    held.append((doc, target, np.array(enc.encode(text), np.uint32)))
                     size += len(text)
                     if size > CHUNK:
                         yield chunk()
@@ -118,9 +125,14 @@ class Chunk:
         self.distinct, self.places, self.often = np.unique(mixed(numbers), return_inverse=True, return_counts=True)
         self.of_target = np.repeat(self.targets, self.sizes)
 
-    def ranges(self, n: int) -> np.ndarray:
-        """Where each of ``n`` ranges, a power of two, ends among the distinct pairs."""
-        return np.searchsorted(self.distinct >> np.uint64(64 - n.bit_length() + 1), np.arange(n, dtype=np.uint64), "right")
+
+def dealt(distinct: np.ndarray, level: int) -> Iterator[tuple[int, slice]]:
+    """(range, its place) of pairs in hashed order, by the bits of a level."""
+    of = (distinct >> np.uint64(64 - BITS * (level + 1))) & np.uint64((1 << BITS) - 1)
+    found, start = np.unique(of, return_index=True)
+    if not len(of):
+        return
+    yield from ((int(k), slice(i, j)) for k, i, j in zip(found, start, [*start[1:], len(of)], strict=True))
 
 
 def opened_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -129,68 +141,99 @@ def opened_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield b.slice(k, 1).to_pylist()[0]
 
 
-def counts(chunked: DataFrame, vocabulary: int, n_ranges: int) -> tuple[np.ndarray, DataFrame]:
+def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[list[dict]]:
+    """Consecutive rows that agree in the keys, by which they must be sorted."""
+    for _, rows in itertools.groupby(opened_rows(batches), key=lambda r: [r[k] for k in keys]):
+        yield list(rows)
+
+
+def added(rows: list[dict]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """The distinct pairs of blocks in hashed order, where each block's pairs are among them, and the sums of ``often`` and ``target``."""
+    blocks = [mixed(opened(r["pairs"])) for r in rows]
+    distinct, place = np.unique(np.concatenate(blocks), return_inverse=True)
+    sums = [np.bincount(place, np.concatenate([opened(r[side]) for r in rows]), len(distinct)).astype(np.int64) for side in ("often", "target")]  # exact below 2 ** 53
+    return distinct, np.split(place, np.cumsum([len(x) for x in blocks])[:-1]), sums
+
+
+BLOCKS = "key long, member long, pairs binary, often binary, target binary"
+ANSWERS = "key long, member long, background binary, of_target binary"
+
+
+def totals(blocks: DataFrame, members: int, level: int = 0) -> DataFrame:
+    """``ANSWERS``: for each of ``BLOCKS`` the sums of its pairs over all blocks of its key, of which there are ``members`` at most."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, "key"):
+            _, places, sums = added(rows)
+            yield from_rows(ANSWERS, [(r["key"], r["member"], *(squeezed(x[place]) for x in sums)) for r, place in zip(rows, places, strict=True)])
+        freed()
+
+    if members <= FAN:
+        return blocks.repartition("key").sortWithinPartitions("key").mapInArrow(answer, ANSWERS)
+    lanes = -(-members // FAN)
+    blocks = blocks.withColumn("lane", F.pmod(F.xxhash64("member", F.lit(level)), F.lit(lanes)))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, "key", "lane"):
+            distinct, _, sums = added(rows)
+            found, columns = unmixed(distinct).astype(np.int64), []
+            for k, at in dealt(distinct, level + 1):
+                columns.append((rows[0]["key"] << BITS | k, rows[0]["lane"], *(squeezed(x[at]) for x in (found, *sums))))
+            yield from_rows(BLOCKS, columns)
+        freed()
+
+    summed = written(blocks.repartition("key", "lane").sortWithinPartitions("key", "lane").mapInArrow(merge, BLOCKS), "lanes")
+    said = totals(summed, lanes, level + 1).select(
+        F.shiftright("key", BITS).alias("key"), F.col("member").alias("lane"), F.col("key").alias("member"), F.lit(None).cast("binary").alias("pairs"),
+        F.col("background").alias("often"), F.col("of_target").alias("target"), F.lit(0).alias("kind"),
+    )
+    both = blocks.withColumn("kind", F.lit(1)).unionByName(said).repartition("key", "lane").sortWithinPartitions("key", "lane", "kind", "member")
+
+    def pass_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, "key", "lane"):
+            mine, sums = [r for r in rows if r["kind"]], [r for r in rows if not r["kind"]]
+            _, places, _ = added(mine)
+            sums = [np.concatenate([opened(r[side]) for r in sums]) for side in ("often", "target")]  # by the next bits, so in hashed order
+            yield from_rows(ANSWERS, [(r["key"], r["member"], *(squeezed(x[place]) for x in sums)) for r, place in zip(mine, places, strict=True)])
+        freed()
+
+    return both.mapInArrow(pass_on, ANSWERS)
+
+
+def counts(chunked: DataFrame, vocabulary: int) -> tuple[np.ndarray, DataFrame]:
     """Counts of single tokens (the start mark last) of background and target, and ``chunk, answers``: the totals of each chunk's pairs, by range."""
-    spec = "range long, chunk long, block binary, often binary, target binary"
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = np.zeros((2, vocabulary + 1), np.int64)
         for row in opened_rows(batches):
             c = Chunk(row, vocabulary)
             target = np.bincount(c.places[c.of_target], minlength=len(c.distinct))
-            numbers = unmixed(c.distinct)
+            numbers = unmixed(c.distinct).astype(np.int64)
             for side, ids, full in ((0, c.ids, c.sizes > 0), (1, c.ids[c.of_target], (c.sizes > 0) & c.targets)):
                 tokens[side] += np.bincount(ids, minlength=vocabulary + 1)
                 tokens[side][vocabulary] += full.sum()
-            out, start = [], 0
-            for k, end in enumerate(c.ranges(n_ranges)):
-                if end > start:
-                    out.append((k, row["chunk"], *map(squeezed, (numbers[start:end], c.often[start:end], target[start:end]))))
-                start = end
-            yield from_rows(spec, out)
+            yield from_rows(BLOCKS, [(k, row["chunk"], *map(squeezed, (numbers[at], c.often[at], target[at]))) for k, at in dealt(c.distinct, 0)])
             freed()
         if tokens.any():
-            yield from_rows(spec, [(-1 - k, 0, squeezed(np.ascontiguousarray(part)), b"", b"") for k, part in enumerate(np.array_split(tokens, SLICES, axis=1))])
+            lane = TaskContext.get().partitionId() % LANES
+            yield from_rows(BLOCKS, [(-1 - k, lane, squeezed(np.ascontiguousarray(part)), b"", b"") for k, part in enumerate(np.array_split(tokens, SLICES, axis=1))])
 
-    found = written(chunked.mapInArrow(gather, spec), "pairs")
-    totals = "range long, block binary"
+    found = written(chunked.mapInArrow(gather, BLOCKS), "pairs")
+    slices = "key long, member long, pairs binary"
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}  # of SLICES slices at most
+        sums: dict[tuple, np.ndarray] = {}  # of SLICES * LANES at most
         for row in opened_rows(batches):
-            sums[row["range"]] = sums.get(row["range"], 0) + opened(row["block"])
-        yield from_rows(totals, [(k, squeezed(x)) for k, x in sums.items()])
+            at = row["key"], row["member"]
+            sums[at] = sums.get(at, 0) + opened(row["pairs"])
+        yield from_rows(slices, [(*k, squeezed(x)) for k, x in sums.items()])
 
-    slices = found.filter("range < 0").select("range", "block").repartition("range").mapInArrow(add, totals).toArrow()
-    parts = {k: opened(block).reshape(2, -1) for k, block in zip(slices.column("range").to_pylist(), slices.column("block").to_pylist(), strict=True)}
+    single = found.filter("key < 0").select("key", "member", "pairs").repartition("key", "member").mapInArrow(add, slices)
+    single = single.withColumn("member", F.lit(0).cast("long")).repartition("key").mapInArrow(add, slices).toArrow()
+    parts = {k: opened(block).reshape(2, -1) for k, block in zip(single.column("key").to_pylist(), single.column("pairs").to_pylist(), strict=True)}
     tokens = np.concatenate([parts[-1 - k] for k in range(SLICES)], axis=1) if parts else np.zeros((2, vocabulary + 1), np.int64)
-    spec_out = "chunk long, range long, background binary, target binary"
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def said(held: list[dict]) -> pa.RecordBatch:
-            blocks = [opened(r["block"], np.uint64) for r in held]
-            _, place = np.unique(np.concatenate(blocks), return_inverse=True)
-            ends, out = np.cumsum([len(x) for x in blocks])[:-1], []
-            sides = []
-            for side in ("often", "target"):
-                weights = np.concatenate([opened(r[side]) for r in held])
-                sides.append(np.split(np.bincount(place, weights).astype(np.int64)[place], ends))  # exact below 2 ** 53
-            for r, background, target in zip(held, *sides, strict=True):
-                out.append((r["chunk"], r["range"], squeezed(background), squeezed(target)))
-            return from_rows(spec_out, out)
-
-        held: list[dict] = []
-        for row in opened_rows(batches):
-            if held and held[0]["range"] != row["range"]:
-                yield said(held)
-                held = []
-            held.append(row)
-        if held:
-            yield said(held)
-        freed()
-
-    answers = found.filter("range >= 0").repartition("range").sortWithinPartitions("range").mapInArrow(answer, spec_out)
-    return tokens, answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("range", "background", "target"))).alias("answers"))
+    answers = totals(found.filter("key >= 0"), chunked.count())
+    return tokens, answers.groupBy(F.col("member").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("key", "background", "of_target"))).alias("answers"))
 
 
 def loss(ids: np.ndarray, tokens: np.ndarray, n: int, at: np.ndarray, c_pair: np.ndarray, own: bool) -> float:
@@ -207,20 +250,15 @@ def loss(ids: np.ndarray, tokens: np.ndarray, n: int, at: np.ndarray, c_pair: np
         # each token before another is one of the text's own, but for the start mark, which is there once
         c_before -= np.append(1, often[np.searchsorted(found, before[1:])])
         n -= len(ids)
-    q = (np.maximum(c_token, 0) + 1) / (n + vocabulary)
-    p = (np.maximum(c_pair, 0) + MASS * q) / (np.maximum(c_before, np.maximum(c_pair, 0)) + MASS)
-    return float(-np.log(np.minimum(p, 1)).mean())
+    q = (c_token + 1) / (n + vocabulary)
+    return float(-np.log((c_pair + MASS * q) / (c_before + MASS)).mean())
 
 
 def scores(docs: DataFrame, targets: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens, loss_target, loss_background, score`` of every document."""
     vocabulary = tokenizer(path).n_vocab
     chunked = written(tokenised(flagged(docs, targets), path), "tokens")
-    total = chunked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    n_ranges = RANGES
-    while n_ranges * RANGE_TOKENS < total:
-        n_ranges *= 2
-    tokens, answers = counts(chunked, vocabulary, n_ranges)
+    tokens, answers = counts(chunked, vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast(tokens)
     spec = "doc_id long, n_tokens long, loss_target double, loss_background double, score double"
 
@@ -229,7 +267,7 @@ def scores(docs: DataFrame, targets: DataFrame, path: str) -> DataFrame:
         n_background, n_target = (int(x[:-1].sum()) for x in (background, target))
         for row in opened_rows(batches):
             c, said = Chunk(row, vocabulary), row["answers"] or []
-            background_pairs, target_pairs = (np.concatenate([np.zeros(0, np.int64), *(opened(x[side]) for x in said)])[c.places] for side in ("background", "target"))
+            background_pairs, target_pairs = (np.concatenate([np.zeros(0, np.int64), *(opened(x[side]) for x in said)])[c.places] for side in ("background", "of_target"))
             out = []
             for doc, known, is_target, size, end in zip(c.docs.tolist(), c.known.tolist(), c.targets.tolist(), c.sizes.tolist(), c.ends.tolist(), strict=True):
                 doc, at = doc if known else None, slice(end - size, end)

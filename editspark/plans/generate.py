@@ -1,4 +1,7 @@
-"""From dictations to reports: routing, decoding of model responses, fallback and strict modes, providers."""
+"""From dictations to reports: routing, decoding of model responses, fallback and strict modes, providers.
+
+A provider is a function of one ``Request`` that returns the model's answer as text, raises, or returns nothing.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import report as R
 from ..sources.schemas import UPDATES
+from .prompts import SYSTEM_EXAMPLES
 
 
 @dataclass(frozen=True)
@@ -30,6 +34,21 @@ class Settings:
         return Settings(model or self.model, api_key.strip() or self.api_key, self.key_variables)
 
 
+@dataclass(frozen=True)
+class Request:
+    """What a provider is asked: the prompt, the standing instruction, and how to answer."""
+
+    prompt: str
+    system: str = ""
+    model: str = ""
+    key: str = field(default="", repr=False)
+    temperature: float = 0.1
+    response_type: str = "application/json"
+
+
+Provider = Callable[[Request], str | None]
+
+
 class QuotaExhausted(RuntimeError):
     """A provider gave nothing after all its tries."""
 
@@ -80,37 +99,58 @@ def reports(cases: DataFrame, responses: DataFrame, strict: bool = False) -> Dat
     return rows.select("case_id", F.when(used, by_model).otherwise(by_rules).alias("report"), F.when(used, "model").otherwise(F.lit(None if strict else "rules")).alias("source"), status.alias("status"))
 
 
-def call_provider(prompts: DataFrame, provider: Callable[[str], str], tries: int = 4, wait_s: float = 10.0, retry: Callable[[Exception], bool] = lambda e: "429" in str(e) or "RESOURCE_EXHAUSTED" in str(e)) -> DataFrame:
-    """``case_id, raw_response`` from a function of one prompt, called once for each case unless it fails or says nothing.
+def rate_limited(e: Exception) -> bool:
+    return "429" in str(e) or "RESOURCE_EXHAUSTED" in str(e)
 
-    Waits grow in steps of ``wait_s``. Errors that ``retry`` doesn't accept end a case's tries; what is still empty is an empty response, for ``reports`` to
-    handle. Write the result before using it: each use of the table would call again.
+
+def ask(provider: Provider, request: Request, tries: int = 3, wait_s: float = 5.0) -> str:
+    """The answer, or nothing. After a refusal for the rate of calls it is asked again, each time ``wait_s`` later; any other error ends it."""
+    for attempt in range(1, tries + 1):
+        try:
+            return provider(request) or ""
+        except Exception as e:
+            if not rate_limited(e):
+                break
+            time.sleep(wait_s * attempt)
+    return ""
+
+
+def insist(provider: Provider, request: Request, rounds: int = 4, wait_s: float = 10.0, **asking) -> str:
+    """The answer; asks again while there is none, each time ``wait_s`` later, and raises ``QuotaExhausted`` in the end."""
+    for attempt in range(1, rounds + 1):
+        if raw := ask(provider, request, **asking):
+            return raw
+        if attempt < rounds:
+            time.sleep(wait_s * attempt)
+    raise QuotaExhausted(f"no response after {rounds} attempts")
+
+
+def call_provider(prompts: DataFrame, provider: Provider, settings: Settings | None = None, system: str = SYSTEM_EXAMPLES, spacing_s: float = 0.0, **asking) -> DataFrame:
+    """``case_id, raw_response``: each prompt asked once for, all tasks at a time, calls of a task ``spacing_s`` apart at least.
+
+    What stays unanswered is an empty response, for ``reports`` to handle. Write the result before using it: each use of the table would call again.
     """
+    settings = settings or Settings()
+    model, key = settings.model, settings.key()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = -spacing_s
         for b in batches:
             said = []
             for prompt in b["prompt"]:
-                raw = ""
-                for attempt in range(1, tries + 1):
-                    try:
-                        raw = provider(prompt) or ""
-                    except Exception as e:
-                        if not retry(e):
-                            break
-                    if raw:
-                        break
-                    if attempt < tries:
-                        time.sleep(wait_s * attempt)
-                said.append(raw)
+                time.sleep(max(0.0, last + spacing_s - time.monotonic()) if said or last > 0 else 0.0)
+                last = time.monotonic()
+                said.append(ask(provider, Request(prompt, system, model, key), **asking))
             yield pd.DataFrame({"case_id": b["case_id"], "raw_response": said})
 
     return prompts.select("case_id", "prompt").mapInPandas(run, "case_id string, raw_response string")
 
 
-def preflight(provider: Callable[[str], str]) -> None:
+def preflight(provider: Provider, settings: Settings | None = None) -> None:
     """One small call before a batch; raises if the provider doesn't answer."""
+    settings = settings or Settings()
     try:
-        answer = provider("Reply with: OK")
+        answer = provider(Request("Reply with: OK", model=settings.model, key=settings.key()))
     except Exception as e:
         raise QuotaExhausted(f"the provider doesn't answer: {e}") from e
     if not answer:

@@ -2,6 +2,8 @@ import csv
 import json
 
 from editspark.__main__ import main
+from editspark.plans import generate
+from editspark.plans.prompts import SYSTEM_EXAMPLES
 from editspark.sources import files
 from editspark.sources.schemas import CASES
 from editspark.streaming import shards
@@ -58,6 +60,49 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["status", *common, str(tmp_path / "test")]) == 0
 
 
+CALLS: list = []
+ANSWERS: dict = {}
+
+
+def provider(request):
+    """Answers by what a prompt's target says; ``ANSWERS`` may make it fail."""
+    CALLS.append(request)
+    if request.prompt == "Reply with: OK":
+        return "OK"
+    case = request.prompt.split("Dictation:\n")[-1].split("\n")[0]
+    return ANSWERS.get(case, json.dumps({"field_updates": {"LUNGS": "wet"}, "impression": ""}))
+
+
+def test_slices_save_as_they_go_and_stop_at_an_exhausted_quota(spark, tmp_path, monkeypatch):
+    waits = []
+    monkeypatch.setattr(generate.time, "sleep", waits.append)
+    write_csv(tmp_path / "train.csv", [{**a_case(k, report=T.replace("clear", "wet")), "dictation": f"wet lungs {k}"} for k in range(5)], ["report"])
+    write_csv(tmp_path / "test.csv", [{**a_case(k), "dictation": f"wet lungs {k}"} for k in range(5)])
+    common = ["test", "--train", str(tmp_path / "train.csv"), "--test", str(tmp_path / "test.csv"), "--shard", str(tmp_path / "shard"), "--provider", f"{__name__}:provider"]
+    common += ["--sleep", "0.25", "--wait", "7", "--api-key", "k", "--model", "m"]
+    CALLS.clear()
+    ANSWERS.clear()
+    ANSWERS.update({"wet lungs 1": "not json", "wet lungs 3": ""})
+    assert main(common) == 2  # the fourth case gets no answer
+    assert {r.case_id for r in files.read_shard(spark, str(tmp_path / "shard")).collect()} == {"c0", "c2"}
+    assert [w for w in waits if w == 0.25] == [0.25] * 3 and [w for w in waits if w in (7, 14, 21)] == [7, 14, 21]
+    asked = CALLS[1]
+    assert (asked.model, asked.key, asked.temperature, asked.response_type) == ("m", "k", 0.1, "application/json") and asked.system == SYSTEM_EXAMPLES
+    ANSWERS.clear()
+    assert main(common) == 0
+    assert sorted(r.case_id for r in files.read_shard(spark, str(tmp_path / "shard")).collect()) == [f"c{k}" for k in range(5)]
+    assert main(common) == 0 and main([*common, "--start", "99"]) == 0
+
+
+def test_one_command_for_all(spark, tmp_path, capsys):
+    write_csv(tmp_path / "train.csv", [a_case(k, report=T.replace("clear", "wet")) for k in range(6)], ["report"])
+    write_csv(tmp_path / "test.csv", [a_case(k) for k in range(3)])
+    assert main(["run", "--train", str(tmp_path / "train.csv"), "--test", str(tmp_path / "test.csv"), "--output", str(tmp_path / "out"), "--summary", str(tmp_path / "summary"), "--max-cases", "4"]) == 0
+    assert json.loads(next((tmp_path / "summary").glob("part-*")).read_text())["total_cases"] == 4
+    with open(next((tmp_path / "out").glob("part-*")), newline="", encoding="utf-8") as f:
+        assert [r["case_id"] for r in csv.DictReader(f)] == ["c0", "c1", "c2"]
+
+
 def test_streamed_shards_keep_the_last_record(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

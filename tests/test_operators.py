@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from editspark.operators import batch, evaluate, retrieve
-from editspark.plans import crossval, generate
+from editspark.plans import crossval, generate, prompts
 from editspark.sources import files
 
 CASES = "case_id string, row_idx long, modality string, body_part string, template_content string, dictation string, report string, predicted string"
@@ -130,6 +130,26 @@ def test_retrieval_never_pairs_all(spark):
     assert "WindowGroupLimit" in physical
 
 
+def test_prompt_text(spark):
+    """Byte for byte, with two examples and with none."""
+    t = "FINDINGS:\nLUNGS: clear\nHEART: fine\n\nIMPRESSION:\nnormal"
+    query = ("q", 0, "CT", "CHEST", "CT chest", t, "lungs wet", "")
+    past = [("a", 1, "CT", "CHEST", "CT chest", t, "lungs dense é", t.replace("clear", "dense “é”").replace("normal", "bad")), ("b", 2, "MR", "HEAD", "MR head", t, "nothing", t)]
+    spec = "case_id string, row_idx long, modality string, body_part string, study_description string, template_content string, dictation string, report string"
+    cases, other = spark.createDataFrame([query], spec), spark.createDataFrame(past, spec)
+    retrieved = other.orderBy("row_idx").agg(F.array_sort(F.collect_list(F.struct("row_idx", F.struct(*other.columns).alias("c")))).alias("r")).select(F.lit("q").alias("query_id"), F.transform("r", lambda x: x.c).alias("examples"))
+    shown = (
+        "--- EXAMPLE 1 ---\nModality: CT | Body Part: CHEST\nTemplate:\n" + t + "\n\nDictation:\nlungs dense é\n\nExpected Report Updates (JSON):\n"
+        '{\n  "field_updates": {\n    "LUNGS": "dense \\u201c\\u00e9\\u201d"\n  },\n  "impression": "bad"\n}\n\n'
+        "--- EXAMPLE 2 ---\nModality: MR | Body Part: HEAD\nTemplate:\n" + t + "\n\nDictation:\nnothing\n\nExpected Report Updates (JSON):\n"
+        '{\n  "field_updates": {},\n  "impression": "normal"\n}\n\n'
+    )
+    head = "Below are examples showing how past dictations were incorporated into templates:\n\n"
+    target = "=== TARGET CASE TO PROCESS ===\nModality: CT | Body Part: CHEST\nStudy Description: CT chest\nTemplate:\n" + t + "\n\nDictation:\nlungs wet\n\nGenerate the target case field_updates and impression strictly in valid JSON format:"
+    assert prompts.build_prompts(cases, retrieved).first().prompt == head + shown + target
+    assert prompts.build_prompts(cases, retrieved.limit(0)).first().prompt == head + target
+
+
 def test_decoding(spark):
     raws = {
         '{"field_updates": {"A, <b>: C": "x", "N": null}, "impression": "i"}': (True, [("A, <b>: C", "x"), ("N", "")], "i"),
@@ -159,17 +179,43 @@ def test_fallback_and_strict(spark):
 def test_provider_retries_only_what_may_be_retried(spark):
     prompts = spark.createDataFrame([("ok", "fine"), ("bad", "broken"), ("empty", "silent")], "case_id string, prompt string")
 
-    def provider(prompt):
-        if prompt == "broken":
+    def provider(request):
+        if request.prompt == "broken":
             raise ValueError("no such model")
-        return {"fine": "{}", "silent": ""}[prompt]
+        return {"fine": request.system[:3] + request.model + request.key, "silent": ""}[request.prompt]
 
-    got = {r.case_id: r.raw_response for r in generate.call_provider(prompts, provider, tries=2, wait_s=0).collect()}
-    assert got == {"ok": "{}", "bad": "", "empty": ""}
+    settings = generate.Settings().overridden("k", "m")
+    got = {r.case_id: r.raw_response for r in generate.call_provider(prompts, provider, settings, tries=2, wait_s=0).collect()}
+    assert got == {"ok": "Youmk", "bad": "", "empty": ""}
     with pytest.raises(generate.QuotaExhausted):
         generate.preflight(lambda p: "")
 
 
+def test_rates_and_quotas(monkeypatch):
+    waits, calls = [], []
+    monkeypatch.setattr(generate.time, "sleep", waits.append)
+
+    def refused(request):
+        calls.append(request)
+        if len(calls) < 3:
+            raise RuntimeError("429 RESOURCE_EXHAUSTED")
+        return "{}"
+
+    assert generate.ask(refused, generate.Request("p"), wait_s=5) == "{}" and waits == [5, 10]
+    waits.clear()
+    with pytest.raises(generate.QuotaExhausted, match="4 attempts"):
+        generate.insist(lambda r: "", generate.Request("p"), wait_s=10)
+    assert waits == [10, 20, 30]
+    assert "secret" not in repr(generate.Request("p", key="secret"))
+
+
+def test_settings(monkeypatch):
+    monkeypatch.setenv("GOOGLE_API_KEY", " env ")
+    monkeypatch.delenv("GEMINI_API_KEY", raising=False)
+    assert generate.Settings().key() == "env" and generate.Settings().overridden(" own ", "m").key() == "own"
+    assert generate.Settings().overridden().model == generate.Settings().model
+
+
 def test_batches(spark):
     cases = spark.createDataFrame([(f"c{k}", k, f"t{k}") for k in range(6)], "case_id string, row_idx long, template_content string")
     done = spark.createDataFrame([("c1", "r1", True), ("c4", None, False), ("gone", "x", None)], "case_id string, report string, valid boolean")

@@ -127,7 +127,7 @@ def run_all(spark: SparkSession, args: argparse.Namespace) -> int:
         files.write_summary(summary, args.summary)
     print(json.dumps(summary.first().asDict()))
     made = written(crossval.generated(test, answers(test, False)).join(test.select("case_id", "row_idx", "template_content"), "case_id"), "submission")
-    files.write_submission(made, args.output)
+    files.write_submission(made, args.output, not args.parts)
     print("reports with missing parts:", made.filter(F.size(R.structure_issues(F.col("report"), F.col("template_content"))) > 0).count())
     return 0
 
@@ -163,6 +163,8 @@ def main(argv: list[str] | None = None) -> int:
         if name == "merge":
             p.add_argument("--output", required=True)
             p.add_argument("--allow-partial", action="store_true")
+        if name in ("run", "merge"):
+            p.add_argument("--parts", action="store_true", help="ordered part files instead of one file")
     args = parser.parse_args(argv)
     spark = session()
     if args.command == "run":
@@ -184,7 +186,7 @@ def main(argv: list[str] | None = None) -> int:
     else:
         cases = _cases(spark, args.test, False)
         batch.require_complete(cases, done, args.allow_partial)
-        files.write_submission(batch.merge(cases, done), args.output)
+        files.write_submission(batch.merge(cases, done), args.output, not args.parts)
         batch.merge_counts(cases, done).show()
     return 0
 

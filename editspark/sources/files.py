@@ -41,12 +41,13 @@ def parse_shard(lines: DataFrame, line: Column, ordinal: Column) -> DataFrame:
 
 
 def read_shard(spark: SparkSession, path: str) -> DataFrame:
-    """All records of a shard (a file or a folder of part files) with ``ordinal``, in the order of file names and lines; none if it doesn't exist."""
+    """All records of a shard (a file or a folder of part files) with ``ordinal``, in the order of writing: files by time and name, then lines; none if it doesn't exist."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], T.StructType([*SHARD.fields, T.StructField("ordinal", T.StringType())]))
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    return parse_shard(whole, F.col("line"), F.concat_ws("#", "file", F.lpad(F.col("n").cast("string"), 10, "0")))
+    lines = spark.read.text(path).select("value", "_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+    place = F.format_string("%020d#%s#%020d#%020d", F.unix_micros("file_modification_time"), "file_path", "file_block_start", "n")  # numbers rise within a block, which one task reads
+    return parse_shard(lines, F.col("value"), place)
 
 
 def last_records(records: DataFrame) -> DataFrame:
@@ -61,9 +62,11 @@ def append_shard(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
-def write_submission(rows: DataFrame, path: str) -> None:
-    """``case_id, report`` in row order as one CSV file with quotes doubled; the result is as small as its input table."""
-    rows.select("row_idx", "case_id", "report").repartitionByRange(1, "row_idx").sortWithinPartitions("row_idx").select("case_id", "report").write.mode("overwrite").csv(path, header=True, escape='"', quoteAll=False)
+def write_submission(rows: DataFrame, path: str, one_file: bool = False) -> None:
+    """``case_id, report`` in row order as CSV with quotes doubled: part files that follow each other in order, or, for a small table, one."""
+    rows = rows.select("row_idx", "case_id", "report")
+    rows = rows.repartitionByRange(1, "row_idx") if one_file else rows.repartitionByRange("row_idx")
+    rows.sortWithinPartitions("row_idx").select("case_id", "report").write.mode("overwrite").csv(path, header=True, escape='"', quoteAll=False)
 
 
 def write_summary(summary: DataFrame, path: str) -> None:

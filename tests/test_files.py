@@ -1,5 +1,6 @@
 import csv
 import json
+import time
 
 from editspark.__main__ import main
 from editspark.plans import generate
@@ -39,6 +40,30 @@ def test_shards(spark, tmp_path):
     assert got == {"a": ("2", None), "b": ("é", None)}
 
 
+def test_later_appends_win_and_lines_keep_their_order(spark, tmp_path):
+    path = str(tmp_path / "shard")
+    for k in range(5):
+        files.append_shard(spark.createDataFrame([("a", f"r{k}", True), (f"b{k}", "x", True)], "case_id string, report string, valid boolean").coalesce(1), path)
+        time.sleep(0.02)
+    got = {r.case_id: r.report for r in files.last_records(files.read_shard(spark, path)).collect()}
+    assert got["a"] == "r4" and len(got) == 6
+    (tmp_path / "long.jsonl").write_text("\n".join(json.dumps({"case_id": "c", "report": f"{k:05}" + "y" * 2000}) for k in range(2_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        rows = files.read_shard(spark, str(tmp_path / "long.jsonl"))
+        assert rows.rdd.getNumPartitions() > 4
+        assert files.last_records(rows).first().report[:5] == "01999" and [r.report[:5] for r in rows.orderBy("ordinal").collect()] == [f"{k:05}" for k in range(2_000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_submissions_in_parts_follow_each_other(spark, tmp_path):
+    rows = spark.range(3_000).selectExpr("id AS row_idx", "'c' || id AS case_id", "repeat('x', 50) AS report").repartition(7)
+    files.write_submission(rows, str(tmp_path / "parts"))
+    names = sorted((tmp_path / "parts").glob("part-*"))
+    assert [x for n in names for x in (r["case_id"] for r in csv.DictReader(open(n)))] == [f"c{k}" for k in range(3_000)]
+
+
 def test_commands(spark, tmp_path, capsys):
     write_csv(tmp_path / "train.csv", [a_case(k, report=T.replace("clear", "wet")) for k in range(5)], ["report"])
     write_csv(tmp_path / "test.csv", [a_case(k) for k in range(5)])

@@ -1,5 +1,6 @@
 import json
 import math
+import statistics
 from collections import Counter
 
 import pytest
@@ -42,6 +43,13 @@ def test_empty_folds_and_summaries(spark):
     assert files.last_records(none).count() == 0
 
 
+@pytest.mark.parametrize("values", [[], [None], [3.5], [1.0, 2.0], [2.0] * 7, [5.0, -1.0, None, 5.0, 0.25], [k**3 / 7 for k in range(101)], [k % 3 * 1.0 for k in range(100)]])
+def test_median(spark, values):
+    got = evaluate.median(spark.createDataFrame([(v,) for v in values], "v double"), "v").collect()
+    known = [v for v in values if v is not None]
+    assert [r.median for r in got] == ([statistics.median(known)] if known else [])
+
+
 def words(text):
     return text.lower().split()
 

@@ -12,8 +12,9 @@ tokens are each the encoding of their own bytes, a sequence of pairwise compatib
 exactly one token qualifies at each node.
 
 Defined results: a null text encodes as the empty text; an empty text has no ids; special tokens of the
-vocabulary that occur literally in a text are that one id, as the public library does; repeated rows each get
-their result; other columns of the input, whatever their names, are ignored.
+vocabulary that occur literally in a text are that one id, as the public library does; very long texts and very long words or runs of
+white space are encoded whole, in time linear in their length; repeated and null ids each get their row's result; an empty table gives no rows; other
+columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from .common import chunks, record_batch, texts
 
 #: Fixed values of byte-level BPE: the pattern that splits text into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words kept with their ids in each Python worker, and compatible pairs kept; beyond, the store starts anew.
-KEPT_WORDS, KEPT_PAIRS = 400_000, 1_000_000
+#: Words kept with their ids in each Python worker, code points of the longest of them, and compatible pairs kept; beyond, the store starts anew.
+KEPT_WORDS, KEPT_LENGTH, KEPT_PAIRS = 400_000, 64, 1_000_000
 #: The state of the root; ids are below it.
 NONE = (1 << 17) - 1
 
@@ -61,7 +62,10 @@ class TrieEncoder:
             self.bytes_of[i] = b
         for s, i in special.items():
             self.bytes_of[i] = s.encode()
-        self.longest = max(map(len, self.ids))
+        #: By the two bytes at a token's end: the length of the longest such token.
+        self.longest: dict[bytes, int] = {}
+        for b in self.ids:
+            self.longest[b[-2:]] = max(len(b), self.longest.get(b[-2:], 1))
         self.word_pattern = regex.compile(WORDS)
         self.special = {s: np.uint32(i).tobytes() for s, i in special.items()}
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
@@ -98,7 +102,7 @@ class TrieEncoder:
     def traverse(self, words: Iterable[bytes]) -> Iterator[list[int]]:
         """Depth-first over the trie of distinct words in byte order; yields each word's ids."""
         last = [NONE]  # of the node at each depth of the current path
-        before, get, longest, fits = b"", self.ids.get, self.longest, self.fits.get
+        before, get, longest, fits = b"", self.ids.get, self.longest.get, self.fits.get
         for word in words:
             shared = 0
             for x, y in zip(before, word, strict=False):
@@ -107,7 +111,8 @@ class TrieEncoder:
                 shared += 1
             del last[1 + shared :]
             for end in range(shared + 1, len(word) + 1):
-                for start in range(end - longest if end > longest else 0, end):
+                most = longest(word[end - 2 : end], 1) if end > 1 else 1
+                for start in range(end - most if end > most else 0, end):
                     if (t := get(word[start:end])) is not None:
                         pair = last[start] << 17 | t
                         if (said := fits(pair)) or said is None and self.compatible(pair):
@@ -136,12 +141,14 @@ class TrieEncoder:
         split = [self.split(t) for t in batch]
         if len(self.known) > KEPT_WORDS:
             self.known = {}
-        known = self.known
+        known, long = self.known, {}
         new = {w for words in split for w in words if w not in known}
         known.update({s: new_ids for s, new_ids in self.special.items() if s in new})
         pairs = sorted((w.encode("utf-8", "surrogatepass"), w) for w in new if w not in self.special)
         for (_, word), ids in zip(pairs, self.traverse(b for b, _ in pairs), strict=True):
-            known[word] = struct.pack(f"<{len(ids)}I", *ids)
+            (known if len(word) <= KEPT_LENGTH else long)[word] = struct.pack(f"<{len(ids)}I", *ids)
+        if long:
+            return [b"".join([known[w] if w in known else long[w] for w in words]) for words in split]
         return [b"".join([known[w] for w in words]) for words in split]
 
     def decode(self, ids: bytes) -> str:

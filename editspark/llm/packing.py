@@ -4,8 +4,8 @@ Documents become pieces of at most ``capacity`` tokens: only longer documents ar
 their first piece is the shorter one. The plan depends on how many pieces of each length there are, and on
 nothing else, so it is made from at most ``capacity`` counts, however many pieces there are:
 
-* the longest remaining length opens a sequence; the gap is looked up among single lengths, pair sums and triple
-  sums, and a combination that fills it exactly is used as often as the counts of its lengths allow;
+* the longest remaining length opens a sequence; the gap is looked up in a hash index of single lengths, pair sums and triple
+  sums (``Sums``), and a combination that fills it exactly is used as often as the counts of its lengths allow;
 * where no combination fills the gap, the longest length that fits goes in first and the smaller gap is looked up
   again; what can't be filled exactly is a best-fit residual.
 
@@ -13,14 +13,15 @@ Each step uses one pattern (a combination of lengths) for as many sequences as i
 A piece finds its place from its rank among the pieces of its length: ranks come from counts for each
 (length, writing task), never from a sort of all pieces of a length, so a hot length isn't gathered anywhere.
 
-Defined results: a null or empty text is the end token alone; repeated rows are packed each; other columns are ignored;
-an empty table gives no rows.
+Defined results: a null or empty text is the end token alone; a very long text, and one with a very long word or gap, is encoded whole and cut; repeated and null
+ids are packed row by row; among equal lengths any order may come out; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -32,20 +33,46 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from tokenizers import Tokenizer
 
 from .bpe import WORDS, byte_alphabet
 from .common import chunks, freed, record_batch, small_or_joined, texts, written
 
 
+#: Code points of a word or of a run of white space beyond which the fast encoder takes quadratic time or gives up.
+LONG = 4096
+_GAP = re.compile(rf"\s{{{LONG}}}")
+
+
+class Encoder:
+    """The ids of texts: a fast encoder with the vocabulary at ``path``, and the library that the file is written for where a text has a very long word or gap (ids are equal, tested)."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        alphabet = byte_alphabet()
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        ranks = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+        self.fast = tiktoken.Encoding("documents", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=special)
+        self.path, self.n_vocab = path, self.fast.n_vocab
+
+    @functools.cached_property
+    def patient(self) -> Tokenizer:
+        found = Tokenizer.from_file(self.path)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
+    def encode(self, text: str) -> list[int]:
+        if len(text) >= LONG and (_GAP.search(text) or max(map(len, text.split()), default=0) >= LONG):
+            return self.patient.encode(text, add_special_tokens=False).ids
+        return self.fast.encode(text, allowed_special="all")
+
+
 @functools.lru_cache(2)
-def tokenizer(path: str) -> tiktoken.Encoding:
-    """The vocabulary at ``path``; its ids equal those of the library the file is written for (tested)."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    alphabet = byte_alphabet()
-    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    ranks = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-    return tiktoken.Encoding("documents", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=special)
+def tokenizer(path: str) -> Encoder:
+    """One for each Python worker."""
+    return Encoder(path)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -64,7 +91,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, with_ids:
             for c in chunks(b, "text"):
                 out: list[list] = [[] for _ in range(8)]
                 for doc, text in zip(c.column("doc_id").to_pylist(), c.column("text").to_pylist(), strict=True):
-                    ids = np.array([*enc.encode(text, allowed_special="all"), end_id], "<u4")
+                    ids = np.array([*enc.encode(text), end_id], "<u4")
                     for k, (start, n) in enumerate(cut(len(ids), capacity)):
                         raw = ids[start : start + n].tobytes()
                         for column, x in zip(out, (doc, k, start, n, zlib.crc32(raw), lane, seen[n], raw), strict=True):
@@ -76,6 +103,52 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, with_ids:
     return texts(docs).mapInArrow(run, spec)
 
 
+class Sums:
+    """Hash index of the single, pair and triple sums of the lengths that are ``left``.
+
+    A sum's combinations are listed when it is first asked for, best last. A combination whose counts are used up is dropped for good when it is met, as counts only fall.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        self.pairs: dict[int, list[int]] = {}
+        self.triples: dict[int, list[int]] = {}
+
+    def there(self, low: int, high: int) -> bool:
+        return bool(self.left[low] > 0 and self.left[high] > (low == high))
+
+    def single(self, total: int) -> list[int] | None:
+        return [total] if self.left[total] else None
+
+    def pair(self, total: int) -> list[int] | None:
+        """The two lengths of most equal size that add up to ``total``, under the counts."""
+        if total not in self.pairs:
+            low = np.arange(1, total // 2 + 1)
+            self.pairs[total] = low[(self.left[low] > 0) & (self.left[total - low] > (low == total - low))].tolist()
+        lows = self.pairs[total]
+        while lows and not self.there(lows[-1], total - lows[-1]):
+            lows.pop()
+        return [total - lows[-1], lows[-1]] if lows else None
+
+    def triple(self, total: int) -> list[int] | None:
+        """The longest length that a pair completes, and that pair."""
+        if total not in self.triples:
+            self.triples[total] = [a for a in np.flatnonzero(self.left[:total]).tolist() if 3 * a >= total]
+        firsts, k = self.triples[total], len(self.triples[total]) - 1
+        while k >= 0:
+            a = firsts[k]
+            if not self.left[a] or not self.pair(total - a):
+                del firsts[k]
+            else:
+                self.left[a] -= 1
+                low = next((x for x in reversed(self.pairs[total - a]) if self.there(x, total - a - x)), None)  # of the listed ones few contain ``a``
+                self.left[a] += 1
+                if low:
+                    return [a, total - a - low, low]
+            k -= 1
+        return None
+
+
 class Plan:
     """Patterns for counts of lengths; see the module's description."""
 
@@ -84,36 +157,17 @@ class Plan:
         self.left = np.zeros(capacity + 1, np.int64)
         for n, c in counts.items():
             self.left[n] = c
+        self.sums = Sums(self.left)
         self.patterns: list[tuple[list[int], int]] = []
 
-    def single(self, gap: int, left: np.ndarray) -> list[int] | None:
-        return [gap] if left[gap] else None
-
-    def pair(self, gap: int, left: np.ndarray) -> list[int] | None:
-        """The two lengths of most equal size whose sum is the gap, under the counts."""
-        low = np.arange(1, gap // 2 + 1)
-        ok = (left[low] > 0) & (left[gap - low] > (low == gap - low))
-        return [int(gap - low[k]), int(low[k])] if ok.any() and (k := int(np.flatnonzero(ok)[-1])) >= 0 else None
-
-    def triple(self, gap: int, left: np.ndarray) -> list[int] | None:
-        for a in np.flatnonzero(left[:gap])[::-1]:
-            if 3 * a < gap:
-                break
-            left[a] -= 1
-            rest = self.pair(gap - int(a), left)
-            left[a] += 1
-            if rest:
-                return [int(a), *rest]
-        return None
-
     def run(self) -> list[tuple[list[int], int]]:
-        left = self.left
+        left, sums = self.left, self.sums
         while (here := np.flatnonzero(left)).size:
             pattern = [int(here[-1])]
             left[here[-1]] -= 1
             gap = self.capacity - pattern[0]
             while gap:
-                fill = self.single(gap, left) or self.pair(gap, left) or self.triple(gap, left)
+                fill = sums.single(gap) or sums.pair(gap) or sums.triple(gap)
                 if not fill:
                     fits = np.flatnonzero(left[: gap + 1])
                     if not fits.size:

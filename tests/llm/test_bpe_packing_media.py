@@ -40,7 +40,22 @@ def test_any_text(text):
     expected = t.encode(text, add_special_tokens=False).ids
     assert np.frombuffer(ids, "<u4").tolist() == expected
     assert enc.decode(ids) == text == t.decode(expected, skip_special_tokens=False)
-    assert packing.tokenizer(path).encode(text, allowed_special="all") == expected
+    assert packing.tokenizer(path).encode(text) == expected
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "ab", "你", " \n\t"])
+def test_very_long_words_and_gaps(byte_bpe, library, unit):
+    text = "start" + unit * (2_000_000 // len(unit)) + " end"
+    expected = library(text)
+    assert packing.tokenizer(byte_bpe).encode(text) == expected
+    (ids,) = bpe.encoder(byte_bpe).encode_batch([text])
+    assert np.frombuffer(ids, "<u4").tolist() == expected
+
+
+def test_long_texts_of_either_encoder_agree(byte_bpe, library):
+    text = "word " * 900 + "x" * 5000 + " tail <|endoftext|>" + " " * 5000 + "é"
+    enc = packing.tokenizer(byte_bpe)
+    assert enc.encode(text) == library(text) == enc.fast.encode(text, allowed_special="all")
 
 
 def test_prefixes_are_encoded_once(byte_bpe):

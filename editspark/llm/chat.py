@@ -8,7 +8,7 @@ The template writes a turn as ``<turn role="ROLE">TEXT</turn>`` and a line end.
 ``"`` are written ``\\``, ``\l`` and ``\q``; so ``<`` occurs in markers only, whatever texts say, and undoing the escapes gives the very text back.
 
 Defined results: null texts and roles are empty; rows are ordered by turn (nulls first), then role, then text, and repeated
-rows are turns of their own; rows without a ``conv_id`` are one conversation; an empty table gives no rows; other columns are ignored.
+rows are turns of their own; rows without a ``conv_id`` are one conversation; a very long text is one turn like any other; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -108,15 +108,19 @@ def read_back(examples: DataFrame) -> DataFrame:
     """Digests of each conversation, from the text and spans of ``expand``'s rows in its order.
 
     The last example of a conversation has all its turns; the trainable texts come one from each example; ``formatted_chars`` counts the
-    code points of all its examples.
+    code points of all its examples. Raises if the rows aren't in that order: if another conversation begins before one's last example, or examples don't grow.
     """
     spec = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loss, loss_chars, chars, n = hashlib.sha256(), 0, 0, 0
+        here, before = None, 0
         for b in batches:
             out = []
-            for conv, _, text, start, end, last in zip(*(b.column(c).to_pylist() for c in b.schema.names), strict=True):
+            for conv, n_turns, text, start, end, last in zip(*(b.column(c).to_pylist() for c in ("conv_id", "turns", "text", "loss_start", "loss_end", "last")), strict=True):
+                if n and (conv != here or n_turns <= before):
+                    raise ValueError(f"examples out of order: {conv} with {n_turns} turns after {here} with {before}")
+                here, before = conv, n_turns
                 trained = unescape(text[start:end])
                 loss.update(trained.encode("utf-8", "surrogatepass"))
                 loss_chars += len(trained)
@@ -128,5 +132,21 @@ def read_back(examples: DataFrame) -> DataFrame:
                     out.append((conv, len(turns), hashlib.sha256(said.encode("utf-8", "surrogatepass")).hexdigest(), loss_chars, loss.hexdigest(), chars, n))
                     loss, loss_chars, chars, n = hashlib.sha256(), 0, 0, 0
             yield from_rows(spec, out)
+        if n:
+            raise ValueError(f"the last example of {here} is missing")
 
     return examples.mapInArrow(run, spec)
+
+
+def sql(extra: str) -> str:
+    """DuckDB SQL for ``read_back(expand(...))`` over the table ``conversations`` and the rows ``extra``, ``(conv_id, turn, role, text), ...``."""
+    fixed = len(opening("") + CLOSING)
+    width = lambda x: f"length({x}) + length(regexp_replace({x}, '[^\\\\<\"]', '', 'g'))"
+    return f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT * FROM (VALUES {extra}) AS v(conv_id, turn, role, text)),
+placed AS (SELECT *, row_number() OVER w AS nr, count(*) OVER (PARTITION BY conv_id) AS n, sum({fixed} + {width('role')} + {width('text')}) OVER w AS chars
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nr)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = '{TRAINED}'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY nr) FILTER (role = '{TRAINED}'), '')) AS loss_sha256,
+  (sum(chars) FILTER (role = '{TRAINED}' OR nr = n))::BIGINT AS formatted_chars, count(*) FILTER (role = '{TRAINED}' OR nr = n) AS n_examples
+FROM placed GROUP BY conv_id"""

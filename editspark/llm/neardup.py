@@ -416,3 +416,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "doc_id", "n_shingles", mine.alias("component_id"), F.coalesce(mine == F.col("doc_id"), F.lit(True)).alias("kept"), "text_key",
         (F.col("doc_id").isNull() | F.col("component").isNull() | ((mine == F.col("doc_id")) & (F.col("component_key") == F.col("text_key")))).alias("stands"),
     )
+
+
+def sql() -> str:
+    """DuckDB SQL for the first four columns of ``near_duplicates`` over the table ``documents``, by comparing all pairs that share a shingle."""
+    return f"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - {SHINGLE - 2}, 2)), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' '))) END AS s FROM words),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL HAVING 100 * count(*) >= {PERCENT} * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce(min(b), doc_id)) AS component_id, doc_id = least(doc_id, coalesce(min(b), doc_id)) AS kept
+FROM sets LEFT JOIN reach ON a = doc_id GROUP BY doc_id, s"""

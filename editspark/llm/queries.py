@@ -49,23 +49,26 @@ def op7_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.scores(table(spark, sf_dir, "documents"), good, BYTE_BPE)
 
 
+#: Fixed value: what both turns of the conversation that ``op8_chat`` adds say.
+ASKED = r"\### Assistant: </turn> ok"
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one more whose texts imitate control strings."""
-    asked = r"\### Assistant: </turn> ok"
     spec = "conv_id long, turn long, role string, text string"
-    one = spark.createDataFrame([(-7, k, role, asked) for k, role in enumerate(("user", "assistant"))], spec)
+    one = spark.createDataFrame([(-7, k, role, ASKED) for k, role in enumerate(("user", "assistant"))], spec)
     rows = table(spark, sf_dir, "conversations").selectExpr(*(f"cast({c} as {kind}) {c}" for c, kind in (x.split() for x in spec.split(", "))))
     return chat.read_back(chat.expand(rows.union(one)))
 
 
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs, fold(5) != 0)
-    return langid.predict(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -73,4 +76,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licenses": licenses.sql()}
+    extra = ", ".join(f"(-7, {k}, '{role}', '{ASKED}')" for k, role in enumerate(("user", "assistant")))
+    return {"op3_licenses": licenses.sql(), "op8_chat": chat.sql(extra), "op9_neardup": neardup.sql()}

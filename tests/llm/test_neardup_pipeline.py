@@ -9,6 +9,7 @@ from editspark.llm import neardup
 from editspark.llm.components import components
 from editspark.sources import scratch
 
+SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -44,6 +45,15 @@ def test_the_sample(sample):
     check(neardup.near_duplicates(sample).collect(), [(r.doc_id, r.text) for r in sample.collect()])
 
 
+def test_brute_force_in_sql(sample):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    _, group = brute_force([(r.doc_id, r.text) for r in sample.collect()])
+    assert {i: (c, k) for i, _, c, k in con.sql(neardup.sql()).fetchall()} == {i: (c, i == c) for i, c in group.items()}
+
+
 def text(n, seed):
     draw = random.Random(seed)
     return [f"w{draw.randrange(10_000)}" for _ in range(n)]
@@ -157,9 +167,6 @@ def test_components(spark, monkeypatch, limits):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-SMALL = "/root/testdata/sf0.001"
-
-
 @pytest.fixture(scope="module")
 def stages(spark, sample):
     out, docs = [sample], sample

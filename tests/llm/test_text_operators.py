@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from editspark.llm import chat, fingerprints, langid, licenses, lmscore, queries, toxicity
+from editspark.llm import chat, fingerprints, langid, lmscore, queries, toxicity
 from editspark.llm.common import fold
 from editspark.llm.packing import tokenizer
 
@@ -89,6 +89,28 @@ def test_chat_of_odd_turns(spark):
     ]
 
 
+def test_chat_of_repeated_rows_and_missing_ids(spark):
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", "b"), (None, 0, "user", "c"), (None, None, "assistant", None)]
+    conversations = {1: [("user", "a"), ("user", "a"), ("assistant", "b")], None: [("assistant", ""), ("user", "c")]}
+    check_chat(chat.read_back(chat.expand(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect(), conversations)
+
+
+def test_chat_examples_out_of_order_are_refused(spark):
+    rows = spark.createDataFrame([(c, k, role, f"{c}{k}") for c in (1, 2) for k, role in enumerate(("user", "assistant", "user", "assistant"))], "conv_id long, turn long, role string, text string")
+    examples = sorted(chat.expand(rows).collect(), key=lambda r: (r.turns, r.conv_id))
+    with pytest.raises(Exception, match="out of order"):
+        chat.read_back(spark.createDataFrame(examples, chat.EXAMPLES).coalesce(1)).collect()
+
+
+def test_chat_equals_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SMALL}/conversations.parquet'")
+    expected = con.sql(queries.oracle_sql()["op8_chat"])
+    assert sorted(map(str, (tuple(r) for r in queries.op8_chat(spark, SMALL).select(*expected.columns).collect()))) == sorted(map(str, expected.fetchall()))
+
+
 WORDS = {"en": "the of and with that this was have from they", "fr": "le la les des une dans pour avec sur être", "de": "der die das und nicht mit ein für auf ist"}
 
 
@@ -112,9 +134,10 @@ def test_languages_of_held_out_rows(docs_of):
     odd = {r.doc_id: (r.lang_pred, r.score, r.rejected) for r in langid.predict(docs_of([None, "", "123 !! ___", "²½"]), model).collect()}
     assert set(odd.values()) == {("und", 0.0, True)}
     long, parts = letters_of(fresh), langid.PART
-    whole = langid.subwords(langid.letters(long))
-    logits = model.table[whole].mean(axis=0, dtype=np.float64) + model.bias
-    assert len(long) > parts and model.predict(long)[1] == pytest.approx(model.probabilities(logits).max())
+    whole, runs = langid.subwords(langid.letters(long))
+    p = model.probabilities(model.table[whole].mean(axis=0, dtype=np.float64) + model.bias)
+    known = model.known(model.share(model.hits(int(p.argmax()), runs), len(runs)))
+    assert len(long) > parts and model.predict(long)[1] == pytest.approx(p.max() * known)
     kept = langid.predict(docs_of(["the and of"]), model, keep_rows=True).select("row.*").first()
     assert kept.text == "the and of" and kept.score == "x" and kept.node == 2.5
 
@@ -129,6 +152,67 @@ def test_language_ignores_what_it_may_not_see(spark, sample):
     assert np.mean([truth[i] == lang for i, lang, _ in a]) >= 0.95
 
 
+STRANGERS = [
+    "Tämä on suomenkielinen lause, jota malli ei ole koskaan nähnyt opetuksessa.", "To jest zdanie w języku polskim, którego model nie widział podczas nauki.",
+    "Это предложение на русском языке, которого модель не видела.", "これは日本語の文章です。モデルは見たことがありません。", "asdkfj qwoeiru zxcmvn qpwoeiruty alskdjf zmxncb",
+    "Ez egy magyar nyelvű mondat, amelyet a modell soha nem látott.", "这是一个中文句子模型没有见过", "هذه جملة باللغة العربية لم يرها النموذج",
+]
+
+
+def test_strangers_are_rejected_and_learned_languages_are_not(spark, docs_of):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(docs, fold(5) != 0)
+    assert 1e-3 < model.temperature < 20
+    got = {r.doc_id: r for r in langid.predict(docs_of(STRANGERS), model).collect()}
+    assert all(r.rejected and r.score < 0.1 for r in got.values())
+    held = langid.predict(docs.filter(fold(5) == 0), model).collect()
+    assert np.mean([r.rejected for r in held]) <= 0.01
+    random.seed(9)
+    mixed = ["".join(random.sample(r.text, len(r.text))) for r in docs.filter(fold(5) == 0).limit(60).collect() if r.text and len(r.text) > 200]
+    assert np.mean([r.rejected for r in langid.predict(docs_of(mixed), model).collect()]) >= 0.9
+
+
+def test_language_samples_are_bounded_whatever_repeats(docs_of, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_ROWS", 15)
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    monkeypatch.setattr(langid, "MOST_FEATURES", 40)
+    pairs = [(6, f"the same id again {k}") for k in range(2_000)] + [(k, f"le texte {k} des mots et la suite de tous les mots qui sont là") for k in range(100, 200)] + [(k, "der die das") for k in range(300, 305)]
+    docs = docs_of(pairs, lang={**{6: "en"}, **dict.fromkeys(range(100, 200), "fr"), **dict.fromkeys(range(300, 305), "de")})
+    held = []
+    monkeypatch.setattr(langid, "fit", held.extend)
+    langid.train(docs, fold(5) != 0)
+    count = {lang: sum(r[0] == lang for r in held) for lang in ("en", "fr", "de")}
+    assert count["fr"] == 15 and count["en"] + count["de"] <= 15 and not (count["en"] and count["de"])
+    assert max(len(x) for r in held for x in (r[1], r[3], r[4])) == 40
+
+
+def test_language_slopes_are_those_of_the_loss():
+    draw = np.random.default_rng(0)
+    table, layer, bias = draw.normal(0, 1, (9, 4)), draw.normal(0, 1, (4, 3)), draw.normal(0, 1, 3)
+    found, share = np.array([1, 4, 7]), np.array([0.2, 0.5, 0.3])
+    # forward, term by term
+    logits = [bias[c] + sum(s * table[f][d] * layer[d][c] for f, s in zip(found, share, strict=True) for d in range(4)) for c in range(3)]
+    loss, by_table, by_layer, by_bias = langid.loss_and_slopes(table, layer, bias, found, share, 2)
+    assert loss == pytest.approx(np.log(sum(np.exp(z - logits[2]) for z in logits)))
+    for array, slopes, rows in ((table, by_table, found), (layer, by_layer, range(4))):
+        for i, row in enumerate(rows):
+            for j in range(array.shape[1]):
+                kept = array[row, j]
+                ends = []
+                for d in (1e-6, -1e-6):
+                    array[row, j] = kept + d
+                    ends.append(langid.loss_and_slopes(table, layer, bias, found, share, 2)[0])
+                array[row, j] = kept
+                assert slopes[i, j] == pytest.approx((ends[0] - ends[1]) / 2e-6, abs=1e-6)
+    assert by_bias.sum() == pytest.approx(0)
+
+
+def test_equally_probable_languages_go_by_name(docs_of):
+    table = np.zeros((1 << langid.BITS, 2), np.float32)
+    model = langid.Model(["aa", "bb"], table, np.zeros(2), np.zeros((2, 1 << langid.RUN_BITS - 3), np.uint8))
+    assert {r.lang_pred for r in langid.predict(docs_of(["some text", "other"]), model).collect()} == {"aa"}
+
+
 def test_language_without_anything_to_learn(docs_of):
     assert langid.train(docs_of(["a"]), fold(5) != 0) is None
     assert langid.predict(docs_of(["a"]), None).first()[1:] == ("und", 0.0, True)
@@ -173,6 +257,70 @@ def test_risk_is_the_prior_corrected_one():
     assert said[hidden].mean() > 0.8 and said[~hidden].mean() < 0.03
 
 
+@pytest.mark.parametrize("bias", [0.5, -9.0])
+def test_slopes_are_those_of_the_objective(bias):
+    """Numerically, where the clean risk is above and below zero."""
+    draw = np.random.default_rng(3)
+
+    def row():
+        found = np.unique(draw.integers(0, 12, 5)).astype(np.int32)
+        return found, draw.random(len(found)).astype(np.float32)
+
+    p, u, w = toxicity.Rows([row() for _ in range(9)]), toxicity.Rows([row() for _ in range(20)]), np.append(draw.normal(0, 1, 12), 0.0)
+    if bias < 0:  # P far on the toxic side, U on the clean one
+        p, u = toxicity.Rows([(np.array([0], np.int32), np.ones(1, np.float32))] * 3), toxicity.Rows([(np.array([1], np.int32), np.ones(1, np.float32))] * 5)
+        w[0], w[1] = 12.0, -12.0
+    clean = np.logaddexp(0, u.dot(w[:-1]) + w[-1]).mean() - 0.3 * np.logaddexp(0, p.dot(w[:-1]) + w[-1]).mean()
+    assert (clean < 0) == (bias < 0)
+    _, slope = toxicity.objective(w, p, u, 0.3)
+    for k in range(len(w)):
+        step = np.zeros(len(w))
+        step[k] = 1e-6
+        assert slope[k] == pytest.approx((toxicity.objective(w + step, p, u, 0.3)[0] - toxicity.objective(w - step, p, u, 0.3)[0]) / 2e-6, abs=1e-6)
+
+
+def test_scores_equal_a_plain_computation(docs_of):
+    """Of every word and beginning, by a dictionary instead of hashed tables."""
+    texts = [None, "", "Fine words, FINE day", "one two three two", "straße STRASSE"]
+    w = np.random.default_rng(5).normal(0, 5, 1 << toxicity.BITS).astype(np.float32)
+    got = {r.doc_id: (r.score, r.predicted) for r in toxicity.score(docs_of(texts), (w, 0.25)).collect()}
+    for k, t in enumerate(texts):
+        words = "".join(c if c.isalpha() else " " for c in (t or "").casefold()).split()
+        counts = {}
+        for word in words:
+            for f in [word, *("^" + word[:n] for n in (3, 4, 5, 6) if len(word) > n)]:
+                b = xxhash.xxh32_intdigest(f) & ((1 << toxicity.BITS) - 1)
+                counts[b] = counts.get(b, 0) + 1
+        expected = 1 / (1 + np.exp(-0.25 - sum(float(w[b]) * np.sqrt(n / len(words)) for b, n in counts.items())))
+        assert got[k] == (pytest.approx(expected, rel=1e-4), int(expected >= 0.7))
+
+
+@pytest.mark.parametrize("share", [0.05, 0.01, 0.002])
+def test_rare_toxic_texts_are_found(share):
+    draw = np.random.default_rng(7)
+
+    def row(toxic):
+        found = np.unique(np.append(draw.integers(100, 400, 30), draw.integers(0, 10, 12) if toxic else [])).astype(np.int32)
+        return found, np.full(len(found), 0.2, np.float32)
+
+    w, bias = toxicity.fit(toxicity.Rows([row(True) for _ in range(max(30, int(8_000 * share)))]), toxicity.Rows([row(k < 8_000 * share) for k in range(8_000)]), share)
+    hidden = np.arange(2_000) < 400
+    said = toxicity.Rows([row(x) for x in hidden]).dot(w) + bias >= np.log(0.7 / 0.3)
+    assert said[hidden].mean() >= 0.9 and said[~hidden].mean() <= 0.005
+
+
+def test_samples_are_bounded_whatever_repeats(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_TOXIC", 20)
+    monkeypatch.setattr(toxicity, "MOST_UNLABELLED", 30)
+    monkeypatch.setattr(toxicity, "MOST_FEATURES", 50)
+    docs = docs_of([(7, f"same id {k}") for k in range(3_000)] + [(k, f"bad words {k} " + " ".join(f"w{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(200))) for k in range(100, 400)])
+    labels = spark.createDataFrame([(7, 1), *((k, k % 2) for k in range(100, 400))], "doc_id long, toxic int")
+    held = {}
+    monkeypatch.setattr(toxicity, "fit", lambda p, u, prior: held.update(p=p, u=u))
+    toxicity.train(docs, labels, fold(3) != 1)
+    assert len(held["p"]) == 20 and len(held["u"]) == 30 and max(held["u"].sizes) == 50
+
+
 def test_words_of_toxic_examples_count_however_rare_among_unlabelled():
     draw = np.random.default_rng(1)
 
@@ -233,12 +381,14 @@ def test_lm_scores_by_definition(spark, docs_of, byte_bpe):
     assert lmscore.scores(docs_of([]), good, byte_bpe).count() == 0
 
 
-def test_lm_pairs_are_counted_exactly(spark, docs_of, byte_bpe, monkeypatch):
-    """More distinct pairs than any table of fixed size would tell apart, over several chunks."""
+@pytest.mark.parametrize("fan", [512, 2])
+def test_lm_pairs_are_counted_exactly(spark, docs_of, byte_bpe, monkeypatch, fan):
+    """More distinct pairs than any table of fixed size would tell apart, over several chunks; added up at once and in lanes of lanes."""
     monkeypatch.setattr(lmscore, "CHUNK", 200_000)
+    monkeypatch.setattr(lmscore, "FAN", fan)
     draw = np.random.default_rng(3)
     enc = tokenizer(byte_bpe)
-    texts = [enc.decode(draw.integers(1000, 40_000, 60_000).tolist()) for _ in range(8)]
+    texts = [enc.fast.decode(draw.integers(1000, 40_000, 60_000).tolist()) for _ in range(8)]
     chunked = lmscore.written(lmscore.tokenised(lmscore.flagged(docs_of(texts), spark.createDataFrame([(0,)], "doc_id int")), byte_bpe), "tokens")
     v, found, seen = enc.n_vocab, {}, {}
     for row in chunked.toArrow().to_pylist():
@@ -252,7 +402,7 @@ def test_lm_pairs_are_counted_exactly(spark, docs_of, byte_bpe, monkeypatch):
         for h, w in zip([v, *ids[:-1]], ids, strict=True):
             expected[h * (v + 1) + w] = expected.get(h * (v + 1) + w, 0) + 1
     assert seen == expected and len(found) > 1 and len(seen) > 400_000
-    tokens, answers = lmscore.counts(chunked, v, 128)
+    tokens, answers = lmscore.counts(chunked, v)
     assert tokens[0][:-1].sum() == sum(expected.values()) and tokens[0][-1] == len(texts)
     for row in answers.toArrow().to_pylist():
         c = found[row["chunk"]]
@@ -260,6 +410,23 @@ def test_lm_pairs_are_counted_exactly(spark, docs_of, byte_bpe, monkeypatch):
         assert got.tolist() == [expected[x] for x in lmscore.unmixed(c.distinct).tolist()]
 
 
+def test_lm_probabilities_add_up_to_one():
+    """Over all tokens after a token, and the chance that the text ends there."""
+    v, texts = 6, [np.array([0, 1, 2, 1, 1]), np.array([1, 2, 2]), np.array([3])]
+    tokens = np.append(np.bincount(np.concatenate(texts), minlength=v), len(texts))
+    pairs = [p for t in texts for p in zip([v, *t[:-1]], t, strict=True)]
+    for h in range(v + 1):
+        seen = [0 if h == v else sum(t[-1] == h for t in texts)]
+        total = seen[0] / (tokens[h] + lmscore.MASS)
+        for w in range(v):  # the text h w, of which only the last token's loss is wanted
+            if h == v:
+                total += np.exp(-lmscore.loss(np.array([w]), tokens, int(tokens[:-1].sum()), np.zeros(1), np.array([pairs.count((v, w))]), False))
+            else:
+                both = [lmscore.loss(np.array(x), tokens, int(tokens[:-1].sum()), np.zeros(len(x)), np.array([pairs.count(p) for p in zip([v, *x], x, strict=False)]), False) for x in ([h, w], [h])]
+                total += np.exp(-(2 * both[0] - both[1]))
+        assert total == pytest.approx(1)
+
+
 def test_lm_scores_tell_good_documents(spark):
     data = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{data}/labels.parquet")
@@ -267,39 +434,3 @@ def test_lm_scores_tell_good_documents(spark):
     good, order = rows.quality == 1, rows.score.rank()
     auc = (order[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
     assert auc > 0.85
-
-
-def test_licences(spark):
-    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
-    files = [
-        ("a/LICENSE", mit), ("a/x.py", "code"), ("a/b/y.py", "code"), ("a/b/c/LICENSE", "Licensed under the Apache License, Version 2.0."), ("a/b/c/z.py", None),
-        ("a/b/c/d/own.py", "# Copyright. All rights reserved\nmore"), ("ab/q.py", "code"), ("r.py", "We licensed nothing in long prose without any likeness to notices at all, really"), (None, ""),
-        ("a/LICENSE.2", "Released under the MIT License."), ("a/x.py", "code"),
-    ]
-    df = spark.createDataFrame([(*f, 0.5) for f in files], "path string, text string, best double")
-    scanned = licenses.scan(df.drop("best"))
-    got = {r.path: (r.license, r.origin, r.inherited_from) for r in licenses.inherit(scanned, scanned.path.contains("/LICENSE")).collect()}
-    assert got["a/LICENSE"][:2] == ("MIT", "own")
-    assert got["a/x.py"] == got["a/b/y.py"] == ("MIT", "inherited", "a")
-    assert got["a/b/c/z.py"] == ("Apache-2.0", "inherited", "a/b/c")
-    assert got["a/b/c/d/own.py"][:2] == ("Proprietary", "own")
-    assert got["ab/q.py"] == got["r.py"] == got[None] == (None, "none", None)
-    assert licenses.inherit(licenses.scan(df.drop("best").limit(0)), licenses.F.lit(True)).count() == 0
-    plan = licenses.of_documents(spark.read.parquet(f"{SMALL}/documents.parquet"))._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
-
-
-def test_licence_of_whole_texts(spark):
-    late = "filler line\n" * 20_000 + "Licensed under CC BY-NC 4.0.\n" + "more\n" * 9
-    got = licenses.scan(spark.createDataFrame([("p", late), ("q", "x" * 50_000 + " licence " + "y" * 50_000)], "path string, text string")).collect()
-    assert {r.path: r.own_license for r in got} == {"p": "CC-BY-NC-4.0", "q": None}
-
-
-def test_licences_equal_sql(spark):
-    import duckdb
-
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
-    expected = con.sql(queries.oracle_sql()["op3_licenses"])
-    got = queries.op3_licenses(spark, SMALL).select(*expected.columns)
-    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, expected.fetchall()))

@@ -58,6 +58,6 @@ WORD_RUN = r"[\p{L}\p{N}_]{2,}"
 AT_START, AT_END = f"(?<![^{_WS}])", f"(?![^{_WS}])"
 BLANKS = r"[\t\x1f\x20\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
 LINE_STARTS = rf"\n{BLANKS}*(?:(?:\p{{Nd}}+[.)]|[-*•]){BLANKS}*)?"
-WORD_EDGES = f"{EDGE}+{AT_END}|{AT_START}{EDGE}+"
+WORD_EDGES = f"(?={EDGE})(?:{EDGE}+{AT_END}|{AT_START}{EDGE}+)"
 LETTER_NUMBER = r"(?<=[a-z])(?=\p{Nd})|(?<=\p{Nd})(?=[a-z])"
-TOKEN = rf"{AT_START}[+-]?\p{{Nd}}+(?:\.\p{{Nd}}+)?{AT_END}|{SUB_TOKEN}"
+TOKEN = rf"(?=[+\-\p{{Nd}}]){AT_START}[+-]?\p{{Nd}}+(?:\.\p{{Nd}}+)?{AT_END}|{SUB_TOKEN}"

@@ -105,6 +105,16 @@ def neighbours(w: Column) -> Column:
     return F.concat(w, F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
+def counted(w: Column) -> Column:
+    """``array<struct<word, tf>>``: each distinct word of an array column once, with its count, in ascending order; without a shuffle and in one pass over the sorted words."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        return bound(starts, lambda at: F.zip_with(at, F.concat(F.slice(at, F.lit(2), F.greatest(F.size(at) - 1, F.lit(0))), F.array(F.size(s))), lambda i, j: F.struct(F.get(s, i).alias("word"), (j - i).cast("long").alias("tf"))))
+
+    return bound(F.sort_array(w), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(F.array().cast("array<struct<word:string,tf:bigint>>")))
+
+
 def words_and_pairs(c: Column) -> Column:
     """Runs of two word characters or more, lower-cased, and the pairs of neighbours joined by a space."""
     return bound(words(c), neighbours)

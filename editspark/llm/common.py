@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.scratch import hot_joined, scratch, small_or_joined, written  # noqa: F401  for the operators and the pipeline
+from ..sources.scratch import hot_joined, scratch, small_or_joined, spread, written  # noqa: F401  for the operators and the pipeline
 
 #: Bytes of the batches that Python workers get at a time.
 BATCH_BYTES = 8 << 20
@@ -29,9 +29,8 @@ def small_batches(spark: SparkSession) -> None:
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id``, ``text`` (null: empty) and the named columns, whatever else the table has."""
     small_batches(docs.sparkSession)
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[F.col(c) for c in more]
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[F.col(c) for c in more])
+    return spread(rows)
 
 
 def fold(modulus: int, column: str = "doc_id"):
@@ -61,7 +60,7 @@ def judged(docs: DataFrame, judge: Callable[[list[str]], Iterable], spec: str, k
     """
     small_batches(docs.sparkSession)
     if keep_rows:
-        base, front = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), T.StructType([T.StructField("row", docs.schema)])
+        base, front = spread(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), T.StructType([T.StructField("row", docs.schema)])
     else:
         base, front = texts(docs), T.StructType([T.StructField("doc_id", T.LongType())])
     out = T.StructType([*front.fields, *T._parse_datatype_string(spec).fields])

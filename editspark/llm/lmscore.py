@@ -45,7 +45,7 @@ BITS, FAN = 9, 512
 #: Slices of the counts of single tokens, and lanes in which each is added up first.
 SLICES, LANES = 16, 64
 #: Bytes of text of a chunk.
-CHUNK = 8_000_000
+CHUNK = 4_000_000
 
 
 def pairs(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:

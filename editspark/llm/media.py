@@ -6,7 +6,8 @@ with numpy. The feature is the sign pattern of the low frequencies of a two-dime
 image averaged down to 32 x 32, as 16 hexadecimal digits.
 
 Defined results: a null text is the empty text, whose payload is 64 zero bytes; a damaged image raises ``ValueError``;
-equal texts give equal values; other columns are ignored.
+equal texts give equal values; a very long text is one image like any other; repeated and null ids each get their row's result; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations

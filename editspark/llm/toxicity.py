@@ -115,25 +115,35 @@ class Rows:
         number = np.cumsum(seen) - 1
         return Rows([])._hold(np.bincount(self.row[of], minlength=len(self)), number[self.features[of]].astype(np.int32), self.values[of])
 
+    def _runs(self, sizes: np.ndarray):
+        """(segments, entries) of runs of whole segments, of about a million entries, so that products take bounded memory."""
+        ends = np.cumsum(sizes)
+        at = start = 0
+        while at < len(sizes):
+            stop = max(at + 1, int(np.searchsorted(ends, start + (1 << 20), "right")))
+            yield slice(at, stop), slice(start, int(ends[stop - 1]))
+            at, start = stop, int(ends[stop - 1])
+
     @functools.cached_property
     def _by_feature(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The entries by feature: their rows, their values, the features that occur and where each begins."""
-        order = np.argsort(self.features, kind="stable")
-        found, start = np.unique(self.features[order], return_index=True)
-        return self.row[order], self.values[order], found, start
+        """The entries by feature: their rows, their values, the features that occur and how often each does."""
+        order = np.argsort(self.features, kind="stable").astype(np.int32)
+        found, sizes = np.unique(self.features, return_counts=True)
+        return self.row[order], self.values[order], found, sizes
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         out = np.zeros(len(self))
-        full = self.sizes > 0
-        if full.any():
-            out[full] = np.add.reduceat(w[self.features] * self.values, (np.cumsum(self.sizes) - self.sizes)[full])
+        full = np.flatnonzero(self.sizes)
+        sizes = self.sizes[full]
+        for rows, at in self._runs(sizes):
+            out[full[rows]] = np.add.reduceat(w[self.features[at]] * self.values[at], np.cumsum(sizes[rows]) - sizes[rows])
         return out
 
     def back(self, by_row: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros(n)
-        row, value, found, start = self._by_feature
-        if len(found):
-            out[found] = np.add.reduceat(by_row[row] * value, start)
+        row, value, found, sizes = self._by_feature
+        for some, at in self._runs(sizes):
+            out[found[some]] = np.add.reduceat(by_row[row[at]] * value[at], np.cumsum(sizes[some]) - sizes[some])
         return out
 
 
@@ -254,14 +264,16 @@ def train(docs: DataFrame, labels: DataFrame, learn_from) -> tuple[np.ndarray, f
     rows = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("of", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     sample = rows.select("of", "text").mapInArrow(run, spec).toArrow()
     groups: dict[str, list] = {"P": [], "U": []}
-    for of, f, v in zip(*(sample.column(c).to_pylist() for c in ("of", "features", "values")), strict=True):
-        groups[of].append((np.frombuffer(f, np.int32), np.frombuffer(v, np.float32)))
+    for part in sample.to_batches(max_chunksize=1_000):
+        for of, f, v in zip(*(part.column(c) for c in ("of", "features", "values")), strict=True):
+            groups[of.as_py()].append((np.frombuffer(f.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32)))  # no copies
     del sample
     if not groups["P"] or not share:
         return None
     # rows arrive in the order of tasks; sums must not depend on it
-    groups = {k: sorted(v, key=lambda x: (len(x[0]), x[0].tobytes(), x[1].tobytes())) for k, v in groups.items()}
-    return fit(Rows(groups["P"]), Rows(groups["U"]), min(share, 0.95))
+    for rows in groups.values():
+        rows.sort(key=lambda x: (xxhash.xxh3_64_intdigest(x[0].tobytes()), xxhash.xxh3_64_intdigest(x[1].tobytes())))
+    return fit(Rows(groups.pop("P")), Rows(groups.pop("U")), min(share, 0.95))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, keep_rows: bool = False) -> DataFrame:

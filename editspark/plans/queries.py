@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions.metric import edit_cost, edit_distance
 from ..operators import batch, evaluate, retrieve
 from ..sources.files import last_records
+from ..sources.scratch import spread
 from . import crossval, generate, prompts
 from . import fixtures as X
 
@@ -52,16 +53,20 @@ def merge_counts(s: SparkSession, d: str) -> DataFrame:
     return batch.merge_counts(X.targets(s, d), last_records(X.records(s, d)))
 
 
+def _documents(s: SparkSession, d: str) -> DataFrame:
+    return spread(X.table(s, d, "documents").select("doc_id", "text"))
+
+
 def normalize_text(s: SparkSession, d: str) -> DataFrame:
-    return X.table(s, d, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("norm"))
+    return _documents(s, d).select("doc_id", T.normalize_text(F.col("text")).alias("norm"))
 
 
 def tokenize(s: SparkSession, d: str) -> DataFrame:
-    return X.table(s, d, "documents").select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "token")).withColumn("pos", long("pos"))
+    return _documents(s, d).select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "token")).withColumn("pos", long("pos"))
 
 
 def token_weights(s: SparkSession, d: str) -> DataFrame:
-    tokens = X.table(s, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    tokens = _documents(s, d).select("doc_id", T.tokens(F.col("text")).alias("t"))
     w = tokens.select("doc_id", "t", F.transform("t", T.token_weight).alias("w"))
     return w.select(
         "doc_id", long(F.size("t")).alias("n_tokens"), F.aggregate("w", F.lit(0.0), lambda a, x: a + x).alias("sum_weight"),

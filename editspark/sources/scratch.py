@@ -95,11 +95,11 @@ def small_or_joined(left: DataFrame, right: DataFrame, on, how: str, size: int |
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The rows over all cores, where a table is so small that it is read in fewer tasks; a larger one is left as it is read."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+    """The rows over all cores, where a table is small and in fewer files than there are cores, each of which may be one task; any other is left as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >= cores * SPLIT_BYTES or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def hot_joined(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import struct
 import zlib
@@ -197,6 +198,36 @@ def test_media_query(spark, docs_of):
     assert media.read_back(media.store(docs_of([]))).count() == 0
 
 
+def test_missing_and_repeated_ids(spark, docs_of, byte_bpe):
+    """Every row has its result, whatever ids say."""
+    docs = docs_of([(None, "a b"), (None, "a b"), (7, "x y z"), (7, "other text"), (7, "x y z"), (9, None)])
+    encoded = bpe.round_trip(docs, byte_bpe).collect()
+    assert sorted(str(r.doc_id) for r in encoded) == ["7", "7", "7", "9", "None", "None"] and len({r.ids_sha256 for r in encoded}) == 4
+    pieces = packing.pack(docs, byte_bpe, 4).collect()
+    assert sum(r.length for r in pieces) == sum(r.n_tokens + 1 for r in encoded) and len({(r.sequence_id, r.offset) for r in pieces}) == len(pieces)
+    stored = media.read_back(media.store(docs)).collect()
+    assert len(stored) == 6 and len({r.payload_sha256 for r in stored}) == 4
+
+
+def test_the_index_of_sums_gives_combinations_that_are_there():
+    draw = np.random.default_rng(3)
+    for _ in range(40):
+        left = np.zeros(61, np.int64)
+        left[draw.integers(1, 61, 6)] = draw.integers(1, 3, 6)
+        sums = packing.Sums(left)
+        held = [n for n in range(61) for _ in range(left[n])]
+        for _ in range(12):
+            total = int(draw.integers(1, 61))
+            for k, found in ((2, sums.pair(total)), (3, sums.triple(total))):
+                there = any(sum(c) == total for c in itertools.combinations(held, k))
+                assert (found is not None) == there
+                if found:
+                    assert sum(found) == total and not Counter(found) - Counter(held)
+            if held:
+                gone = held.pop(int(draw.integers(len(held))))
+                left[gone] -= 1
+
+
 def test_similar_pictures_have_near_features():
     draw = np.random.default_rng(1)
     base, other = (np.kron(draw.integers(0, 250, (16, 8)), np.ones((8, 8))).astype(np.uint8) for _ in range(2))

@@ -381,6 +381,13 @@ def test_lm_scores_by_definition(spark, docs_of, byte_bpe):
     assert lmscore.scores(docs_of([]), good, byte_bpe).count() == 0
 
 
+def test_lm_missing_and_repeated_ids(spark, docs_of, byte_bpe):
+    docs = docs_of([(None, "a b c"), (None, "a b c"), (7, "x y z"), (7, "other text here"), (9, None)])
+    rows = lmscore.scores(docs, spark.createDataFrame([(7,), (None,)], "doc_id int"), byte_bpe).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in rows) == [("7", 3), ("7", 3), ("9", 0), ("None", 3), ("None", 3)]
+    assert len({r.score for r in rows if r.doc_id is None}) == 1
+
+
 @pytest.mark.parametrize("fan", [512, 2])
 def test_lm_pairs_are_counted_exactly(spark, docs_of, byte_bpe, monkeypatch, fan):
     """More distinct pairs than any table of fixed size would tell apart, over several chunks; added up at once and in lanes of lanes."""

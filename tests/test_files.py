@@ -1,7 +1,9 @@
 import csv
 import json
 import time
+from types import SimpleNamespace
 
+from editspark import __main__ as command
 from editspark.__main__ import main
 from editspark.plans import generate
 from editspark.plans.prompts import SYSTEM_EXAMPLES
@@ -100,7 +102,9 @@ def provider(request):
 
 def test_slices_save_as_they_go_and_stop_at_an_exhausted_quota(spark, tmp_path, monkeypatch):
     waits = []
-    monkeypatch.setattr(generate.time, "sleep", waits.append)
+    paced = SimpleNamespace(sleep=waits.append, monotonic=time.monotonic)  # for these two modules only: other threads' sleeps must stay
+    for module in (generate, command):
+        monkeypatch.setattr(module, "time", paced)
     write_csv(tmp_path / "train.csv", [{**a_case(k, report=T.replace("clear", "wet")), "dictation": f"wet lungs {k}"} for k in range(5)], ["report"])
     write_csv(tmp_path / "test.csv", [{**a_case(k), "dictation": f"wet lungs {k}"} for k in range(5)])
     common = ["test", "--train", str(tmp_path / "train.csv"), "--test", str(tmp_path / "test.csv"), "--shard", str(tmp_path / "shard"), "--provider", f"{__name__}:provider"]

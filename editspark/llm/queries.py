@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprints, langid, licenses, lmscore, media, neardup, packing, toxicity
+from . import bpe, chat, fim, fingerprints, langid, licenses, lmscore, media, neardup, packing, toxicity, vectors
 from .common import fold
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -71,10 +71,18 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_packing, op3_licenses, op4_media, op5_fingerprints, op6_toxicity, op7_lmscore, op8_chat, op9_neardup, op10_langid)}
+    return {f.__name__: f for f in (op1_bpe, op2_packing, op3_licenses, op4_media, op5_fingerprints, op6_toxicity, op7_lmscore, op8_chat, op9_neardup, op10_langid, op11_vectors, op12_fim)}
 
 
 def oracle_sql() -> dict[str, str]:
     extra = ", ".join(f"(-7, {k}, '{role}', '{ASKED}')" for k, role in enumerate(("user", "assistant")))
-    return {"op3_licenses": licenses.sql(), "op8_chat": chat.sql(extra), "op9_neardup": neardup.sql()}
+    return {"op3_licenses": licenses.sql(), "op8_chat": chat.sql(extra), "op9_neardup": neardup.sql(), "op11_vectors": vectors.sql(), "op12_fim": fim.sql()}

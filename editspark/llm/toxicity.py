@@ -9,9 +9,10 @@ whose second term estimates the clean class's risk; when a step finds it below z
 memorise P) that term's gradient is reversed and damped. ``p`` is the share of toxic rows among the labelled rows that may be learned from.
 A feature's value is the square root of its rate among the text's words, so long and short texts compare.
 
-A score is a probability: P and U are cut into ``PARTS`` by what a row holds, so that a row of both stays on one side; each part gets the
-margins of a classifier it was kept from, and the margin's scale and shift are those of the least prior-corrected logistic risk over them. ``THRESHOLD`` is applied to that probability; no share
-of rows is fixed beforehand.
+A score is a probability: P and U are cut into parts by what a row holds, so that a row of both stays on one side; each part gets the
+margins of a classifier it was kept from, in units of their spread over the rows that one was trained on, and the margin's scale and shift are those of the least prior-corrected logistic
+risk over them. The fewer toxic rows, the more parts (``parts``), the stronger the decay of the weights and the surer a feature's difference between P and U must be (``surely``), so that a few
+rows are enough to learn from. ``THRESHOLD`` is applied to that probability; no share of rows is fixed beforehand.
 
 Fitted on a bounded sample: ``MOST_TOXIC`` and ``MOST_UNLABELLED`` ids at most, the first by a hash of ``doc_id``, one text each, and of a text with more than
 ``MOST_FEATURES`` features as many, drawn by hash. Every row is scored over its whole text. Labels, language, source and ids are no inputs of a score.
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import functools
 import re
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,9 +41,14 @@ from .common import judged, record_batch, small_or_joined, texts, thinned
 MOST_TOXIC, MOST_UNLABELLED, MOST_FEATURES = 2_000, 8_000, 4_096
 BITS = 18
 THRESHOLD = 0.7
-#: Parts that are kept from training in turn, to calibrate on.
-PARTS = 2
-STEPS, RATE, DECAY, DAMPING = 100, 0.3, 1e-4, 0.1
+#: Parts that are kept from training in turn, to calibrate on: so many rows over those of P, within these ends.
+PART_ROWS, PARTS = 1_000, (2, 20)
+#: The decay of weights is ``DECAY``, or ``DECAY_ROWS`` over the rows of P where that is more.
+STEPS, RATE, DECAY, DECAY_ROWS, DAMPING = 100, 0.3, 1e-4, 0.03, 0.1
+#: Deviations by which a feature's rows in P must differ from those expected: so many rows over those of P, at most the second.
+SURE_ROWS, MOST_SURE = 100, 3.0
+#: Least scale of a calibrated margin: below it the kept rows don't show that the classifier tells anything, and its order is kept with scores near the prior.
+LEAST_SCALE = 0.1
 #: A feature must occur in this share of U or of P to have a weight, so that single documents' words don't; of P in so many rows at least.
 LEAST_SHARE, LEAST_TOXIC = 0.006, 3
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -100,10 +107,10 @@ class Rows:
     def __len__(self) -> int:
         return len(self.sizes)
 
-    def parts(self) -> np.ndarray:
+    def parts(self, count: int) -> np.ndarray:
         """The part of each row: by a hash of its features."""
         ends = np.cumsum(self.sizes)
-        return np.array([xxhash.xxh32_intdigest(self.features[e - n : e].tobytes(), 7) % PARTS for n, e in zip(self.sizes, ends, strict=True)])
+        return np.array([xxhash.xxh32_intdigest(self.features[e - n : e].tobytes(), 7) % count for n, e in zip(self.sizes, ends, strict=True)])
 
     def part(self, chosen: np.ndarray) -> Rows:
         of = chosen[self.row]
@@ -178,34 +185,53 @@ def calibrated(on_p: np.ndarray, on_u: np.ndarray, prior: float) -> tuple[float,
         a = a - size * step
         if np.abs(step).max() < 1e-9:
             break
-    scale = max(a[0], 0.0) / width
+    if a[0] < LEAST_SCALE:
+        warnings.warn(f"toxicity: {len(on_p)} kept toxic rows have margins like {len(on_u)} others; scores stay near the share of toxic labels", stacklevel=2)
+        a = np.array([LEAST_SCALE, np.log(prior / (1 - prior))])
+    scale = a[0] / width
     return scale, a[1] - scale * center
 
 
 def fit(toxic: Rows, unlabelled: Rows, prior: float) -> tuple[np.ndarray, float]:
     """Weights and bias of the least risk over the whole sample, calibrated on margins of rows that were kept from training."""
     sides, margins = (toxic, unlabelled), ([], [])
-    part = [rows.parts() for rows in sides]
-    for k in range(PARTS):
+    count = int(np.clip(round(PART_ROWS / len(toxic)), *PARTS))
+    part = [rows.parts(count) for rows in sides]
+
+    def trained(chosen: list[Rows]) -> tuple[np.ndarray, float, float]:
+        w = learned(*chosen, prior)
+        on_u = chosen[1].dot(w[:-1])
+        return w, on_u.mean(), on_u.std() + 1e-6
+
+    for k in range(count):
         if all(0 < (of == k).sum() < len(of) for of in part):
-            w = learned(*(rows.part(of != k) for rows, of in zip(sides, part, strict=True)), prior)
+            w, center, width = trained([rows.part(of != k) for rows, of in zip(sides, part, strict=True)])
             for out, rows, of in zip(margins, sides, part, strict=True):
-                out.append(rows.part(of == k).dot(w[:-1]) + w[-1])
-    w = learned(toxic, unlabelled, prior)
+                out.append((rows.part(of == k).dot(w[:-1]) - center) / width)
+    w, center, width = trained(list(sides))
     # too few rows to keep some: calibrated on those learned from
-    scale, shift = calibrated(*(np.concatenate(out) if out else rows.dot(w[:-1]) + w[-1] for out, rows in zip(margins, sides, strict=True)), prior)
-    return (scale * w[:-1]).astype(np.float32), float(scale * w[-1] + shift)
+    scale, shift = calibrated(*(np.concatenate(out) if out else (rows.dot(w[:-1]) - center) / width for out, rows in zip(margins, sides, strict=True)), prior)
+    return (scale / width * w[:-1]).astype(np.float32), float(shift - scale / width * center)
 
 
 def objective(w: np.ndarray, toxic: Rows, unlabelled: Rows, prior: float) -> tuple[float, np.ndarray]:
     """What a step descends on, and its slope: the risk, or its first term less ``DAMPING`` times a clean risk below zero; and the decay of the weights."""
     on_p, on_u = toxic.dot(w[:-1]) + w[-1], unlabelled.dot(w[:-1]) + w[-1]
     clean_risk = np.logaddexp(0, on_u).mean() - prior * np.logaddexp(0, on_p).mean()
-    turn = 1.0 if clean_risk >= 0 else -DAMPING
+    turn, decay = 1.0 if clean_risk >= 0 else -DAMPING, max(DECAY, DECAY_ROWS / len(toxic))
     p = prior / len(toxic) * (_sigmoid(on_p) - 1 - turn * _sigmoid(on_p))
     u = turn / len(unlabelled) * _sigmoid(on_u)
-    slope = np.append(toxic.back(p, len(w) - 1) + unlabelled.back(u, len(w) - 1) + DECAY * w[:-1], p.sum() + u.sum())
-    return prior * np.logaddexp(0, -on_p).mean() + turn * clean_risk + DECAY / 2 * (w[:-1] ** 2).sum(), slope
+    slope = np.append(toxic.back(p, len(w) - 1) + unlabelled.back(u, len(w) - 1) + decay * w[:-1], p.sum() + u.sum())
+    return prior * np.logaddexp(0, -on_p).mean() + turn * clean_risk + decay / 2 * (w[:-1] ** 2).sum(), slope
+
+
+def surely(toxic: Rows, unlabelled: Rows) -> np.ndarray:
+    """The features whose rows in P differ from those expected of its size by enough deviations for so few rows."""
+    p, u = (np.bincount(rows.features, minlength=1 << BITS).astype(float) for rows in (toxic, unlabelled))
+    share = (p + u) / (len(toxic) + len(unlabelled))
+    expected = share * len(toxic)
+    deviation = np.sqrt(expected * (1 - share) * len(unlabelled) / (len(toxic) + len(unlabelled)))
+    return np.abs(p - expected) >= min(MOST_SURE, SURE_ROWS / len(toxic)) * deviation
 
 
 def learned(toxic: Rows, unlabelled: Rows, prior: float) -> np.ndarray:
@@ -213,6 +239,7 @@ def learned(toxic: Rows, unlabelled: Rows, prior: float) -> np.ndarray:
     n = 1 << BITS
     seen = np.bincount(unlabelled.features, minlength=n) >= max(2, LEAST_SHARE * len(unlabelled))
     seen |= np.bincount(toxic.features, minlength=n) >= max(LEAST_TOXIC, LEAST_SHARE * len(toxic))
+    seen &= surely(toxic, unlabelled)
     toxic, unlabelled = toxic.only(seen), unlabelled.only(seen)
     w = np.zeros(int(seen.sum()) + 1)
     w[-1] = np.log(prior / (1 - prior))

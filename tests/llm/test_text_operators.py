@@ -230,6 +230,28 @@ def test_toxicity_held_out(spark):
     assert auc >= 0.93
 
 
+@pytest.mark.parametrize(("size", "found", "wrong"), [("sf0.001", 0.4, 0.0), ("sf0.01", 0.7, 0.01)])
+def test_toxicity_of_few_labels(spark, size, found, wrong):
+    """Few toxic rows to learn from: six and 33."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{size}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels, fold(3) != 1)
+    held = toxicity.score(docs.filter(fold(3) == 1), model).join(labels, "doc_id").select("toxic", "score", "predicted").toPandas()
+    toxic, clean = held[held.toxic == 1], held[held.toxic == 0]
+    assert held.score.nunique() > 10
+    assert (toxic.predicted == 1).mean() >= found and (clean.predicted == 1).mean() <= wrong
+    if len(toxic) > 10:
+        above = (toxic.score.to_numpy()[:, None] > clean.score.to_numpy()).mean() + (toxic.score.to_numpy()[:, None] == clean.score.to_numpy()).mean() / 2
+        assert above >= 0.85
+
+
+def test_no_scale_is_dropped_in_silence():
+    draw = np.random.default_rng(3)
+    with pytest.warns(UserWarning, match="kept toxic rows"):
+        p, u = draw.normal(-1, 1, 40), draw.normal(0, 1, 400)
+        scale, shift = toxicity.calibrated(p, u, 0.1)
+    assert scale > 0 and 1 / (1 + np.exp(-scale * np.minimum(u, np.median(p)).mean() - shift)) == pytest.approx(0.1)
+
+
 def test_toxicity_edges(spark, docs_of):
     docs = docs_of([None, "", "fine words", "x" * 100_000, "same", "same"])
     none = spark.createDataFrame([], "doc_id long, toxic int")

@@ -11,11 +11,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cases_of(table(spark, sf_dir, "conversations"))
+
+
+def cases_of(conversations: DataFrame) -> DataFrame:
     """One case a conversation: turns become fields, first and last turns impressions, user turns the dictation.
 
     The report has whole turns. In the template assistant turns, and in the prediction every other of them and the impression, lack every seventh word.
     """
-    turns = table(spark, sf_dir, "conversations").select(
+    turns = conversations.select(
         "conv_id", "turn", "role",
         F.filter(F.split("text", r"[ \t\n\r]+"), lambda w: w != "").alias("w"),
         F.rtrim(F.concat(F.lit("T"), F.col("turn").cast("string"), F.lit(" "), F.upper(F.regexp_extract("text", "[A-Za-z]{4,}", 0)))).alias("k"),

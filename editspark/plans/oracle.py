@@ -292,15 +292,16 @@ QUERIES: dict[str, str] = {
 }
 
 
-def oracle_sql() -> dict[str, str]:
-    """Each query with the tables that it names, directly or through others, in the order of definition."""
+def with_tables(sql: str) -> str:
+    """A statement with the tables that it names, directly or through others, in the order of definition."""
     named = re.compile(r"\b(" + "|".join(sorted(TABLES, key=len, reverse=True)) + r")\b")
-    out = {}
-    for name, sql in QUERIES.items():
-        need, todo = set(), {*named.findall(sql)}
-        while todo:
-            need |= todo
-            todo = {x for t in todo for x in named.findall(TABLES[t])} - need
-        tables = ",\n".join(f"{t} AS ({TABLES[t]})" for t in TABLES if t in need)
-        out[name] = f"WITH {tables}\n{sql}" if tables else sql
-    return out
+    need, todo = set(), {*named.findall(sql)}
+    while todo:
+        need |= todo
+        todo = {x for t in todo for x in named.findall(TABLES[t])} - need
+    tables = ",\n".join(f"{t} AS ({TABLES[t]})" for t in TABLES if t in need)
+    return f"WITH {tables}\n{sql}" if tables else sql
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: with_tables(sql) for name, sql in QUERIES.items()}

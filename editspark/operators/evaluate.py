@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,35 +12,43 @@ from ..functions import constants as C
 from ..functions import report as R
 from ..functions.binding import bound
 from ..functions.metric import edit_distance
-from ..functions.text import tokens
+from ..functions.text import text_or_empty, tokens
+from ..sources.scratch import written
 
 FOLDS = 5
-#: Row numbers ranked together; ranges in which values are counted.
-RUN, RANGES = 100_000, 4096
+#: Row numbers ranked together.
+RUN = 100_000
+#: Distinct values that one task ranks at most, and ranges that more are cut into.
+FEW, SPLITS = 20_000, 64
 
 
-def scored_fields(cases: DataFrame) -> DataFrame:
-    """``case_id, key, weight, edit`` of every field of ``report`` and ``predicted``, from parsed columns ``ref``, ``pred`` and ``tmpl``.
+def _edits(cases: DataFrame, more: tuple[str, ...] = (), impressions: bool = False) -> DataFrame:
+    """``case_id``, the named columns, ``key, is_field, weight, edit`` of every field of ``report`` and ``predicted`` and, if asked, of the impression, from ``ref``, ``pred`` and ``tmpl``.
 
     Fields meet within their case's row: an array of the keys of both, each looked up in the three parsed reports, so nothing is shuffled.
     """
+
+    def pair(key: Column, ref: Column, pred: Column, tmpl: Column, is_field: bool) -> Column:
+        return F.struct(key.alias("key"), ref.alias("ref"), pred.alias("pred"), tmpl.alias("tmpl"), F.lit(is_field).alias("is_field"))
+
     def met(x: Column) -> Column:
         keys = F.array_union(R.field_keys(x.ref.fields), R.field_keys(x.pred.fields))
-        return F.transform(
-            keys,
-            lambda k: F.struct(
-                k.alias("key"), R.last_value(x.ref.fields, k).alias("ref"), R.last_value(x.pred.fields, k).alias("pred"),
-                F.coalesce(R.last_value(x.tmpl.fields, k), F.lit("")).alias("tmpl"),
-            ),
-        )
+        last = lambda c, k: R.last_value(c.fields, k)
+        fields = F.transform(keys, lambda k: pair(k, last(x.ref, k), last(x.pred, k), F.coalesce(last(x.tmpl, k), F.lit("")), True))
+        return F.concat(fields, F.array(pair(F.lit(""), text_or_empty(x.ref.impression), text_or_empty(x.pred.impression), F.lit(""), False))) if impressions else fields
 
     rows = bound(F.struct("ref", "pred", "tmpl"), met)
-    exploded = cases.select("case_id", F.explode(rows).alias("f")).select("case_id", "f.*")
+    exploded = cases.select("case_id", *more, F.explode(rows).alias("f")).select("case_id", *more, "f.*")
     with_tokens = exploded.withColumns({f"{c}_tokens": tokens(F.col(c)) for c in ("ref", "pred", "tmpl")})
     both = F.col("ref").isNotNull() & F.col("pred").isNotNull()
     distance = edit_distance(F.when(both, F.col("ref_tokens")), F.when(both, F.col("pred_tokens")))
     weight = F.when(F.col("ref").isNull(), C.UNEXPECTED).when(F.col("ref_tokens") != F.col("tmpl_tokens"), C.CHANGED).otherwise(C.UNCHANGED)
-    return with_tokens.select("case_id", "key", weight.alias("weight"), F.coalesce(distance, F.lit(1.0)).alias("edit"))
+    return with_tokens.select("case_id", *more, "key", "is_field", weight.alias("weight"), F.coalesce(distance, F.lit(1.0)).alias("edit"))
+
+
+def scored_fields(cases: DataFrame) -> DataFrame:
+    """``case_id, key, weight, edit`` of every field of ``report`` and ``predicted``, from parsed columns ``ref``, ``pred`` and ``tmpl``."""
+    return _edits(cases).drop("is_field")
 
 
 def parsed(cases: DataFrame) -> DataFrame:
@@ -52,11 +62,15 @@ def findings_scores(fields: DataFrame) -> DataFrame:
 
 
 def report_scores(cases: DataFrame, *more: str) -> DataFrame:
-    """``case_id``, the named columns, ``res_case, findings_score, impression_score`` of cases with ``report, predicted, template_content``; 0 is best."""
-    both = parsed(cases)
-    impression = edit_distance(F.col("ref_tokens"), F.col("pred_tokens"))
-    base = both.select("case_id", *more, tokens(F.col("ref.impression")).alias("ref_tokens"), tokens(F.col("pred.impression")).alias("pred_tokens")).select("case_id", *more, impression.alias("impression_score"))
-    out = base.join(findings_scores(scored_fields(both)), "case_id", "left").withColumn("findings_score", F.coalesce("findings_score", F.lit(0.0)))
+    """``case_id``, the named columns, ``res_case, findings_score, impression_score`` of cases with ``report, predicted, template_content``; 0 is best.
+
+    Cases are read once: the impression is one more pair of texts beside the fields, and what is shuffled is a case's sums.
+    """
+    of_field, weighted = F.col("is_field"), F.col("weight") * F.col("edit")
+    sums = _edits(parsed(cases), more, impressions=True).groupBy("case_id", *more).agg(
+        F.sum(F.when(of_field, weighted)).alias("edits"), F.sum(F.when(of_field, F.col("weight"))).alias("weights"), F.max(F.when(~of_field, F.col("edit"))).alias("impression_score")
+    )
+    out = sums.withColumn("findings_score", F.coalesce(F.col("edits") / F.col("weights"), F.lit(0.0)))
     res = C.FINDINGS_SHARE * F.col("findings_score") + C.IMPRESSION_SHARE * F.col("impression_score")
     return out.select("case_id", *more, res.alias("res_case"), "findings_score", "impression_score")
 
@@ -98,19 +112,27 @@ def overall(scores: DataFrame) -> DataFrame:
 def median(rows: DataFrame, column: str) -> DataFrame:
     """One row, ``median``: exact, of the values that aren't null; none if there are none.
 
-    Values are counted in ``RANGES`` ranges of equal width, which say in which range the middle ranks are; only distinct values of that one are ranked.
+    Distinct values are counted and written. While more than ``FEW`` of them may hold the middle ranks, ``SPLITS`` values that occur, approximate quantiles of those, cut them into ranges of
+    like numbers of distinct values whatever their sizes, and the ranges' counts say which to go on with. Only numbers of ranges come to the driver.
     """
-    values = rows.select(F.col(column).cast("double").alias("x")).filter("x is not null")
-    ends = values.agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n")).filter("n > 0")
-    counts = values.groupBy("x").agg(F.count("*").alias("c")).join(F.broadcast(ends), F.lit(True))
-    width = F.col("high") - F.col("low")
-    ranged = counts.withColumn("r", F.when(width > 0, F.floor((F.col("x") - F.col("low")) / width * RANGES)).otherwise(0))
-    sizes = ranged.groupBy("r", "n").agg(F.sum("c").alias("size")).withColumn("before", F.sum("size").over(Window.orderBy("r")) - F.col("size"))  # RANGES rows
-    first, last = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
-    middle = sizes.filter((F.col("before") <= last) & (F.col("before") + F.col("size") > first)).select("r", "before")
-    some = ranged.join(F.broadcast(middle), "r").withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("r").orderBy("x")))
-    at = [F.min(F.when(F.col("upto") > rank, F.col("x"))) for rank in (first, last)]
-    return some.agg((0.5 * (at[0] + at[1])).alias("median")).filter("median is not null")
+    some = written(rows.select(F.col(column).cast("double").alias("x")).filter("x is not null").groupBy("x").agg(F.count("*").alias("c")), "values")
+    at = some.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("distinct")).first()
+    ranks, before, distinct = ((at.n - 1) // 2, at.n // 2), 0, at.distinct
+    while distinct > FEW:
+        cuts = sorted(set(some.agg(F.percentile_approx("x", [k / SPLITS for k in range(1, SPLITS)], 10 * SPLITS)).first()[0]))
+        of_range = F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda k, cut: k + (F.col("x") > cut).cast("int"))
+        ranged = some.withColumn("r", of_range)
+        sizes = sorted(ranged.groupBy("r").agg(F.sum("c").alias("c"), F.count("*").alias("distinct")).collect())  # SPLITS rows
+        ends = list(itertools.accumulate(r.c for r in sizes))
+        first, last = (next(k for k, end in enumerate(ends) if before + end > rank) for rank in ranks)
+        kept = sum(r.distinct for r in sizes[first : last + 1])
+        if kept == distinct:
+            break
+        before, distinct = before + (ends[first - 1] if first else 0), kept
+        some = written(ranged.filter(F.col("r").between(sizes[first].r, sizes[last].r)).select("x", "c"), "values")
+    upto = some.withColumn("upto", before + F.sum("c").over(Window.orderBy("x")))  # few rows
+    middle = [F.min(F.when(F.col("upto") > rank, F.col("x"))) for rank in ranks]
+    return upto.agg((0.5 * (middle[0] + middle[1])).alias("median")).filter("median is not null")
 
 
 def score_summary(records: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,25 +126,38 @@ def insist(provider: Provider, request: Request, rounds: int = 4, wait_s: float
     raise QuotaExhausted(f"no response after {rounds} attempts")
 
 
-def call_provider(prompts: DataFrame, provider: Provider, settings: Settings | None = None, system: str = SYSTEM_EXAMPLES, spacing_s: float = 0.0, **asking) -> DataFrame:
-    """``case_id, raw_response``: each prompt asked once for, all tasks at a time, calls of a task ``spacing_s`` apart at least.
+def paced(provider: Provider, spacing_s: float, task: int, tasks: int) -> Provider:
+    """The provider called at the start of time slots only: slots of ``spacing_s`` seconds of the clock belong to the tasks in turn, so that all tasks together make a call a slot at most."""
+    last = 0
 
-    What stays unanswered is an empty response, for ``reports`` to handle. Write the result before using it: each use of the table would call again.
+    def call(request: Request) -> str:
+        nonlocal last
+        now = int(time.time() / spacing_s) + 1
+        last = max(last + tasks, now + (task - now) % tasks)
+        time.sleep(max(0.0, last * spacing_s - time.time()))
+        return provider(request)
+
+    return call
+
+
+def call_provider(prompts: DataFrame, provider: Provider, settings: Settings | None = None, system: str = SYSTEM_EXAMPLES, spacing_s: float = 0.0, tasks: int | None = None, **asking) -> DataFrame:
+    """``case_id, raw_response``: each prompt asked once for; calls, repeated ones too, ``spacing_s`` apart over all tasks (see ``paced``; machines' clocks must agree).
+
+    With a spacing the prompts are dealt to ``tasks``, as many as run at once if that isn't given. What stays unanswered is an empty response, for ``reports`` to handle. Write the result before
+    using it: each use of the table would call again.
     """
     settings = settings or Settings()
     model, key = settings.model, settings.key()
+    tasks = tasks or prompts.sparkSession.sparkContext.defaultParallelism
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = -spacing_s
+        calls = paced(provider, spacing_s, TaskContext.get().partitionId(), tasks) if spacing_s > 0 else provider
         for b in batches:
-            said = []
-            for prompt in b["prompt"]:
-                time.sleep(max(0.0, last + spacing_s - time.monotonic()) if said or last > 0 else 0.0)
-                last = time.monotonic()
-                said.append(ask(provider, Request(prompt, system, model, key), **asking))
+            said = [ask(calls, Request(prompt, system, model, key), **asking) for prompt in b["prompt"]]
             yield pd.DataFrame({"case_id": b["case_id"], "raw_response": said})
 
-    return prompts.select("case_id", "prompt").mapInPandas(run, "case_id string, raw_response string")
+    rows = prompts.select("case_id", "prompt")
+    return (rows.repartition(tasks) if spacing_s > 0 else rows).mapInPandas(run, "case_id string, raw_response string")
 
 
 def preflight(provider: Provider, settings: Settings | None = None) -> None:

@@ -12,26 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import report as R
 from ..sources.schemas import UPDATES
 
-# The instructions sent with every prompt of either stage.
-SYSTEM_STAGE1 = """You are an expert radiologist assistant. Your task is to edit a radiology report template based ONLY on transcribed radiologist dictation.
-
-Core Rules:
-1. Treat the provided template_content as the baseline report.
-2. Route every dictated finding to the matching template field label (e.g., LUNGS, PLEURA, BONES, etc.).
-3. Replace or modify normal statements ONLY when the dictation explicitly describes an abnormality in that field.
-4. Keep template statements unchanged for routinely visualized regions NOT mentioned in the dictation.
-5. Update the IMPRESSION to concisely summarize important abnormal findings.
-6. Do NOT add findings unsupported by dictation.
-7. Preserve exact wording, laterality (right/left), severity, and measurements (mm/cm).
-
-Return your response strictly as valid JSON matching this schema:
-{
-  "field_updates": {
-    "FIELD_KEY": "Updated sentence for this field"
-  },
-  "impression": "Concise summary of major abnormalities"
-}
-"""
+# Fixed value: the instruction sent with every prompt.
 SYSTEM_EXAMPLES = """You are an expert radiologist assistant. Your task is to convert radiologist dictation into a minimally edited, template-complete report.
 
 Core Rules:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .schemas import SHARD, TRAIN, without_nulls
+from .scratch import _in_hadoop
 
 
 def numbered(df: DataFrame, column: str = "row_idx") -> DataFrame:
@@ -40,13 +42,30 @@ def parse_shard(lines: DataFrame, line: Column, ordinal: Column) -> DataFrame:
     return parsed.select("r.*", "ordinal")
 
 
+#: The folder of one append: its number says what came later, wherever and whenever the files are copied.
+APPEND = "sequence="
+
+
+def appends(spark: SparkSession, path: str) -> list[int] | None:
+    """The numbers of a shard's appends in order; none for a file or a folder of other files; None if the shard doesn't exist."""
+    files, folder = _in_hadoop(spark, path)
+    if not files.exists(folder):
+        return None
+    names = [f.getPath().getName() for f in files.listStatus(folder) if f.isDirectory()]
+    return sorted(int(n.removeprefix(APPEND)) for n in names if n.startswith(APPEND))
+
+
 def read_shard(spark: SparkSession, path: str) -> DataFrame:
-    """All records of a shard (a file or a folder of part files) with ``ordinal``, in the order of writing: files by time and name, then lines; none if it doesn't exist."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    """All records of a shard with ``ordinal``, in the order of writing: appends by number, then files by name, then lines; none if it doesn't exist.
+
+    ``path`` is a folder of appends (``append_shard``), one file, or a folder of part files; files outside appends come before them. No time of a file is looked at, so a copied
+    shard reads the same.
+    """
+    if appends(spark, path) is None:
         return spark.createDataFrame([], T.StructType([*SHARD.fields, T.StructField("ordinal", T.StringType())]))
-    lines = spark.read.text(path).select("value", "_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
-    place = F.format_string("%020d#%s#%020d#%020d", F.unix_micros("file_modification_time"), "file_path", "file_block_start", "n")  # numbers rise within a block, which one task reads
+    lines = spark.read.text(path, recursiveFileLookup=True).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+    number = F.coalesce(F.expr(f"try_cast(nullif(regexp_extract(file_path, '/{APPEND}([0-9]+)/[^/]*$', 1), '') AS bigint)"), F.lit(-1))
+    place = F.format_string("%020d#%s#%020d#%020d", number + 1, F.substring_index("file_path", "/", -1), "file_block_start", "n")  # numbers rise within a block, which one task reads
     return parse_shard(lines, F.col("value"), place)
 
 
@@ -57,9 +76,27 @@ def last_records(records: DataFrame) -> DataFrame:
     return records.groupBy("case_id").agg(last.alias("last"), F.min("ordinal").alias("first_ordinal")).select("case_id", "last.*", "first_ordinal")
 
 
-def append_shard(records: DataFrame, path: str) -> None:
-    """Adds records as JSON lines; the writer's commit makes a part file appear whole or not at all."""
-    records.write.mode("append").json(path)
+def append_shard(records: DataFrame, path: str) -> int:
+    """Adds records as JSON lines under the next number, which is returned; the writer's commit makes an append's files appear whole or not at all.
+
+    A number that another writer has taken meanwhile is left to it.
+    """
+    number = max(appends(records.sparkSession, path) or [0]) + 1
+    while True:
+        try:
+            records.write.mode("errorifexists").json(f"{path}/{APPEND}{number:012d}")
+            return number
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            number += 1
+
+
+def compact_shard(spark: SparkSession, path: str, target: str, files: int = 1) -> None:
+    """Writes the last record of each case of a shard, in the order of first appearance, as the first append of the new shard ``target``: ``files`` part files that follow each other."""
+    last = last_records(read_shard(spark, path))
+    columns = [f.name for f in SHARD]
+    last.repartitionByRange(files, "first_ordinal").sortWithinPartitions("first_ordinal").select(*columns).write.mode("errorifexists").json(f"{target}/{APPEND}{1:012d}")
 
 
 def write_submission(rows: DataFrame, path: str, one_file: bool = False) -> None:

@@ -16,7 +16,7 @@ from ..sources.schemas import SHARD
 
 def stream_shard(spark: SparkSession, path: str) -> DataFrame:
     """Records of a folder of JSON lines as a stream; malformed lines and lines without ``case_id`` are left out."""
-    lines = spark.readStream.text(path)
+    lines = spark.readStream.text(path, recursiveFileLookup=True)
     return lines.select(F.from_json("value", SHARD).alias("r")).filter("r.case_id is not null").select("r.*")
 
 

@@ -1,5 +1,7 @@
 import csv
 import json
+import os
+import shutil
 import time
 from types import SimpleNamespace
 
@@ -46,9 +48,20 @@ def test_later_appends_win_and_lines_keep_their_order(spark, tmp_path):
     path = str(tmp_path / "shard")
     for k in range(5):
         files.append_shard(spark.createDataFrame([("a", f"r{k}", True), (f"b{k}", "x", True)], "case_id string, report string, valid boolean").coalesce(1), path)
-        time.sleep(0.02)
     got = {r.case_id: r.report for r in files.last_records(files.read_shard(spark, path)).collect()}
     assert got["a"] == "r4" and len(got) == 6
+    # a copy whose files come in another order of time, and a compacted one, read the same
+    copied = tmp_path / "copied"
+    for k in (3, 1, 5, 4, 2):
+        shutil.copytree(f"{path}/sequence={k:012d}", copied / f"sequence={k:012d}", copy_function=shutil.copyfile)
+        time.sleep(0.02)
+    assert {r.case_id: r.report for r in files.last_records(files.read_shard(spark, str(copied))).collect()} == got
+    files.compact_shard(spark, path, str(tmp_path / "compacted"))
+    rows = files.read_shard(spark, str(tmp_path / "compacted")).orderBy("ordinal").collect()
+    assert [r.case_id for r in rows] == ["a", *(f"b{k}" for k in range(5))] and {r.case_id: r.report for r in rows} == got
+    assert len([f for f in os.listdir(tmp_path / "compacted" / f"sequence={1:012d}") if f.startswith("part")]) == 1
+    assert files.append_shard(spark.createDataFrame([("a", "later", True)], "case_id string, report string, valid boolean"), str(tmp_path / "compacted")) == 2
+    assert {r.case_id: r.report for r in files.last_records(files.read_shard(spark, str(tmp_path / "compacted"))).collect()} == got | {"a": "later"}
     (tmp_path / "long.jsonl").write_text("\n".join(json.dumps({"case_id": "c", "report": f"{k:05}" + "y" * 2000}) for k in range(2_000)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
     try:

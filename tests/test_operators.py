@@ -1,14 +1,16 @@
 import json
 import math
+import random
 import statistics
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from editspark.operators import batch, evaluate, retrieve
-from editspark.plans import crossval, generate, prompts
-from editspark.sources import files
+from editspark.plans import crossval, fixtures, generate, prompts
+from editspark.sources import files, scratch
 
 CASES = "case_id string, row_idx long, modality string, body_part string, template_content string, dictation string, report string, predicted string"
 
@@ -252,3 +254,55 @@ def test_cross_validation_with_and_without_answers(spark):
     means = {r.fold: r.n for r in evaluate.fold_means(crossval.cross_validated(cases)).collect()}
     assert means == {0: 2, 1: 2, 2: 1, 3: 1, 4: 1}
     assert evaluate.overall(crossval.cross_validated(cases)).first().total_cases == 7
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_median_by_ranges_of_values_that_occur(spark, monkeypatch, seed):
+    """One outlier, a value that half the rows have, and more distinct values than one task may rank."""
+    monkeypatch.setattr(evaluate, "FEW", 40)
+    monkeypatch.setattr(evaluate, "SPLITS", 8)
+    asked = []
+    monkeypatch.setattr(evaluate, "written", lambda df, name: asked.append(scratch.written(df, name)) or asked[-1])
+    draw = random.Random(seed)
+    values = [1e18, -1e18] + [draw.random() for _ in range(3001 + seed)] + [0.25] * draw.choice([0, 1500, 4000])
+    got = evaluate.median(spark.createDataFrame([(v,) for v in values], "v double"), "v").collect()
+    assert [r.median for r in got] == [statistics.median(values)]
+    sizes = [df.count() for df in asked]
+    assert len(sizes) >= 3 and sizes[-1] <= 40 and all(b <= a / 3 for a, b in zip(sizes, sizes[1:]))
+
+
+def test_scoring_reads_cases_once(spark, tmp_path):
+    fixtures.cases(spark, "/root/testdata/sf0.001").write.parquet(f"{tmp_path}/cases")
+    scores = evaluate.report_scores(spark.read.parquet(f"{tmp_path}/cases"), "modality")
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+    by_fields = evaluate.findings_scores(evaluate.scored_fields(evaluate.parsed(spark.read.parquet(f"{tmp_path}/cases"))))
+    expected = {r.case_id: r.findings_score for r in by_fields.collect()}
+    assert {r.case_id: r.findings_score for r in scores.collect()} == pytest.approx(expected)
+
+
+def test_scoring_of_reports_without_fields(spark):
+    rows = [("a", "x", "FINDINGS:\n\nIMPRESSION:\nclear", "FINDINGS:\n\nIMPRESSION:\nclear", ""), ("b", None, "", "", ""), ("c", "x", "IMPRESSION:\nmass", "", None), ("c2", "x", "", "A: b", "")]
+    df = spark.createDataFrame(rows, "case_id string, modality string, report string, predicted string, template_content string")
+    got = {r.case_id: (r.modality, round(r.findings_score, 6), round(r.impression_score, 6)) for r in evaluate.report_scores(df, "modality").collect()}
+    assert got == {"a": ("x", 0.0, 0.0), "b": (None, 0.0, 0.0), "c": ("x", 1.0, 0.0), "c2": ("x", 1.0, 0.0)}
+
+
+def test_calls_of_all_tasks_share_one_pace(spark, tmp_path):
+    log, spacing = str(tmp_path / "calls"), 0.08
+
+    def provider(request):
+        with open(log, "a") as f:
+            f.write(f"{time.time()}\n")
+        if request.prompt == "again" and sum(1 for _ in open(log)) < 12:
+            raise RuntimeError("429")
+        return "{}"
+
+    prompts = spark.createDataFrame([(str(k), "again" if k == 3 else "p") for k in range(24)], "case_id string, prompt string").repartition(6)
+    for tasks in (1, 4):
+        got = generate.call_provider(prompts, provider, generate.Settings(), spacing_s=spacing, tasks=tasks, tries=5, wait_s=0).collect()
+        assert len(got) == 24 and {r.raw_response for r in got} <= {"{}", ""}
+    at = sorted(float(x) for x in open(log))
+    assert len(at) >= 48 and min(b - a for a, b in zip(at, at[1:])) > 0.4 * spacing
+    for start in at:  # never more calls in a second than its slots, and one that a late start may add
+        assert sum(start <= t < start + 1 for t in at) <= 1 / spacing + 2

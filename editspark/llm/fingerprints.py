@@ -22,7 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record_batch, small_or_joined, texts, written
+from ..sources.scratch import HOT_ROWS
+from .common import hot_joined, record_batch, small_or_joined, texts, written
 
 #: Documents in a range of ids, about; a range is worked on as one sorted stream.
 RANGE_ROWS = 4_000
@@ -127,8 +128,9 @@ def verified_groups(docs: DataFrame, rows: DataFrame) -> DataFrame:
     ``rows`` has ``doc_id, fingerprint, strong`` of every document. Only texts in such buckets are read again, and grouping by the
     (compressed) bytes pre-aggregates copies where they are, so that a bucket of copies sends one text a task.
     """
-    buckets = rows.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1").select("fingerprint")
-    members = small_or_joined(rows.select("doc_id", "fingerprint"), buckets, "fingerprint", "left_semi").select(F.coalesce("doc_id", F.lit(LEAST)).alias("key"))
+    buckets = written(rows.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    hot = buckets.filter(F.col("n") > HOT_ROWS).select("fingerprint")  # a bucket of copies isn't one task's
+    members = hot_joined(rows.select("doc_id", "fingerprint"), buckets.select("fingerprint"), "fingerprint", hot=hot).select(F.coalesce("doc_id", F.lit(LEAST)).alias("key"))
     members = written(members.distinct(), "members")
     base = small_or_joined(texts(docs).withColumn("key", F.coalesce("doc_id", F.lit(LEAST))), members, "key", "left_semi")
     spec = "doc_id long, fingerprint string, strong binary, form binary"
@@ -150,5 +152,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = written(digests(docs), "digests")
     groups = written(verified_groups(docs, rows.select("doc_id", "fingerprint", "strong")), "groups")
     names = [c for c in rows.columns if c != "strong"]
-    out = small_or_joined(rows, groups, ["fingerprint", "strong"], "left")
+    both = F.concat("fingerprint", F.hex("strong")).alias("digests")
+    sized = groups.select(both, "group_id", "group_size")
+    out = hot_joined(rows.select(*names, both), sized, "digests", "left", sized.filter(F.col("group_size") > HOT_ROWS).select("digests"))
     return out.select(*names, F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"))

@@ -30,24 +30,73 @@ def weight_of(token: str) -> float:
     return w if w is not None else C.CRITICAL_WEIGHT if _NUMBER.match(token) else C.CONTENT_WEIGHT
 
 
-#: Cells of a table up to which plain loops are faster than arrays.
-SMALL = 300
+#: Cells of a row of the tables that are filled together; pairs that are held as lists at a time.
+TOGETHER, PAIRS = 1 << 14, 2_000
 
 
-def cost_of(ref: list[str], pred: list[str]) -> float:
-    """Least total weight of deletions, insertions and substitutions (the greater weight of the two)."""
+def trimmed(ref: list[str], pred: list[str]) -> tuple[list[str], list[str]]:
+    """Both sides without their common beginning and end, the shorter first: costs are the same both ways."""
     start, most = 0, min(len(ref), len(pred))
     while start < most and ref[start] == pred[start]:
         start += 1
     end = 0
     while end < most - start and ref[-1 - end] == pred[-1 - end]:
         end += 1
-    # costs are the same both ways: the shorter side is gone through
     short, long = sorted((ref[start : len(ref) - end], pred[start : len(pred) - end]), key=len)
-    return by_loops(short, long) if len(short) * len(long) <= SMALL else by_rows(short, long)
+    return short, long
+
+
+def costs_of(pairs: list[tuple[list[str], list[str]]]) -> list[float]:
+    """Of each pair the least total weight of deletions, insertions and substitutions (the greater weight of the two); pairs of like lengths are worked on together."""
+    sides, number, weights = [trimmed(*p) for p in pairs], {"": 0}, [0.0]
+    coded = []
+    for short, long in sides:
+        for t in (*short, *long):
+            if t not in number:
+                number[t] = len(weights)
+                weights.append(weight_of(t))
+        coded.append(tuple(np.array([number[t] for t in side], np.int32) for side in (short, long)))
+    weight, out = np.array(weights), np.zeros(len(pairs))
+    order = sorted(range(len(pairs)), key=lambda k: (len(coded[k][1]), len(coded[k][0])))
+    at = 0
+    while at < len(order):
+        # lengths rise: the last pair of a group has the longest row, which the group's size must suit
+        end = at + 1
+        while end < len(order) and (end + 1 - at) * (len(coded[order[end]][1]) + 1) <= TOGETHER and len(coded[order[end]][1]) <= 2 * len(coded[order[at]][1]) + 8:
+            end += 1
+        some = order[at:end]
+        out[some] = together([coded[k] for k in some], weight)
+        at = end
+    return out.tolist()
+
+
+def together(pairs: list[tuple[np.ndarray, np.ndarray]], weight: np.ndarray) -> np.ndarray:
+    """The costs of some pairs of numbered tokens, a row of all their tables at a time. Insertions add up along a row, so the best of them is a running minimum of what is left without them.
+
+    Shorter sides are filled up with a token without weight, which changes no cell that is read.
+    """
+    n, m = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+    short, long = (np.zeros((len(pairs), int(size.max())), np.int32) for size in (n, m))
+    for k, (a, b) in enumerate(pairs):
+        short[k, : len(a)], long[k, : len(b)] = a, b
+    w_long, w_short = weight[long], weight[short]
+    inserted = np.concatenate([np.zeros((len(pairs), 1)), np.cumsum(w_long, axis=1)], axis=1)
+    row, best, every = inserted.copy(), np.empty_like(inserted), np.arange(len(pairs))
+    out = row[every, m].copy()
+    for i in range(short.shape[1]):
+        w = w_short[:, i : i + 1]
+        best[:, :1] = row[:, :1] + w
+        np.minimum(row[:, 1:] + w, row[:, :-1] + np.where(long == short[:, i : i + 1], 0.0, np.maximum(w_long, w)), out=best[:, 1:])
+        np.subtract(best, inserted, out=best)
+        np.minimum.accumulate(best, axis=1, out=row)
+        row += inserted
+        done = n == i + 1
+        out[done] = row[done, m[done]]
+    return out
 
 
 def by_loops(ref: list[str], pred: list[str]) -> float:
+    """The definition, one cell at a time: what the tests hold ``costs_of`` against."""
     weights = [weight_of(t) for t in pred]
     row = [0.0]
     for w in weights:
@@ -67,24 +116,15 @@ def by_loops(ref: list[str], pred: list[str]) -> float:
     return row[-1]
 
 
-def by_rows(ref: list[str], pred: list[str]) -> float:
-    """A row at a time: insertions add up along it, so the best of them is a running minimum of what is left without them."""
-    number: dict[str, int] = {}
-    of_ref, of_pred = (np.array([number.setdefault(t, len(number)) for t in side], np.int64) for side in (ref, pred))
-    weight = np.array([weight_of(t) for t in number])
-    w_pred = weight[of_pred]
-    inserted = np.append(0.0, np.cumsum(w_pred))
-    row, best = inserted.copy(), np.empty(len(inserted))
-    for r in of_ref:
-        best[0] = row[0] + weight[r]
-        np.minimum(row[1:] + weight[r], row[:-1] + np.where(of_pred == r, 0.0, np.maximum(w_pred, weight[r])), out=best[1:])
-        row = np.minimum.accumulate(best - inserted) + inserted
-    return float(row[-1])
-
-
 @F.arrow_udf(T.DoubleType())
 def _cost(ref: pa.Array, pred: pa.Array) -> pa.Array:
-    return pa.array([None if r is None or p is None else cost_of(r, p) for r, p in zip(ref.to_pylist(), pred.to_pylist(), strict=True)], pa.float64())
+    known = (ref.is_valid().to_numpy(zero_copy_only=False)) & (pred.is_valid().to_numpy(zero_copy_only=False))
+    some, out = np.flatnonzero(known), [None] * len(ref)
+    for k in range(0, len(some), PAIRS):
+        part = pa.array(some[k : k + PAIRS])
+        for at, cost in zip(part.to_pylist(), costs_of(list(zip(ref.take(part).to_pylist(), pred.take(part).to_pylist(), strict=True))), strict=True):
+            out[at] = cost
+    return pa.array(out, pa.float64())
 
 
 def total_weight(tokens: Column) -> Column:

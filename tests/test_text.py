@@ -89,21 +89,27 @@ some_tokens = st.lists(st.sampled_from(["no", "the", "lung", "5", "node", "of",
 @settings(max_examples=200, deadline=None)
 @given(some_tokens, some_tokens)
 def test_cost_is_the_least(a, b):
-    cost = metric.cost_of(a, b)
-    assert cost == plain_cost(a, b) == metric.cost_of(b, a)
+    cost, back = metric.costs_of([(a, b), (b, a)])
+    assert cost == back == plain_cost(a, b) == metric.by_loops(a, b)
     assert (cost == 0) == (a == b)
 
 
-@settings(max_examples=200, deadline=None)
-@given(some_tokens, some_tokens)
-def test_rows_and_loops_agree(a, b):
-    assert metric.by_rows(a, b) == metric.by_loops(a, b) == plain_cost(a, b)
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(some_tokens, some_tokens), max_size=12), st.sampled_from([1, 16, 1 << 14]))
+def test_pairs_together_and_one_by_one_agree(pairs, together):
+    held, metric.TOGETHER = metric.TOGETHER, together
+    try:
+        assert metric.costs_of(pairs) == [metric.by_loops(a, b) for a, b in pairs]
+    finally:
+        metric.TOGETHER = held
 
 
-def test_long_lists_are_compared_by_rows():
+def test_long_lists():
     a = [f"w{k % 17}" if k % 5 else "no" for k in range(120)]
     b = [t for k, t in enumerate(a) if k % 7 != 3] + ["left"]
-    assert metric.cost_of(a, b) == plain_cost(a, b) == metric.cost_of(b, a)
+    c = [f"c{k}" for k in range(3000)]
+    pairs = [(a, b), (b, a), (a, []), ([], b), (c, a), (a[:3], c), (c, [*c[:1500], "no", *c[1500:2999]])]
+    assert metric.costs_of(pairs) == [plain_cost(x, y) for x, y in pairs]
 
 
 def test_whole_text_rules_equal_word_by_word_rules(spark):

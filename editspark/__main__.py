@@ -93,18 +93,21 @@ def run_slice(spark: SparkSession, args: argparse.Namespace) -> int:
     train = _cases(spark, args.train, True)
     cases = train if is_cv else _cases(spark, args.test, False)
     todo = batch.resume_todo(batch.slice_window(cases, args.start, args.count), _done(spark, args.shard)).cache()
-    n = todo.count()
-    if not n:
-        print("nothing to do")
-        return 0
-    if args.provider:
-        code = _asked_one_by_one(spark, args, todo, train, is_cv)
-    else:
-        files.append_shard(_records(todo, spark.read.schema("case_id string, raw_response string").json(args.responses), is_cv), args.shard)
-        code = 0
-    left = batch.resume_todo(todo, _done(spark, args.shard)).count()
-    print(f"{n - left} of {n} cases done")
-    return code or (2 if left and not args.provider else 0)
+    try:
+        n = todo.count()
+        if not n:
+            print("nothing to do")
+            return 0
+        if args.provider:
+            code = _asked_one_by_one(spark, args, todo, train, is_cv)
+        else:
+            files.append_shard(_records(todo, spark.read.schema("case_id string, raw_response string").json(args.responses), is_cv), args.shard)
+            code = 0
+        left = batch.resume_todo(todo, _done(spark, args.shard)).count()
+        print(f"{n - left} of {n} cases done")
+        return code or (2 if left and not args.provider else 0)
+    finally:
+        todo.unpersist()
 
 
 def run_all(spark: SparkSession, args: argparse.Namespace) -> int:

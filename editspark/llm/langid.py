@@ -11,8 +11,9 @@ language have (a bit table for each language). A logistic curve of that share is
 letters shuffled, and their likeness to the best of the other languages, as if their own hadn't been learned. ``score`` is the product of both
 probabilities; a text is rejected if the second is below one half (less, if over ``REJECTED`` of the kept texts were).
 
-Fitted on a bounded sample: the ``MOST_LANGUAGES`` commonest languages, ``MOST_ROWS`` ids of each, the first by a hash of ``doc_id``, one text each, and of a text with
-more than ``MOST_FEATURES`` distinct subwords or runs as many, drawn by hash or evenly from all of it; every row is scored over its whole text.
+Fitted on a bounded sample: ``MOST_ROWS`` ids of each language, fewer where all languages together would have over ``MOST_SAMPLE``, the first by a hash of ``doc_id``, one text each, and of a
+text with more than ``MOST_FEATURES`` distinct subwords or runs as many (fewer where the sample's would be over ``MOST_VALUES``), drawn by hash or evenly from all of it; every row is scored over its
+whole text. Languages beyond the ``MOST_LANGUAGES`` commonest, more than there are names for, aren't learned.
 Languages, sources and ids are no inputs of a prediction.
 
 Defined results: a null text and one without letters is ``und``, score 0, rejected; a very long text is scored in parts that add up exactly; of equally probable languages
@@ -33,7 +34,11 @@ from pyspark.sql.window import Window
 
 from .common import freed, from_rows, judged, thinned
 
-MOST_ROWS, MOST_LANGUAGES, MOST_FEATURES = 400, 32, 4_096
+MOST_ROWS, MOST_LANGUAGES, MOST_FEATURES = 400, 1_000, 4_096
+#: Ids of all languages together, and subwords of all their texts; a language and a text keep these at least.
+MOST_SAMPLE, MOST_VALUES, LEAST_ROWS, LEAST_FEATURES = 12_800, 1_600 * 4_096, 12, 256
+#: Letters of a text that are shuffled into a strange one: evenly from all of it.
+SHUFFLED = 1 << 20
 BITS, WIDTH, ORDERS = 16, 16, 4
 #: Bits of the hash of a run of ``ORDERS`` characters.
 RUN_BITS = 20
@@ -221,7 +226,7 @@ def features(lang: str, words: str, most: int = MOST_FEATURES) -> tuple | None:
     if len(found) > most:
         found = np.sort(found[np.argsort(_mixed(found, len(buckets)))[:most]])
     share = (counts[found] / counts[found].sum()).astype(np.float32)
-    _, strange = subwords(shuffled(words[: 1 << 20], len(words)))  # what a million letters are shuffled to says it all
+    _, strange = subwords(shuffled(words[:: -(-len(words) // SHUFFLED)], len(words)))
     return lang, found.tobytes(), share.tobytes(), spread(runs, most).tobytes(), spread(strange, most).tobytes()
 
 
@@ -235,13 +240,15 @@ def train(docs: DataFrame, learn_from) -> Model | None:
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.filter(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     sizes = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids")).orderBy(F.desc("ids"), "lang").limit(MOST_LANGUAGES)
-    some = known.select("doc_id", "lang").join(F.broadcast(sizes), "lang").filter(thinned(F.col("doc_id"), MOST_ROWS, F.col("ids"))).select("doc_id", "lang").distinct()
+    languages = sizes.count()
+    quota = int(np.clip(MOST_SAMPLE // max(1, languages), min(LEAST_ROWS, MOST_ROWS), MOST_ROWS))
+    some = known.select("doc_id", "lang").join(F.broadcast(sizes), "lang").filter(thinned(F.col("doc_id"), quota, F.col("ids"))).select("doc_id", "lang").distinct()
     by_hash = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 32))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(by_hash, "doc_id"))
-    chosen = some.withColumn("n", rank).filter(F.col("n") <= MOST_ROWS).select("doc_id", "lang")
-    chosen = docs.sparkSession.createDataFrame(chosen.toArrow())  # at most ``MOST_ROWS`` ids a language
+    chosen = some.withColumn("n", rank).filter(F.col("n") <= quota).select("doc_id", "lang")
+    chosen = docs.sparkSession.createDataFrame(chosen.toArrow())  # at most ``MOST_SAMPLE`` ids, or ``LEAST_ROWS`` a language
 
-    most = MOST_FEATURES
+    most = int(np.clip(MOST_VALUES // max(1, languages * quota), min(LEAST_FEATURES, MOST_FEATURES), MOST_FEATURES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -198,6 +198,18 @@ def test_media_query(spark, docs_of):
     assert media.read_back(media.store(docs_of([]))).count() == 0
 
 
+def test_very_long_texts_and_clashing_columns(spark, docs_of, byte_bpe):
+    texts = ["é\n" * 1_500_000, "x" * 4_000_001, "short"]
+    docs = docs_of(texts).selectExpr("*", "'a' AS ids", "1 AS png", "2 AS n_tokens", "'b' AS payload")
+    for r in media.read_back(media.store(docs)).collect():
+        raw = texts[r.doc_id].encode()
+        assert r.n_bytes == len(raw) and r.payload_sha256 == hashlib.sha256(raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))).hexdigest()
+    encoded = bpe.encode_documents(docs, byte_bpe)
+    assert encoded.columns == ["doc_id", "ids"]
+    decoded = bpe.decode_documents(encoded.selectExpr("*", "'a' AS text", "1 AS key"), byte_bpe).collect()
+    assert {r.doc_id: r.text for r in decoded} == dict(enumerate(texts))
+
+
 def test_missing_and_repeated_ids(spark, docs_of, byte_bpe):
     """Every row has its result, whatever ids say."""
     docs = docs_of([(None, "a b"), (None, "a b"), (7, "x y z"), (7, "other text"), (7, "x y z"), (9, None)])

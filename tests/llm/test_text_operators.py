@@ -186,6 +186,32 @@ def test_language_samples_are_bounded_whatever_repeats(docs_of, monkeypatch):
     assert max(len(x) for r in held for x in (r[1], r[3], r[4])) == 40
 
 
+def test_samples_of_many_languages_are_bounded_together(docs_of, monkeypatch):
+    """Every language is learned; their rows and features are fewer the more languages there are."""
+    monkeypatch.setattr(langid, "MOST_SAMPLE", 200)
+    monkeypatch.setattr(langid, "MOST_VALUES", 2_000)
+    monkeypatch.setattr(langid, "LEAST_ROWS", 2)
+    monkeypatch.setattr(langid, "LEAST_FEATURES", 9)
+    pairs = [(k, f"{chr(97 + k % 26)}{chr(97 + k % 40 // 26)} words of text {k} and some more of these") for k in range(1, 4_001)]
+    held = []
+    monkeypatch.setattr(langid, "fit", held.extend)
+    langid.train(docs_of(pairs, lang={k: f"l{k % 40:02}" for k, _ in pairs}), fold(5) != 0)
+    counts = {lang: sum(r[0] == lang for r in held) for lang in {r[0] for r in held}}
+    assert set(counts) == {f"l{k:02}" for k in range(40)} and set(counts.values()) == {5}
+    assert max(len(x) for r in held for x in (r[1], r[3], r[4])) == 10
+
+
+def test_languages_are_learned_from_odd_rows_too(docs_of):
+    long = "und der lange text " * 200_000  # shuffled letters come from all of it
+    pairs = [(1, None), (2, ""), (3, "12 !"), (4, long)] + [(k, f"the words of text {k} and that") for k in range(6, 60)] + [(k, f"der die das und {k}") for k in range(60, 120)]
+    docs = docs_of(pairs, lang={1: "xx", 2: "yy", 3: "zz", 4: "de", **dict.fromkeys(range(6, 60), "en"), **dict.fromkeys(range(60, 120), "de")})
+    model = langid.train(docs, fold(5) != 0)
+    assert model.languages == ["de", "en"]
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    assert got[4].lang_pred == "de" and {got[k].lang_pred for k in (1, 2, 3)} == {"und"} and got[7].lang_pred == "en"
+    assert langid.features("a", " " + "ab" * 10 + " " + "z" * 3_000_000 + " ", 50) is not None
+
+
 def test_language_slopes_are_those_of_the_loss():
     draw = np.random.default_rng(0)
     table, layer, bias = draw.normal(0, 1, (9, 4)), draw.normal(0, 1, (4, 3)), draw.normal(0, 1, 3)

@@ -2,6 +2,9 @@
 
 Each stage reads the table its predecessor wrote. All but the last keep the columns of ``documents`` and drop rows; the last
 returns the pieces of what is left and their places in sequences.
+
+Defined results: a null text is an empty one, which has no letter and goes in the first stage; texts of any length are worked on whole; rows that repeat a row are told apart by no stage but near-duplicates,
+where one stays; rows without an id are never near-duplicates and go only by their texts; further columns, whatever their names, are handed on; of an empty table every stage makes an empty one.
 """
 
 from __future__ import annotations

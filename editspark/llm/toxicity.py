@@ -198,17 +198,12 @@ def fit(toxic: Rows, unlabelled: Rows, prior: float) -> tuple[np.ndarray, float]
     count = int(np.clip(round(PART_ROWS / len(toxic)), *PARTS))
     part = [rows.parts(count) for rows in sides]
 
-    def trained(chosen: list[Rows]) -> tuple[np.ndarray, float, float]:
-        w = learned(*chosen, prior)
-        on_u = chosen[1].dot(w[:-1])
-        return w, on_u.mean(), on_u.std() + 1e-6
-
     for k in range(count):
         if all(0 < (of == k).sum() < len(of) for of in part):
-            w, center, width = trained([rows.part(of != k) for rows, of in zip(sides, part, strict=True)])
+            w, center, width = learned(*(rows.part(of != k) for rows, of in zip(sides, part, strict=True)), prior)
             for out, rows, of in zip(margins, sides, part, strict=True):
                 out.append((rows.part(of == k).dot(w[:-1]) - center) / width)
-    w, center, width = trained(list(sides))
+    w, center, width = learned(toxic, unlabelled, prior)
     # too few rows to keep some: calibrated on those learned from
     scale, shift = calibrated(*(np.concatenate(out) if out else (rows.dot(w[:-1]) - center) / width for out, rows in zip(margins, sides, strict=True)), prior)
     return (scale / width * w[:-1]).astype(np.float32), float(shift - scale / width * center)
@@ -234,8 +229,11 @@ def surely(toxic: Rows, unlabelled: Rows) -> np.ndarray:
     return np.abs(p - expected) >= min(MOST_SURE, SURE_ROWS / len(toxic)) * deviation
 
 
-def learned(toxic: Rows, unlabelled: Rows, prior: float) -> np.ndarray:
-    """Weights of the least risk and the bias after them, by Adam over all rows."""
+def learned(toxic: Rows, unlabelled: Rows, prior: float) -> tuple[np.ndarray, float, float]:
+    """Weights of the least risk and the bias after them, by Adam over all rows; the mean and the spread of the margins, without the bias, of U.
+
+    What isn't needed of the rows is let go before training, so that the driver never holds copies of whole samples.
+    """
     n = 1 << BITS
     seen = np.bincount(unlabelled.features, minlength=n) >= max(2, LEAST_SHARE * len(unlabelled))
     seen |= np.bincount(toxic.features, minlength=n) >= max(LEAST_TOXIC, LEAST_SHARE * len(toxic))
@@ -250,9 +248,10 @@ def learned(toxic: Rows, unlabelled: Rows, prior: float) -> np.ndarray:
             m *= decay
             m += (1 - decay) * x
         w -= RATE * (1 - (t - 1) / STEPS) * (moments[0] / (1 - 0.9**t)) / (np.sqrt(moments[1] / (1 - 0.99**t)) + 1e-6)
+    on_u = unlabelled.dot(w[:-1])
     out = np.zeros(n + 1)
     out[:n][seen], out[n] = w[:-1], w[-1]
-    return out
+    return out, float(on_u.mean()), float(on_u.std()) + 1e-6
 
 
 def sampled(found: np.ndarray, values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:

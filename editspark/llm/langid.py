@@ -7,9 +7,9 @@ mean of table rows.
 
 A part of the sample is kept from training. On it one temperature is fitted, so that the softmax gives probabilities among the learned languages. As a softmax
 must choose among these, whether a text is in any of them is judged apart: by the share of its runs of ``ORDERS`` characters that texts learned from in the predicted
-language have (a bit table for each language). A logistic curve of that share is fitted on the kept texts against two kinds of strangers made from them: their
-letters shuffled, and their likeness to the best of the other languages, as if their own hadn't been learned. ``score`` is the product of both
-probabilities; a text is rejected if the second is below one half (less, if over ``REJECTED`` of the kept texts were).
+language have (a bit table for each language). A logistic curve of that share is fitted on the kept texts, and once more on what is left of them without the words that texts learned from
+have, against two kinds of strangers made from them: their letters shuffled, and their likeness to the best of the other languages, as if their own hadn't been learned. ``score`` is the product of both
+probabilities; a text is rejected if the second is below one half (less, if over ``REJECTED`` of the kept texts, or of those of unseen words, were).
 
 Fitted on a bounded sample: ``MOST_ROWS`` ids of each language, fewer where all languages together would have over ``MOST_SAMPLE``, the first by a hash of ``doc_id``, one text each, and of a
 text with more than ``MOST_FEATURES`` distinct subwords or runs as many (fewer where the sample's would be over ``MOST_VALUES``), drawn by hash or evenly from all of it; every row is scored over its
@@ -24,6 +24,7 @@ and rows without an id each get their prediction; an empty table gives no rows;
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,6 +75,13 @@ def subwords(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found) if found else np.zeros(0, np.int32), runs
 
 
+def words_of_runs(text: str) -> np.ndarray:
+    """Of a text from ``letters``, for each run of ``ORDERS`` characters a hash of the word that it begins in; the space before a word is its beginning."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    number = np.cumsum(points == ord(" "), dtype=np.int32)[: max(0, len(text) - ORDERS + 1)] - 1
+    return np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in text.split()], np.uint32)[number]
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
@@ -154,8 +162,8 @@ def calibrated_share(known: np.ndarray, strange: np.ndarray) -> tuple[float, flo
     return float(max(a[0], 0.0)), float(a[1])
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Model | None:
-    """From (language, subwords, their shares, runs, runs of the shuffled text) of each sampled text."""
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Model | None:
+    """From (language, subwords, their shares, runs, runs of the shuffled text, words of the runs) of each sampled text."""
     languages = sorted({r[0] for r in rows})
     if not languages:
         return None
@@ -169,7 +177,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]])
     for step in range(PASSES):
         rate = RATE * (1 - step / PASSES)
         for k in draw.permutation(learned):
-            lang, found, share, _, _ = rows[k]
+            lang, found, share, *_ = rows[k]
             _, by_table, by_layer, by_bias = loss_and_slopes(table, layer, bias, found, share, number[lang])
             table[found] -= rate * 10 * by_table  # shares are small: embeddings move faster than the layer
             layer -= rate * 0.1 * by_layer
@@ -181,11 +189,12 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]])
     logits = np.array([rows[k][2] @ model.table[rows[k][1]] + bias for k in kept], np.float64)
     truth = np.array([number[rows[k][0]] for k in kept])
     model.temperature = calibrated_temperature(logits, truth)
-    calibrate_rejection(model, [rows[k] for k in kept], logits)
+    calibrate_rejection(model, [rows[k] for k in kept], logits, np.unique(np.concatenate([rows[k][5] for k in learned])))
     return model
 
 
-def calibrate_rejection(model: Model, kept: list[tuple], logits: np.ndarray) -> None:
+def calibrate_rejection(model: Model, kept: list[tuple], logits: np.ndarray, words: np.ndarray) -> None:
+    """``words``: those of the texts learned from."""
     best = logits.argmax(axis=1)
     counted = [(model.hits(b, r[3]), len(r[3])) for b, r in zip(best, kept, strict=True) if len(r[3])]
     if not counted:
@@ -195,9 +204,11 @@ def calibrate_rejection(model: Model, kept: list[tuple], logits: np.ndarray) ->
     if len(model.languages) > 1:
         second = np.argsort(logits, axis=1)[:, -2]
         strange += [(model.hits(b, r[3]), len(r[3])) for b, r in zip(second, kept, strict=True) if len(r[3])]
-    shares = [np.array([model.share(h, n) for h, n in x]) for x in (counted, strange)]
-    model.slope, model.shift = calibrated_share(*shares)
-    model.least = min(0.5, float(np.quantile([model.known(x) for x in shares[0]], REJECTED)))
+    left = [(b, r[3][~np.isin(r[5], words)]) for b, r in zip(best, kept, strict=True)]
+    unseen = [(model.hits(b, runs), len(runs)) for b, runs in left if len(runs)]
+    seen, unseen, strange = (np.array([model.share(h, n) for h, n in x]) for x in (counted, unseen, strange))
+    model.slope, model.shift = calibrated_share(np.append(seen, unseen), strange)
+    model.least = min(0.5, *(float(np.quantile([model.known(x) for x in shares], REJECTED)) for shares in (seen, unseen) if len(shares)))
 
 
 def shuffled(words: str, seed: int) -> str:
@@ -213,7 +224,7 @@ def spread(runs: np.ndarray, most: int) -> np.ndarray:
     return runs if len(runs) <= most else runs[np.linspace(0, len(runs) - 1, most).astype(np.int64)]
 
 
-SAMPLE = "lang string, found binary, share binary, runs binary, strange binary"
+SAMPLE = "lang string, found binary, share binary, runs binary, strange binary, words binary"
 
 
 def features(lang: str, words: str, most: int = MOST_FEATURES) -> tuple | None:
@@ -227,7 +238,7 @@ def features(lang: str, words: str, most: int = MOST_FEATURES) -> tuple | None:
         found = np.sort(found[np.argsort(_mixed(found, len(buckets)))[:most]])
     share = (counts[found] / counts[found].sum()).astype(np.float32)
     _, strange = subwords(shuffled(words[:: -(-len(words) // SHUFFLED)], len(words)))
-    return lang, found.tobytes(), share.tobytes(), spread(runs, most).tobytes(), spread(strange, most).tobytes()
+    return lang, found.tobytes(), share.tobytes(), spread(runs, most).tobytes(), spread(strange, most).tobytes(), spread(words_of_runs(words), most).tobytes()
 
 
 def _mixed(numbers: np.ndarray, seed: int) -> np.ndarray:
@@ -259,7 +270,8 @@ def train(docs: DataFrame, learn_from) -> Model | None:
     texts = known.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     sample = texts.select("lang", "text").mapInArrow(run, SAMPLE).toArrow().to_pylist()
     sample.sort(key=lambda r: tuple(r.values()))  # rows arrive in the order of tasks; training must not depend on it
-    return fit([(r["lang"], np.frombuffer(r["found"], np.int32), np.frombuffer(r["share"], np.float32), np.frombuffer(r["runs"], np.int32), np.frombuffer(r["strange"], np.int32)) for r in sample])
+    kinds = {"found": np.int32, "share": np.float32, "runs": np.int32, "strange": np.int32, "words": np.uint32}
+    return fit([(r["lang"], *(np.frombuffer(r[name], kind) for name, kind in kinds.items())) for r in sample])
 
 
 def predict(docs: DataFrame, model: Model | None, keep_rows: bool = False) -> DataFrame:

@@ -1,10 +1,12 @@
 import hashlib
 import random
 import unicodedata
+import zlib
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from editspark.llm import chat, fingerprints, langid, lmscore, queries, toxicity
 from editspark.llm.common import fold
@@ -172,6 +174,27 @@ def test_strangers_are_rejected_and_learned_languages_are_not(spark, docs_of):
     assert np.mean([r.rejected for r in langid.predict(docs_of(mixed), model).collect()]) >= 0.9
 
 
+@pytest.mark.parametrize("modulus", [2, 5])
+def test_words_kept_out_of_training_are_not_strange(spark, docs_of, modulus):
+    """Held-out documents reduced to words that no text learned from has: a half or a fifth of all distinct words."""
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r.lang and r.text]
+
+    def cut(text, unseen):
+        return " ".join(w for w in langid.letters(text).split() if (zlib.crc32(w.encode()) % modulus == 0) == unseen)
+
+    held = {r.doc_id for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}
+    pairs = [(r.doc_id, cut(r.text, r.doc_id in held)) for r in rows]
+    docs = docs_of(pairs, lang={r.doc_id: r.lang for r in rows})
+    seen = {w for i, t in pairs if i not in held for w in t.split()}
+    assert not any(w in seen for i, t in pairs if i in held for w in t.split())
+    model = langid.train(docs, fold(5) != 0)
+    truth = {r.doc_id: r.lang for r in rows}
+    got = [r for r in langid.predict(docs.filter((fold(5) == 0) & (F.length("text") > 0)), model).collect()]
+    assert len(got) > 100 and np.mean([not r.rejected for r in got]) >= 0.95
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in got]) >= 0.95
+    assert np.mean([r.rejected for r in langid.predict(docs_of(STRANGERS), model).collect()]) >= 0.9
+
+
 def test_language_samples_are_bounded_whatever_repeats(docs_of, monkeypatch):
     monkeypatch.setattr(langid, "MOST_ROWS", 15)
     monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)

@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as C
-from ..functions.binding import bound
-from ..functions.text import counted, text_or_empty, tokens
+from ..functions.text import counted_tokens, text_or_empty, words_of
 from ..sources.scratch import scratch, small_or_joined, written
 
 BUCKETS = 64
@@ -69,9 +68,8 @@ def add(rows: DataFrame, path: str, batch: int, buckets: int = BUCKETS) -> int:
         if not several.isEmpty():
             one = new.filter("n > 1").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
             new = new.filter("n = 1").select("id", "text").union(one)
-        both = bound(tokens(F.col("text")), lambda t: F.struct(F.size(t).cast("long").alias("length"), counted(t).alias("tokens")))
         folder = {t: f"{path}/{t}/batch={batch}" for t in TABLES}
-        held = new.select("id", both.alias("t")).select("id", "t.length", F.transform("t.tokens", lambda x: F.struct(x.word.alias("word"), x.tf.cast("long").alias("tf"))).alias("tokens"))
+        held = new.select("id", counted_tokens(F.col("text")).alias("tokens")).select("id", words_of("tokens").alias("length"), "tokens")
         held.write.mode("overwrite").parquet(folder["documents"])
         held = spark.read.schema(held.schema).parquet(folder["documents"])
         each = held.select("id", "length", F.explode("tokens").alias("w")).select(F.col("w.word").alias("token"), "id", "w.tf", "length").withColumn("bucket", bucket_of("token", buckets))

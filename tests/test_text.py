@@ -43,6 +43,19 @@ def test_null_and_long_texts(spark):
     assert sizes == [0, 60_000]
 
 
+def test_words_are_looked_up_and_few_are_kept(spark, monkeypatch):
+    """Tokens need no pattern over whole texts, and a bound on words that are kept changes none."""
+    rows = spark.createDataFrame([(k,) for k in NORMALISED], "t string")
+    plan = rows.select(T.tokens(F.col("t")))._jdf.queryExecution().toString()
+    assert "regexp" not in plan
+    monkeypatch.setattr(T, "KEPT_WORDS", 2)
+    assert {k: " ".join(T.Tokens().of(k)) for k in NORMALISED} == NORMALISED
+    kept = T.Tokens()
+    assert " ".join(kept.of("a b-c 5mm, d e f 7cm")) == "a bc 5 mm d e f 7 cm"
+    assert len(kept) <= 3
+    assert [x.tf for x in rows.limit(1).select(T.counted_terms(F.lit("ab ab ab")).alias("c")).first().c] == [3, 2]
+
+
 def test_token_weights(spark):
     given_weights = {"no": 4.0, "the": 0.25, "lung": 2.0, "+5": 4.0, "2.5": 4.0, "": 0.0, "mm": 4.0, "2.": 2.0}
     rows = spark.createDataFrame([(k,) for k in given_weights], "t string").select("t", T.token_weight(F.col("t")).alias("w")).collect()

@@ -112,15 +112,20 @@ class Rows:
         ends = np.cumsum(self.sizes)
         return np.array([xxhash.xxh32_intdigest(self.features[e - n : e].tobytes(), 7) % count for n, e in zip(self.sizes, ends, strict=True)])
 
-    def part(self, chosen: np.ndarray) -> Rows:
-        of = chosen[self.row]
-        return Rows([])._hold(self.sizes[chosen], self.features[of], self.values[of])
+    def frequency(self, chosen: np.ndarray) -> np.ndarray:
+        """In how many of the chosen rows each feature is; a million entries at a time, as counting makes them wide."""
+        out = np.zeros(1 << BITS, np.int64)
+        for at in range(0, len(self.features), 1 << 20):
+            some = slice(at, at + (1 << 20))
+            out += np.bincount(self.features[some][chosen[self.row[some]]], minlength=1 << BITS)
+        return out
 
-    def only(self, seen: np.ndarray) -> Rows:
-        """The same rows with the features for which ``seen`` holds, numbered anew among these."""
-        of = seen[self.features]
-        number = np.cumsum(seen) - 1
-        return Rows([])._hold(np.bincount(self.row[of], minlength=len(self)), number[self.features[of]].astype(np.int32), self.values[of])
+    def only(self, chosen: np.ndarray, seen: np.ndarray) -> Rows:
+        """The chosen rows with the features for which ``seen`` holds, numbered anew among these."""
+        of = chosen[self.row]
+        of &= seen[self.features]
+        number = (np.cumsum(seen) - 1).astype(np.int32)
+        return Rows([])._hold(np.bincount(self.row[of], minlength=len(self))[chosen], number[self.features[of]], self.values[of])
 
     def _runs(self, sizes: np.ndarray):
         """(segments, entries) of runs of whole segments, of about a million entries, so that products take bounded memory."""
@@ -131,13 +136,6 @@ class Rows:
             yield slice(at, stop), slice(start, int(ends[stop - 1]))
             at, start = stop, int(ends[stop - 1])
 
-    @functools.cached_property
-    def _by_feature(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The entries by feature: their rows, their values, the features that occur and how often each does."""
-        order = np.argsort(self.features, kind="stable").astype(np.int32)
-        found, sizes = np.unique(self.features, return_counts=True)
-        return self.row[order], self.values[order], found, sizes
-
     def dot(self, w: np.ndarray) -> np.ndarray:
         out = np.zeros(len(self))
         full = np.flatnonzero(self.sizes)
@@ -148,9 +146,9 @@ class Rows:
 
     def back(self, by_row: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros(n)
-        row, value, found, sizes = self._by_feature
-        for some, at in self._runs(sizes):
-            out[found[some]] = np.add.reduceat(by_row[row[at]] * value[at], np.cumsum(sizes[some]) - sizes[some])
+        for at in range(0, len(self.features), 1 << 20):
+            some = slice(at, at + (1 << 20))
+            out += np.bincount(self.features[some], by_row[self.row[some]] * self.values[some], n)
         return out
 
 
@@ -200,10 +198,10 @@ def fit(toxic: Rows, unlabelled: Rows, prior: float) -> tuple[np.ndarray, float]
 
     for k in range(count):
         if all(0 < (of == k).sum() < len(of) for of in part):
-            w, center, width = learned(*(rows.part(of != k) for rows, of in zip(sides, part, strict=True)), prior)
+            w, center, width = learned(toxic, unlabelled, prior, *(of != k for of in part))
             for out, rows, of in zip(margins, sides, part, strict=True):
-                out.append((rows.part(of == k).dot(w[:-1]) - center) / width)
-    w, center, width = learned(toxic, unlabelled, prior)
+                out.append((rows.dot(w[:-1])[of == k] - center) / width)
+    w, center, width = learned(toxic, unlabelled, prior, *(of >= 0 for of in part))
     # too few rows to keep some: calibrated on those learned from
     scale, shift = calibrated(*(np.concatenate(out) if out else (rows.dot(w[:-1]) - center) / width for out, rows in zip(margins, sides, strict=True)), prior)
     return (scale / width * w[:-1]).astype(np.float32), float(shift - scale / width * center)
@@ -220,25 +218,24 @@ def objective(w: np.ndarray, toxic: Rows, unlabelled: Rows, prior: float) -> tup
     return prior * np.logaddexp(0, -on_p).mean() + turn * clean_risk + decay / 2 * (w[:-1] ** 2).sum(), slope
 
 
-def surely(toxic: Rows, unlabelled: Rows) -> np.ndarray:
-    """The features whose rows in P differ from those expected of its size by enough deviations for so few rows."""
-    p, u = (np.bincount(rows.features, minlength=1 << BITS).astype(float) for rows in (toxic, unlabelled))
-    share = (p + u) / (len(toxic) + len(unlabelled))
-    expected = share * len(toxic)
-    deviation = np.sqrt(expected * (1 - share) * len(unlabelled) / (len(toxic) + len(unlabelled)))
-    return np.abs(p - expected) >= min(MOST_SURE, SURE_ROWS / len(toxic)) * deviation
+def surely(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
+    """The features whose rows in P, of ``n_p``, differ from those expected of its size by enough deviations for so few rows."""
+    share = (p + u) / (n_p + n_u)
+    expected = share * n_p
+    deviation = np.sqrt(expected * (1 - share) * n_u / (n_p + n_u))
+    return np.abs(p - expected) >= min(MOST_SURE, SURE_ROWS / n_p) * deviation
 
 
-def learned(toxic: Rows, unlabelled: Rows, prior: float) -> tuple[np.ndarray, float, float]:
-    """Weights of the least risk and the bias after them, by Adam over all rows; the mean and the spread of the margins, without the bias, of U.
+def learned(toxic: Rows, unlabelled: Rows, prior: float, of_p: np.ndarray, of_u: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Weights of the least risk over the rows that ``of_p`` and ``of_u`` choose and the bias after them, by Adam over all of them; the mean and the spread of the margins, without the bias, of U.
 
-    What isn't needed of the rows is let go before training, so that the driver never holds copies of whole samples.
+    Of the samples only the entries that can have weights are copied, so that the driver never holds copies of whole samples.
     """
-    n = 1 << BITS
-    seen = np.bincount(unlabelled.features, minlength=n) >= max(2, LEAST_SHARE * len(unlabelled))
-    seen |= np.bincount(toxic.features, minlength=n) >= max(LEAST_TOXIC, LEAST_SHARE * len(toxic))
-    seen &= surely(toxic, unlabelled)
-    toxic, unlabelled = toxic.only(seen), unlabelled.only(seen)
+    n, n_p, n_u = 1 << BITS, int(of_p.sum()), int(of_u.sum())
+    p, u = toxic.frequency(of_p), unlabelled.frequency(of_u)
+    seen = (u >= max(2, LEAST_SHARE * n_u)) | (p >= max(LEAST_TOXIC, LEAST_SHARE * n_p))
+    seen &= surely(p.astype(float), u.astype(float), n_p, n_u)
+    toxic, unlabelled = toxic.only(of_p, seen), unlabelled.only(of_u, seen)
     w = np.zeros(int(seen.sum()) + 1)
     w[-1] = np.log(prior / (1 - prior))
     moments = [np.zeros(len(w)), np.zeros(len(w))]

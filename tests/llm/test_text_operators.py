@@ -512,3 +512,21 @@ def test_lm_scores_tell_good_documents(spark):
     good, order = rows.quality == 1, rows.score.rank()
     auc = (order[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
     assert auc > 0.85
+
+
+def test_training_holds_no_second_copy_of_a_sample():
+    """Slopes of a sample of four million entries need a bounded part of it at a time."""
+    import tracemalloc
+
+    import numpy as np
+
+    from editspark.llm import toxicity
+
+    n, m = 4_000, 1_000
+    rows = toxicity.Rows([(np.arange(k % 7, k % 7 + m, dtype=np.int32), np.ones(m, np.float32)) for k in range(n)])
+    tracemalloc.start()
+    out = rows.back(np.ones(n), 2_000)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert out.sum() == n * m
+    assert peak < 36 << 20

@@ -117,6 +117,23 @@ def test_pairs_together_and_one_by_one_agree(pairs, together):
         metric.TOGETHER = held
 
 
+def test_leaving_tokens_out_needs_no_table(monkeypatch):
+    words = ["no", "the", "5", "left"] + [f"w{k}" for k in range(5000)]
+    thinned = [w for k, w in enumerate(words) if k % 7 != 3]
+    monkeypatch.setattr(metric, "together", None)
+    assert metric.costs_of([(words, thinned), (thinned, words), (words[1:3], words[:4])]) == [2.0 * 714 + 4.0, 2.0 * 714 + 4.0, 8.0]
+
+
+def test_compared_texts_equal_distances_of_their_tokens(spark):
+    texts = [None, "", " ", "No mass.", "no mass", "no the mass", "left 5 mm node", "node left 4 mm", "1) the lung", "the lung"]
+    rows = spark.createDataFrame([(a, b, c or "") for a in texts for b in texts for c in texts], "a string, b string, c string")
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    a, b, c = T.tokens(F.col("a")), T.tokens(F.col("b")), T.tokens(F.col("c"))
+    expected = rows.select("*", F.when(both, metric.edit_distance(a, b)).otherwise(1.0).alias("e"), (F.col("a").isNotNull() & (a != c)).alias("x"))
+    got = expected.withColumn("m", metric.compared(F.col("a"), F.col("b"), F.col("c"))).collect()
+    assert len(got) == 1000 and all((r.m.edit, r.m.changed) == (r.e, r.x) for r in got)
+
+
 def test_long_lists():
     a = [f"w{k % 17}" if k % 5 else "no" for k in range(120)]
     b = [t for k, t in enumerate(a) if k % 7 != 3] + ["left"]

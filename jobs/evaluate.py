@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from editspark.operators import evaluate as E
 from editspark.plans import crossval, fixtures
+from editspark.sources.scratch import scratch
 
 from .common import command, log
 
@@ -37,9 +38,10 @@ def summarised(scores: DataFrame) -> DataFrame:
 def evaluate(spark: SparkSession, conversations: str, target: str, run: str = "rules", folds: int = E.FOLDS) -> DataFrame:
     """Writes the run's tables and returns ``read``."""
     cases = fixtures.cases_of(spark.read.parquet(conversations))
-    scored = crossval.cross_validated(cases, folds=folds)
     names = [c.split()[0] for c in CASES.split(", ")[:-1]]
-    scored.select(*names).repartition("fold", F.pmod(F.xxhash64("case_id"), F.lit(spark.sparkContext.defaultParallelism))).write.mode("overwrite").partitionBy("fold").parquet(f"{target}/cases/run={run}")
+    with scratch(spark):
+        scored = crossval.cross_validated(cases, folds=folds)
+        scored.select(*names).repartition("fold", F.pmod(F.xxhash64("case_id"), F.lit(spark.sparkContext.defaultParallelism))).write.mode("overwrite").partitionBy("fold").parquet(f"{target}/cases/run={run}")
     scores = spark.read.schema(CASES).parquet(f"{target}/cases").filter(F.col("run") == run)
     summarised(scores).repartition("level").write.mode("overwrite").partitionBy("level").parquet(f"{target}/summary/run={run}")
     for r in spark.read.schema(SUMMARY).parquet(f"{target}/summary").filter((F.col("run") == run) & (F.col("level") == "all")).collect():  # one row

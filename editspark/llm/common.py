@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import pickle
 import re
+import warnings
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.scratch import hot_joined, scratch, small_or_joined, spread, written  # noqa: F401  for the operators and the pipeline
+from ..sources.scratch import bytes_of, hot_joined, scratch, small_or_joined, spread, written  # noqa: F401  for the operators and the pipeline
 
 #: Bytes of the batches that Python workers get at a time.
 BATCH_BYTES = 8 << 20
@@ -111,3 +113,38 @@ def record_batch(spec: str, columns: Iterable) -> pa.RecordBatch:
 
 def from_rows(spec: str, rows: list[tuple]) -> pa.RecordBatch:
     return record_batch(spec, zip(*rows, strict=True) if rows else [[] for _ in spec.split(",")])
+
+
+#: Bytes of a sample up to which the driver trains; of a row of a model that is sent to it.
+SMALL_SAMPLE, PIECE = 4_000_000, 4_000_000
+
+
+def trained(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
+    """What ``fit`` makes of a ``sample`` of bounded size.
+
+    A task trains on any but a small one, so that the driver's Python and JVM hold neither the sample nor copies of it, only the model; what ``fit`` warns of is said by the driver.
+    """
+    spec = "at long, piece binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        with warnings.catch_warnings(record=True) as said:
+            warnings.simplefilter("always")
+            model = fit(pa.Table.from_batches(held))
+        held.clear()
+        out = pickle.dumps((model, [str(w.message) for w in said if w.category is UserWarning]))
+        for at in range(0, len(out), PIECE):
+            yield record_batch(spec, [[at], [out[at : at + PIECE]]])
+        freed()
+
+    with scratch(sample.sparkSession):
+        sample = written(sample, "sample")
+        if bytes_of(sample) <= SMALL_SAMPLE:
+            return fit(sample.toArrow())
+        pieces = sample.repartition(1).mapInArrow(run, spec).toArrow().sort_by("at").column("piece").to_pylist()
+    model, said = pickle.loads(b"".join(pieces))
+    for message in said:
+        warnings.warn(message, stacklevel=3)
+    return model

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import freed, from_rows, judged, thinned
+from .common import freed, from_rows, judged, thinned, trained
 
 MOST_ROWS, MOST_LANGUAGES, MOST_FEATURES = 400, 1_000, 4_096
 #: Ids of all languages together, and subwords of all their texts; a language and a text keep these at least.
@@ -268,7 +268,12 @@ def train(docs: DataFrame, learn_from) -> Model | None:
             freed()
 
     texts = known.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    sample = texts.select("lang", "text").mapInArrow(run, SAMPLE).toArrow().to_pylist()
+    return trained(texts.select("lang", "text").mapInArrow(run, SAMPLE), fit_sample)
+
+
+def fit_sample(found: pa.Table) -> Model | None:
+    """The model from rows of ``SAMPLE``."""
+    sample = found.to_pylist()
     sample.sort(key=lambda r: tuple(r.values()))  # rows arrive in the order of tasks; training must not depend on it
     kinds = {"found": np.int32, "share": np.float32, "runs": np.int32, "strange": np.int32, "words": np.uint32}
     return fit([(r["lang"], *(np.frombuffer(r[name], kind) for name, kind in kinds.items())) for r in sample])

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import judged, record_batch, small_or_joined, texts, thinned
+from .common import judged, record_batch, small_or_joined, texts, thinned, trained
 
 MOST_TOXIC, MOST_UNLABELLED, MOST_FEATURES = 2_000, 8_000, 4_096
 BITS = 18
@@ -285,18 +285,23 @@ def train(docs: DataFrame, labels: DataFrame, learn_from) -> tuple[np.ndarray, f
             yield record_batch(spec, [b.column("of"), [f.tobytes() for f, _ in found], [v.tobytes() for _, v in found]])
 
     rows = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("of", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    sample = rows.select("of", "text").mapInArrow(run, spec).toArrow()
+    if not share:
+        return None
+    return trained(rows.select("of", "text").mapInArrow(run, spec), functools.partial(fit_sample, prior=min(share, 0.95)))
+
+
+def fit_sample(sample: pa.Table, prior: float) -> tuple[np.ndarray, float] | None:
+    """The classifier from sampled rows ``of`` P or U, ``features, values``."""
     groups: dict[str, list] = {"P": [], "U": []}
     for part in sample.to_batches(max_chunksize=1_000):
         for of, f, v in zip(*(part.column(c) for c in ("of", "features", "values")), strict=True):
             groups[of.as_py()].append((np.frombuffer(f.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32)))  # no copies
-    del sample
-    if not groups["P"] or not share:
+    if not groups["P"]:
         return None
     # rows arrive in the order of tasks; sums must not depend on it
     for rows in groups.values():
         rows.sort(key=lambda x: (xxhash.xxh3_64_intdigest(x[0].tobytes()), xxhash.xxh3_64_intdigest(x[1].tobytes())))
-    return fit(Rows(groups.pop("P")), Rows(groups.pop("U")), min(share, 0.95))
+    return fit(Rows(groups.pop("P")), Rows(groups.pop("U")), prior)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, keep_rows: bool = False) -> DataFrame:

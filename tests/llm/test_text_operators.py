@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from editspark.llm import chat, fingerprints, langid, lmscore, queries, toxicity
+from editspark.llm import chat, common, fingerprints, langid, lmscore, queries, toxicity
 from editspark.llm.common import fold
 from editspark.llm.packing import tokenizer
 
@@ -530,3 +530,14 @@ def test_training_holds_no_second_copy_of_a_sample():
     tracemalloc.stop()
     assert out.sum() == n * m
     assert peak < 36 << 20
+
+
+def test_large_samples_train_in_a_task_to_the_same_models(spark, docs_of, monkeypatch):
+    docs = docs_of([(k, f"le texte {k} des mots {k * 7}" if k % 2 else f"the text {k} of words {k * 3} and more") for k in range(200)], lang={k: "fr" if k % 2 else "en" for k in range(200)})
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int")
+    here = langid.train(docs, fold(5) != 0), toxicity.train(docs, labels, fold(3) != 1)
+    monkeypatch.setattr(common, "SMALL_SAMPLE", 0)
+    for module in (langid, toxicity):
+        monkeypatch.setattr(module, "fit", None)  # the driver's alone
+    there = langid.train(docs, fold(5) != 0), toxicity.train(docs, labels, fold(3) != 1)
+    assert (there[0].table == here[0].table).all() and there[0].least == here[0].least and (there[1][0] == here[1][0]).all() and there[1][1] == here[1][1]

@@ -1,3 +1,6 @@
+import itertools
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -159,3 +162,23 @@ def test_whole_text_rules_equal_word_by_word_rules(spark):
     got = {r.k: r.toks for r in spark.createDataFrame(pdf).select("k", T.tokens(F.col("t")).alias("toks")).collect()}
     wrong = [(texts[k], got[k], expected[k]) for k in expected if got[k] != expected[k]]
     assert not wrong, wrong[:5]
+
+
+def test_hashes_of_terms_tell_terms_apart():
+    """Runs and pairs in turn, wherever they stand in a text: once a term, one hash."""
+    seen, back = {}, {}
+    for text in ("ab ab ab", "x ab, cd_é ünï 12 ab cd_é", "ab" * 40_000 + " ab ünï", "", ". a", "ab abab ababab bb aa ba"):
+        runs = re.findall(r"\w{2,}", text)
+        terms = runs + [f"{a} {b}" for a, b in itertools.pairwise(runs)]
+        found = T.hashes_of_terms(text).tolist()
+        assert len(found) == len(terms)
+        for term, h in zip(terms, found, strict=True):
+            assert seen.setdefault(term, h) == h and back.setdefault(h, term) == term
+
+
+def test_words_that_come_once_are_not_kept():
+    """Before, every distinct word was looked up among all met and kept."""
+    known = T.Tokens()
+    text = "Atreea, réeux 3cm atreea RÉEUX Millimeter (x)"
+    assert known.of(text) == ["atreea", "r", "eux", "3", "cm", "atreea", "r", "eux", "mm", "x"] and set(known) == {"3cm"}
+    assert list(known.counted(text).items()) == [("atreea", 2), ("r", 2), ("eux", 2), ("3", 1), ("cm", 1), ("mm", 1), ("x", 1)]

@@ -5,6 +5,8 @@ import statistics
 import time
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +148,48 @@ def test_best_in_blocks_and_chunks_writes_no_pairs(spark, monkeypatch, loo, word
         assert retrieve.best(p, p.limit(0)).count() == retrieve.best(p.limit(0), p).count() == 0
 
 
+def test_best_without_a_case_reads_documents_once_a_chunk(spark, monkeypatch):
+    """Where each case's own document has its greatest BM25 score, no pass of its own looks for that."""
+    docs = [{**d, "dictation": " ".join((f"{d['dictation']} own{'abcdefghijklmnopqrstuvw'[d['row_idx']]}".split() * 20)[:20])} for d in corpus(23)]
+    p = retrieve.corpus(spark.createDataFrame(docs), "row_idx")
+    passes = []
+    monkeypatch.setattr(retrieve, "greatest", lambda chunk, *more: passes.append(len(chunk.ids)) or nearest.greatest(chunk, *more))
+    got: dict = {}
+    for r in retrieve.best(p, p, 2, exclude_self=True).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.doc_id)
+    assert got == brute_force(docs, docs, 2, True)
+    assert sum(passes) < len(docs) // 2
+
+
+def test_best_of_blocks_that_are_only_about_right():
+    """Scores in single precision choose what is scored exactly: equal to sorting all exact scores, ties by row, whatever the blocks."""
+    rng = np.random.default_rng(3)
+    n, k = 1_000, 3
+    left, right = rng.random((7, 40)), rng.random((n, 40)).round(2)
+    right[::5] = right[3]  # copies: ties of many rows
+    left[6] = 0  # nothing above 0
+    found = nearest.Best(7, k, 9)
+    row_idx = rng.permutation(n)
+    for at in range(0, n, 300):
+        dense = nearest.Dense((7, len(right[at : at + 300])))
+        dense.add([(left, right[at : at + 300])])
+        others = np.zeros(dense.about.shape)
+        assert (np.abs(dense.about - left @ right[at : at + 300].T) <= dense.off[:, None]).all()
+        found.add(slice(0, 7), dense.with_others(others), dense.off, dense.at, row_idx[at : at + 300], at)
+    score = np.einsum("ij,kj->ik", left, right).round(9)
+    for q in range(6):
+        assert found.document[q].tolist() == np.lexsort((-row_idx, -score[q]))[:k].tolist()
+    assert (found.rounded[6] < 0).all()
+
+
+def test_a_chunk_that_several_tasks_of_a_process_use_is_made_ready_once():
+    words = pa.array([[{"word": 1, "value": 2.0}, {"word": 5, "value": 1.0}], [{"word": 5, "value": 3.0}]])
+    table = pa.table({"id": [0, 1], "case_id": ["a", "b"], "modality": ["x", "x"], "body_part": ["y", "y"], "headers": [[7], [8]], "tokens": words, "terms": words, "own": [1.0, 2.0]})
+    chunk = nearest.Chunk(table)
+    once = chunk.ready(np.array([2.0, 4.0])).tokens.value.tolist()
+    assert chunk.ready(np.array([2.0, 4.0])).tokens.value.tolist() == once
+
+
 def test_retrieval_edges(spark):
     docs = spark.createDataFrame(corpus(5))
     empty = spark.createDataFrame([("x", 0, "", "")], "case_id string, row_idx long, dictation string, study_description string")

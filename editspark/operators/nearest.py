@@ -193,6 +193,7 @@ class Chunk:
     """Some queries (``id, case_id, modality, body_part, headers, tokens<word, value>, terms<word, value>, own``), as what documents are scored against."""
 
     def __init__(self, queries: pa.Table):
+        self.queries = queries
         self.ids, rows = queries.column("id").combine_chunks(), queries.num_rows
 
         def asked(name: str) -> tuple[Asked, np.ndarray]:
@@ -211,6 +212,13 @@ class Chunk:
         self.own = _numbers(queries.column("own").combine_chunks().fill_null(0.0), float)
         self.together, self.ordered, self.is_ready = TOGETHER, ORDERED, False
 
+    def of(self, rows: np.ndarray) -> Chunk:
+        """Some of its queries."""
+        return Chunk(self.queries.take(pa.array(rows)))
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "queries": None}  # tasks have what is made of it
+
     def ready(self, used: np.ndarray | None = None) -> Chunk:
         """In a task, once in its process; BM25 scores are divided by ``used`` and scores have their shares, if that is given."""
         if self.is_ready:

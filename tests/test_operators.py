@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from editspark.operators import batch, evaluate, nearest, retrieve
+from editspark.operators import batch, evaluate, nearest, retrieve, sketch
 from editspark.plans import crossval, fixtures, generate, prompts
 from editspark.sources import files, scratch
 
@@ -190,6 +190,34 @@ def test_a_chunk_that_several_tasks_of_a_process_use_is_made_ready_once():
     assert chunk.ready(np.array([2.0, 4.0])).tokens.value.tolist() == once
 
 
+@pytest.mark.parametrize("cells, asked", [(64, 4_000_000), (0, 150)])
+def test_best_of_texts_writes_no_table_of_their_words(spark, monkeypatch, cells, asked):
+    """Equal to scoring every pair, also where cells hold many terms, bounds are looked at one by one and few terms are counted at a time; only words that are asked for are written of a text."""
+    docs, queries, held = corpus(23), corpus(23)[4:9], {}
+    docs = [{**d, "dictation": d["dictation"] + " never asked for " + " ".join(f"w{a}{b}" for a in "abcdef" for b in "ghijk")} for d in docs]
+
+    def seen(df, name):
+        out = scratch.written(df, name)
+        if name == "digest":
+            held["words"] = [x for r in out.filter("row_idx is not null").collect() for x in (*r.tokens, *r.terms)]
+        return out
+
+    for name, value in {"CELLS": cells, "ASKED": asked, "FIRST": 3, "GROWTH": 2}.items():
+        monkeypatch.setattr(sketch, name, value)
+    monkeypatch.setattr(sketch, "written", seen)
+    got: dict = {}
+    for r in sketch.best_of_texts(spark.createDataFrame(queries), spark.createDataFrame(docs), "row_idx", 2).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.doc_id)
+    assert got == brute_force(queries, docs, 2, False)
+    assert len(held["words"]) < 30 * len(docs)  # of 70 and more
+
+
+def test_counts_in_a_byte_are_never_too_small():
+    counts = np.unique(np.concatenate([np.arange(5_000), 1.5 ** np.arange(44)]).astype(np.int64))
+    assert (sketch.decoded(sketch.coded(counts)) >= counts).all() and sketch.decoded(sketch.coded(np.array([0])))[0] == 0
+    assert (sketch.decoded(sketch.coded(counts)) <= counts * sketch.STEP * 1.001 + 1).all()
+
+
 def test_retrieval_edges(spark):
     docs = spark.createDataFrame(corpus(5))
     empty = spark.createDataFrame([("x", 0, "", "")], "case_id string, row_idx long, dictation string, study_description string")
